@@ -51,9 +51,9 @@ def measure_delimiter(measure: Column) -> Column:
 def measure_parts(measure: Column) -> Column:
     """Struct (affinity_type, value, unit, vague) of a general measurement."""
     delim = measure_delimiter(measure)
-    quantity = F.substring_index(measure, delim, -1)
+    quantity = F.split_part(measure, delim, F.lit(2))
     return F.struct(
-        F.substring_index(measure, delim, 1).alias("affinity_type"),
+        F.split_part(measure, delim, F.lit(1)).alias("affinity_type"),
         F.substring(quantity, F.lit(1), F.length(quantity) - 2).try_cast("double").alias("value"),
         F.right(quantity, F.lit(2)).alias("unit"),
         (delim != "=").alias("vague"),

@@ -99,15 +99,15 @@ def clean_term(name: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as text with two decimals, in steps of 1024 up to TB."""
+    """Bytes as text with two decimals (ties to even), in steps of 1024 up to TB."""
     units = ("B", "KB", "MB", "GB")
     expr = F.when(size == 0, F.lit("0 B"))
     for power, unit in enumerate(units):
         expr = expr.when(
             size < 1024.0 ** (power + 1),
-            F.format_string(f"%.2f {unit}", size / F.lit(1024.0**power)),
+            F.format_string(f"%.2f {unit}", F.bround(size / F.lit(1024.0**power), 2)),
         )
-    return expr.otherwise(F.format_string("%.2f TB", size / F.lit(1024.0**4)))
+    return expr.otherwise(F.format_string("%.2f TB", F.bround(size / F.lit(1024.0**4), 2)))
 
 
 def rename_ligand_chain(line: Column, chain: str) -> Column:

@@ -59,9 +59,14 @@ def within_radius(
     return hits.drop("_cx", "_cy", "_cz")
 
 
-def with_ter_blocks(lines: DataFrame, width: int | None = None) -> DataFrame:
-    """Number of TER lines up to each line of its file."""
-    ended = F.when(text.is_ter(F.col("line")), 1).otherwise(0)
+def with_ter_blocks(
+    lines: DataFrame, width: int | None = None, is_end: Column | None = None
+) -> DataFrame:
+    """Number of TER lines up to each line of its file.
+
+    ``is_end`` marks TER rows of a table that is parsed already.
+    """
+    ended = F.when(text.is_ter(F.col("line")) if is_end is None else is_end, 1).otherwise(0)
     block = F.floor(F.col("line_no") / width) if width else None
     return running_total(lines, ["pdb"], ["line_no"], ended, "ter_block", block)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posequarry.operators.skew import row_hash
+
 BLOCKS = 4096
 SALTS = 64
 
@@ -76,7 +78,7 @@ def n_smallest(
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     name = rank or "_rank"
     if n > threshold:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+        salt = F.pmod(row_hash(df), F.lit(SALTS))
         part = Window.partitionBy(*keys, salt).orderBy(*order)
         df = df.withColumn("_part_rank", F.row_number().over(part))
         df = df.where(F.col("_part_rank") <= n).drop("_part_rank")

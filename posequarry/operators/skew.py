@@ -20,16 +20,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_
     and above a fixed share of the table, so the result has at most
     ``MAX_HOT_KEYS`` rows and may be broadcast.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
     limit = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(MAX_HOT_KEYS)))
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices"))
+    return counts.where(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices")
     )
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Stable hash of a row (maps cannot be hashed and are left out)."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind])
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -48,10 +51,9 @@ def salted_join(
     keys = list(keys)
     hot = F.broadcast(hot_keys(left, keys, rows_per_slice))
     slices = F.coalesce(F.col("_slices"), F.lit(1))
-    payload = [F.col(f"`{c}`") for c in left.columns]
     cut_left = (
         left.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*payload), slices).cast("int"))
+        .withColumn("_salt", F.pmod(row_hash(left), slices).cast("int"))
         .drop("_slices")
     )
     spread_right = (

@@ -14,7 +14,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("sources", "columns", "joins")
+MODULES = ("sources", "columns", "joins", "aggregates", "ordered", "models")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posequarry.session import spread
+
 INFORMATIVE = ("fa_atr", "fa_rep", "fa_sol", "fa_elec", "fa_pair", "hbond_bb_sc", "hbond_sc")
 
 
@@ -27,7 +29,7 @@ DATASET = "CASE WHEN {0} % 10 = 8 THEN 'bench_a' WHEN {0} % 10 = 9 THEN 'bench_b
 
 def poses(spark: SparkSession, folder: str) -> DataFrame:
     """Docking rows from ``lineitem``: supplier as complex, flags as run label."""
-    rows = read(spark, folder, "lineitem")
+    rows = spread(read(spark, folder, "lineitem"))
     start = (
         F.when(F.col("l_returnflag") == "A", "crystal")
         .when(F.col("l_returnflag") == "N", "relax")
@@ -42,7 +44,7 @@ def poses(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("_", start, F.lit("docking"), protocol).alias("type"),
         (((order * 8 + line) * 64 + quantity.cast("long")) * 1048576 + part % 1048576).alias("row_idx"),
         (quantity - 25).alias("total_score"),
-        (F.col("l_extendedprice") / 1000 - 50).alias("idelta_score"),
+        (F.col("l_extendedprice") / 997 - 50).alias("idelta_score"),
         (F.col("l_discount") * 20).alias("rmsd_to_crystal"),
         (F.col("l_tax") * 30).alias("rmsd_to_input"),
         (order % 100).cast("double").alias("prepare_time"),
@@ -68,7 +70,7 @@ POSES = f"""poses AS (
       CASE l_linestatus WHEN 'F' THEN 'perturb' ELSE 'std' END AS type,
     ((l_orderkey * 8 + l_linenumber) * 64 + l_quantity::BIGINT) * 1048576 + l_partkey % 1048576 AS row_idx,
     l_quantity - 25 AS total_score,
-    l_extendedprice / 1000 - 50 AS idelta_score,
+    l_extendedprice / 997 - 50 AS idelta_score,
     l_discount * 20 AS rmsd_to_crystal,
     l_tax * 30 AS rmsd_to_input,
     (l_orderkey % 100)::DOUBLE AS prepare_time,
@@ -297,38 +299,63 @@ SPLIT_COLUMNS = ("split_a", "split_b", "split_c", "split_d")
 
 # -- structure text --------------------------------------------------------
 
-def structure_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(pdb, line_no, line): fixed-width structure text from ``lineitem``."""
-    rows = read(spark, folder, "lineitem")
+def structure_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Structure lines as fields (record TER included), from ``lineitem``."""
+    rows = spread(read(spark, folder, "lineitem"))
     k = F.col("l_linenumber")
-    tail = F.col("l_quantity") > 49
-    record = F.when(tail & (k == 7), "TER").when(k == 6, "HETATM").otherwise("ATOM")
+    record = (
+        F.when((F.col("l_quantity") > 49) & (k == 7), "TER").when(k == 6, "HETATM").otherwise("ATOM")
+    )
     element = F.expr("element_at(array(' C',' N',' O',' S',' H'), cast(l_partkey % 5 + 1 as int))")
     residue = F.when(
         k == 6,
         F.expr("element_at(array(' ZN',' MG','HOH','ACE','MSE','UNK'), cast(l_orderkey % 6 + 1 as int))"),
     ).otherwise(F.expr("element_at(array('ALA','GLY','SER'), cast(l_partkey % 3 + 1 as int))"))
     name = F.when(k == 6, F.concat(F.lit(" "), residue)).otherwise(F.concat(element, F.lit("A ")))
-    chain = F.expr("element_at(array('A','B','C','D'), cast(l_orderkey % 4 + 1 as int))")
-    atom = F.format_string(
-        "%-6s%5d %4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s",
-        record,
-        F.col("l_orderkey") % 100000,
-        name,
-        residue,
-        chain,
-        F.col("l_partkey") % 1500,
-        F.col("l_quantity") - 25,
-        (F.col("l_partkey") % 101).cast("double") / 2 - 25,
-        (F.col("l_orderkey") % 97).cast("double") / 2 - 24,
-        element,
-    )
     number = ((F.col("l_orderkey") * 8 + k) * 64 + F.col("l_quantity").cast("long")) * 1048576
     return rows.select(
         pdb_id(F.col("l_suppkey")).alias("pdb"),
         (number + F.col("l_partkey") % 1048576).alias("line_no"),
-        F.when(record == "TER", "TER").otherwise(atom).alias("line"),
+        record.alias("record"),
+        (F.col("l_orderkey") % 100000).cast("int").alias("atom_no"),
+        name.alias("atom_name"),
+        residue.alias("residue"),
+        F.expr("element_at(array('A','B','C','D'), cast(l_orderkey % 4 + 1 as int))").alias("chain"),
+        (F.col("l_partkey") % 1500).cast("int").alias("res_no"),
+        (F.col("l_quantity") - 25).alias("x"),
+        ((F.col("l_partkey") % 101).cast("double") / 2 - 25).alias("y"),
+        ((F.col("l_orderkey") % 97).cast("double") / 2 - 24).alias("z"),
+        element.alias("element"),
+    )
+
+
+def structure_atoms(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_rows(spark, folder).where("record <> 'TER'")
+
+
+def structure_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(pdb, line_no, line): the same rows as fixed-width text."""
+
+    def padded(value: Column, width: int) -> Column:
+        return F.lpad(value.cast("string"), width, " ")
+
+    fields = F.concat(
+        F.rpad("record", 6, " "),
+        padded(F.col("atom_no"), 5),
+        F.lit(" "),
+        F.col("atom_name"),
+        F.lit(" "),
+        F.col("residue"),
+        F.lit(" "),
+        F.col("chain"),
+        padded(F.col("res_no"), 4),
+        F.lit("    "),
+        *[padded(F.col(c).cast("decimal(8,3)"), 8) for c in "xyz"],
+        F.lit("  1.00  0.00          "),
+        F.col("element"),
     )
+    line = F.when(F.col("record") == "TER", "TER").otherwise(fields)
+    return structure_rows(spark, folder).select("pdb", "line_no", line.alias("line"))
 
 
 # Fields of the structure lines, taken from the table rather than the text.
@@ -397,7 +424,7 @@ chain_sizes AS (
     WHERE EXISTS (SELECT 1 FROM contacts c WHERE c.role = 'chain' AND c.pdb = a.pdb AND c.name = a.chain)
     GROUP BY a.pdb) s USING (pdb)),
 verdict AS (
-  SELECT s.pdb, s.size, CASE WHEN s.size > 300 THEN 'size'
+  SELECT s.pdb, s.size, CASE WHEN s.size > 560 THEN 'size'
     WHEN EXISTS (SELECT 1 FROM contacts c WHERE c.pdb = s.pdb AND c.role = 'co_ligand'
       AND c.name NOT IN (' ZN', ' MG', ' MN', ' CA', ' NA', '  K', ' FE', ' NI', ' CO', 'FE2', 'HOH')) THEN 'co ligand'
     WHEN EXISTS (SELECT 1 FROM contacts c WHERE c.pdb = s.pdb AND c.role = 'modified') THEN 'mutated residue'

@@ -315,7 +315,7 @@ def drug_likeness(spark, folder):
       OR record = 'HETATM' AND residue = 'UNK' AND trim(element) = 'S') AS has_rare_element FROM atoms GROUP BY pdb"""),
 )
 def rare_elements(spark, folder):
-    atoms = contacts.parsed_atoms(t.structure_lines(spark, folder))
+    atoms = t.structure_atoms(spark, folder)
     receptor = [e for e in COMMON_RECEPTOR_ELEMENTS if e not in ("N", "S")]
     ligand = [e for e in COMMON_LIGAND_ELEMENTS if e != "S"]
     return annotations.rare_element_flag(atoms, receptor, ligand)
@@ -368,7 +368,7 @@ def exclusion_waterfall(spark, folder):
     from posequarry.plans.queries_joins import contact_parts
 
     parts = contact_parts(spark, folder)
-    return filters.reason_counts(contacts.curation_verdict(parts.sizes, parts.contacts, 300))
+    return filters.reason_counts(contacts.curation_verdict(parts.sizes, parts.contacts, 560))
 
 
 @query(
@@ -455,10 +455,10 @@ def human_size(spark, folder):
 # -- structure text ---------------------------------------------------------------
 
 
-def _word_pairs(spark, folder):
+def word_pairs(spark, folder):
     """Conversation turns as base and changed line arrays of equal length."""
     base = F.split("text", " ")
-    new = F.transform(base, lambda w, i: F.when(F.length(w) == 3, F.upper(w)).otherwise(w))
+    new = F.transform(base, lambda w, i: F.when(F.length(w) == 3, F.reverse(w)).otherwise(w))
     return t.read(spark, folder, "conversations").select(
         "conv_id", "turn", base.alias("base"), new.alias("new")
     )
@@ -466,7 +466,7 @@ def _word_pairs(spark, folder):
 
 PAIRS = """words AS (SELECT conv_id, turn, string_split(text, ' ') AS base FROM conversations),
 changed AS (SELECT conv_id, turn, base, list_transform(base,
-  lambda w: CASE WHEN length(w) = 3 THEN upper(w) ELSE w END) AS new FROM words)"""
+  lambda w: CASE WHEN length(w) = 3 THEN reverse(w) ELSE w END) AS new FROM words)"""
 
 
 @query(
@@ -478,7 +478,7 @@ changed AS (SELECT conv_id, turn, base, list_transform(base,
         FROM changed))"""),
 )
 def text_delta(spark, folder):
-    rows = _word_pairs(spark, folder).withColumn("d", delta.changed_lines(F.col("base"), F.col("new")))
+    rows = word_pairs(spark, folder).withColumn("d", delta.changed_lines(F.col("base"), F.col("new")))
     entries = F.array_sort(F.map_entries("d"))
     listed = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
     return rows.select(
@@ -492,7 +492,7 @@ def text_delta(spark, folder):
 
 @query("P31_text_patch", with_views(PAIRS, body="SELECT conv_id, turn, md5(array_to_string(new, ' ')) AS digest FROM changed"))
 def text_patch(spark, folder):
-    rows = _word_pairs(spark, folder).withColumn("d", delta.changed_lines(F.col("base"), F.col("new")))
+    rows = word_pairs(spark, folder).withColumn("d", delta.changed_lines(F.col("base"), F.col("new")))
     patched = delta.patched_lines(F.col("base"), F.col("d"))
     return rows.select("conv_id", "turn", F.md5(F.array_join(patched, " ")).alias("digest"))
 

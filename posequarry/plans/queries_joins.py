@@ -13,6 +13,7 @@ from posequarry.plans import driver_tables as t
 from posequarry.plans import experiment
 from posequarry.plans.catalog import query, r6, with_views
 from posequarry.plans.queries_sources import SUBSET
+from posequarry.session import materialize
 from posequarry.sources.splits import membership
 
 N = F.count(F.lit(1))
@@ -26,10 +27,11 @@ class ContactParts(NamedTuple):
 
 
 def contact_parts(spark, folder) -> ContactParts:
-    lines = contacts.with_ter_blocks(t.structure_lines(spark, folder))
-    atoms = contacts.parsed_atoms(lines)
+    """Contacts of all complexes; what several branches read is checkpointed."""
+    rows = contacts.with_ter_blocks(t.structure_rows(spark, folder), is_end=F.col("record") == "TER")
+    atoms = materialize(rows.where("record <> 'TER'"))
     hits = contacts.within_radius(atoms, t.ligand_points(spark, folder))
-    table = contacts.contact_table(atoms, hits)
+    table = materialize(contacts.contact_table(atoms, hits))
     return ContactParts(atoms, hits, table, contacts.protein_sizes(atoms, table))
 
 
@@ -134,7 +136,7 @@ def without_ids(spark, folder):
 
 @query("J7_radius_join", with_views(t.ATOMS, t.LIGAND, t.HITS, body="SELECT pdb, line_no FROM hits"))
 def radius_join(spark, folder):
-    atoms = contacts.parsed_atoms(t.structure_lines(spark, folder))
+    atoms = t.structure_atoms(spark, folder)
     return contacts.within_radius(atoms, t.ligand_points(spark, folder)).select("pdb", "line_no")
 
 

@@ -21,7 +21,8 @@ MEMBERS = "pdb string, row_idx long, cluster_id long, is_rep boolean, rmsd doubl
 POSES = "pdb string, row_idx long, score double, xyz array<double>"
 # A complex with at most GROUP_ROWS poses is clustered in one task.
 GROUP_ROWS = 20_000
-# Larger ones are decided HEAD_ROWS poses at a time, checked slice by slice.
+# Larger ones are decided a head of poses at a time, checked slice by slice; the
+# head doubles from HEAD_ROWS up to GROUP_ROWS, so rounds stay few.
 HEAD_ROWS = 1_000
 SLICE_ROWS = 10_000
 LEADERS_PER_BLOCK = 5_000
@@ -155,7 +156,8 @@ def _cluster_large(poses: DataFrame, sizes: DataFrame, cutoff: float) -> DataFra
     sliced_pose = f"{POSES}, slice int"
     while True:
         order = [F.col("score").asc_nulls_last(), F.col("row_idx").asc()]
-        heads = n_smallest(undecided, ["pdb"], order, HEAD_ROWS)
+        head = min(HEAD_ROWS << len(rounds), GROUP_ROWS)
+        heads = n_smallest(undecided, ["pdb"], order, head)
         leaders = materialize(
             heads.select(*columns).groupBy("pdb").applyInPandas(_leaders_of_group(cutoff), POSES)
         )

@@ -31,13 +31,8 @@ def within_radius(
     made distinct afterwards.  Cells that hold very many atoms are salted.
     """
     shift = F.sequence(F.lit(-1), F.lit(1))
-    near = ligand.select(
-        "pdb",
-        F.col("x").alias("_lx"),
-        F.col("y").alias("_ly"),
-        F.col("z").alias("_lz"),
-        F.explode(shift).alias("_dx"),
-    )
+    points = ligand.select("pdb", *[F.col(a).alias(f"_l{a}") for a in "xyz"]).distinct()
+    near = points.withColumn("_dx", F.explode(shift))
     near = near.withColumn("_dy", F.explode(shift)).withColumn("_dz", F.explode(shift))
     near = near.select(
         "pdb",
@@ -48,27 +43,26 @@ def within_radius(
         "_lx",
         "_ly",
         "_lz",
-    ).distinct()
+    )
     placed = atoms.withColumns({f"_c{a}": coords.cell(F.col(a), radius) for a in "xyz"})
     close = coords.squared_distance(
         F.col("x"), F.col("y"), F.col("z"), F.col("_lx"), F.col("_ly"), F.col("_lz")
     ) <= F.lit(radius * radius)
     hits = salted_join(
-        placed, near, ["pdb", "_cx", "_cy", "_cz"], "left_semi", close, rows_per_slice
+        placed, near, ["pdb", "_cx", "_cy", "_cz"], "left_semi", close, rows_per_slice, ["pdb"]
     )
     return hits.drop("_cx", "_cy", "_cz")
 
 
 def with_ter_blocks(
-    lines: DataFrame, width: int | None = None, is_end: Column | None = None
+    lines: DataFrame, is_end: Column | None = None, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Number of TER lines up to each line of its file.
 
     ``is_end`` marks TER rows of a table that is parsed already.
     """
     ended = F.when(text.is_ter(F.col("line")) if is_end is None else is_end, 1).otherwise(0)
-    block = F.floor(F.col("line_no") / width) if width else None
-    return running_total(lines, ["pdb"], ["line_no"], ended, "ter_block", block)
+    return running_total(lines, ["pdb"], ["line_no"], ended, "ter_block", rows_per_slice)
 
 
 def parsed_atoms(lines: DataFrame) -> DataFrame:

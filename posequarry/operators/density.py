@@ -68,21 +68,29 @@ def _derivatives() -> dict[int, np.ndarray]:
     return tables
 
 
-def _local_series(frame: pd.DataFrame) -> pd.DataFrame:
-    """Polynomial of one target cell from the moments of its neighbours."""
-    tables = _derivatives()
-    total = np.zeros((ORDER + 1, ORDER + 1))
-    for dx, dy, moments in zip(frame["dx"], frame["dy"], frame["moments"], strict=True):
-        grid = np.zeros((ORDER + 1, ORDER + 1))
-        grid[_POWERS] = moments
-        total += tables[dx] @ grid @ tables[dy].T
-    return pd.DataFrame(
-        {"cx": frame["cx"].iloc[:1], "cy": frame["cy"].iloc[:1], "series": [total.tolist()]}
-    )
+def _shifted(axis: int):
+    """Sum of coefficient matrices moved along one axis into the target cell."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        tables = _derivatives()
+        total = np.zeros((ORDER + 1, ORDER + 1))
+        for step, flat in zip(frame["step"], frame["m"], strict=True):
+            matrix = np.asarray(flat, dtype=float).reshape(ORDER + 1, ORDER + 1)
+            total += tables[step] @ matrix if axis == 0 else matrix @ tables[step].T
+        return pd.DataFrame(
+            {"cx": frame["cx"].iloc[:1], "cy": frame["cy"].iloc[:1], "m": [total.ravel()]}
+        )
+
+    return run
 
 
-_PAIRS = [(i, j) for i in range(ORDER + 1) for j in range(ORDER + 1 - i)]
-_POWERS = (np.array([i for i, _ in _PAIRS]), np.array([j for _, j in _PAIRS]))
+def _spread_along(cells: DataFrame, axis: int, targets: DataFrame) -> DataFrame:
+    """Send each cell's matrix to the cells within reach on one axis and add up."""
+    name = ("cx", "cy")[axis]
+    sent = cells.withColumn("step", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))))
+    sent = sent.withColumn(name, F.col(name) + F.col("step"))
+    received = sent.join(targets, targets.columns, "left_semi")
+    return received.groupBy("cx", "cy").applyInPandas(_shifted(axis), "cx int, cy int, m array<double>")
 
 
 def kernel_density(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -90,8 +98,9 @@ def kernel_density(df: DataFrame, x: str, y: str) -> DataFrame:
 
     All pairs of points contribute, but no pair is formed.  Points are reduced
     to power sums per cell of the whitened plane (a partial hash aggregate), the
-    sums of nearby cells are turned into one polynomial per cell, and each point
-    evaluates the polynomial of its cell.  Work grows linearly with the rows.
+    sums of nearby cells are turned into one polynomial per cell - first along
+    x, then along y - and each point evaluates the polynomial of its cell.  Work
+    grows linearly with the rows.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = rows.agg(
@@ -122,26 +131,27 @@ def kernel_density(df: DataFrame, x: str, y: str) -> DataFrame:
     def power(name: str, k: int) -> Column:
         return F.lit(1.0) if k == 0 else F.col(name) if k == 1 else F.col(f"{name}{k}")
 
-    sums = [F.sum(power("_u", i) * power("_v", j)) for i, j in _PAIRS]
+    zero = F.lit(0.0)
+    sums = [
+        F.sum(power("_u", i) * power("_v", j)) if i + j <= ORDER else zero
+        for i in range(ORDER + 1)
+        for j in range(ORDER + 1)
+    ]
     cells = placed.select("cx", "cy", "_u", "_v").withColumns(powers)
-    cells = cells.groupBy("cx", "cy").agg(F.array(*sums).alias("moments"))
-    steps = F.sequence(F.lit(-REACH), F.lit(REACH))
-    sent = cells.select("cx", "cy", "moments", F.explode(steps).alias("dx"))
-    sent = sent.withColumn("dy", F.explode(steps)).select(
-        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "dx", "dy", "moments"
-    )
-    received = sent.join(cells.select("cx", "cy"), ["cx", "cy"], "left_semi")
-    series = received.groupBy("cx", "cy").applyInPandas(
-        _local_series, "cx int, cy int, series array<array<double>>"
-    )
+    cells = cells.groupBy("cx", "cy").agg(F.array(*sums).alias("m"))
+    occupied = cells.select("cx", "cy")
+    columns = _spread_along(cells, 0, occupied.select("cx").distinct())
+    series = _spread_along(columns, 1, occupied)
 
     def horner(coefficients: Column, at: Column, term) -> Column:
         return F.aggregate(
             F.reverse(coefficients), F.lit(0.0), lambda total, c: total * at + term(c)
         )
 
-    value = horner(
-        F.col("series"), F.col("_u"), lambda row: horner(row, F.col("_v"), lambda c: c)
+    width = ORDER + 1
+    rows = F.transform(
+        F.sequence(F.lit(0), F.lit(ORDER)), lambda i: F.slice("m", i * width + 1, width)
     )
+    value = horner(rows, F.col("_u"), lambda row: horner(row, F.col("_v"), lambda c: c))
     evaluated = salted_join(placed, series, ["cx", "cy"])
     return evaluated.select(*df.columns, (value * F.lit(scale)).alias("density"))

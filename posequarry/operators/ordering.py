@@ -6,17 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from posequarry.operators.skew import row_hash
+from posequarry.operators.skew import ROWS_PER_SLICE, hot_keys, hot_limit, row_hash
 
-BLOCKS = 4096
 SALTS = 64
-
-
-def even_block(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
-    """Block number of a numeric order column: its range cut in equal steps."""
-    span = df.agg((F.max(column) - F.min(column)).alias("span")).scalar()
-    return F.floor(F.col(column) / F.greatest(F.lit(1), F.ceil((span + 1) / F.lit(blocks))))
+# A hot key is cut into this many blocks per slice, to even out uneven orders.
+BLOCKS_PER_SLICE = 16
 
 
 def running_total(
@@ -25,40 +21,55 @@ def running_total(
     order: Sequence[str],
     value: Column,
     name: str,
-    block: Column | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Running sum of ``value`` per key in ``order``, split over blocks.
+    """Running sum of ``value`` per key in ``order``; the first order column is numeric.
 
-    A plain window would sort a whole group in one task.  Here the order column
-    is cut into blocks (``block`` must rise with ``order``); block sums are
-    pre-aggregated, added up over the few blocks of each key, and joined to
+    A window sorts a whole key in one task.  Keys too large for that (found by a
+    count) have the range of their order column cut into blocks; block sums are
+    pre-aggregated, added up over the few blocks of the key, and joined to the
     running sums inside the blocks.
     """
     keys = list(keys)
-    rows = df.withColumn("_block", even_block(df, order[0]) if block is None else block)
-    sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_block_sum"))
+    limit = hot_limit(df, keys, rows_per_slice)
+    if limit is None:
+        return df.withColumn(name, F.sum(value).over(_so_far(keys, order)))
+    first = F.col(order[0])
+    ends = [F.min(first).alias("_low"), F.max(first).alias("_high")]
+    hot = F.broadcast(hot_keys(df, keys, limit, extra=ends))
+    step = (F.col("_high") - F.col("_low") + 1) / (F.col("_slices") * BLOCKS_PER_SLICE)
+    block = F.coalesce(F.floor((first - F.col("_low")) / step), F.lit(-1))
+    rows = df.join(hot, keys, "left").withColumn("_block", block).drop("_low", "_high", "_slices")
+    sums = rows.where("_block >= 0").groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = sums.select(
-        *keys, "_block", F.coalesce(F.sum("_block_sum").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    offsets = sums.select(*keys, "_block", F.sum("_sum").over(earlier).alias("_before"))
+    inside = F.sum(value).over(_so_far([*keys, "_block"], order))
+    # Offsets: at most BLOCKS_PER_SLICE rows per slice, 2 * MAX_HOT_KEYS slices.
     return (
-        rows.withColumn(name, F.sum(value).over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col(name) + F.col("_before"))
+        rows.withColumn(name, inside)
+        .join(F.broadcast(offsets), [*keys, "_block"], "left")
+        .withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_block", "_before")
     )
 
 
+def _so_far(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+
+
 def sequence_ids(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "type_seq_id"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "type_seq_id",
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Zero-based position of each row inside its key, in ``order``."""
-    numbered = running_total(df, keys, order, F.lit(1), name)
+    numbered = running_total(df, keys, order, F.lit(1), name, rows_per_slice)
     return numbered.withColumn(name, F.col(name) - 1)
 
 

@@ -24,14 +24,17 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, group: str, value: str, probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """(group, p, quantile) with linear interpolation, exact at any size.
+    """(column_name, p, quantile) with linear interpolation, exact at any size.
 
     A mergeable sketch gives each quantile a bracket that is certain to hold it.
     One more pass counts what lies below, and only values inside the bracket - a
-    few per ``accuracy`` rows - are counted by value and walked in order.
+    few per ``accuracy`` rows - are counted by value and walked in order.  The
+    brackets number columns x probabilities, so they are broadcast.
     """
+    group, value = "column_name", "value"
+    df = long_form(df, columns)
     margin = 2.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
@@ -58,7 +61,7 @@ def exact_quantiles(
             )
         ),
     )
-    tagged = df.join(brackets, group).where(F.col(value) <= F.col("_hi"))
+    tagged = df.join(F.broadcast(brackets), group).where(F.col(value) <= F.col("_hi"))
     inside = F.col(value) >= F.col("_lo")
     counted = tagged.groupBy(group, "p", F.when(inside, F.col(value)).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank")
@@ -82,10 +85,13 @@ def exact_quantiles(
 
 
 def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, q1, median, q3, whisker_low, whisker_high) per column."""
+    """(column_name, q1, median, q3, whisker_low, whisker_high) per column.
+
+    The quartile table has one row per column and is broadcast.
+    """
     long = long_form(df, columns)
     wide = (
-        exact_quantiles(long, "column_name", "value", [0.25, 0.5, 0.75])
+        exact_quantiles(df, columns, [0.25, 0.5, 0.75])
         .groupBy("column_name")
         .agg(
             *[
@@ -95,7 +101,7 @@ def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = long.join(wide, "column_name").where(
+    fenced = long.join(F.broadcast(wide), "column_name").where(
         F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     )
     ends = fenced.groupBy("column_name").agg(

@@ -8,24 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys can be called hot, whatever the data looks like: a hot
-# key owns more than 1/MAX_HOT_KEYS of all rows.  That bounds the broadcast.
+# key owns more than 1/MAX_HOT_KEYS of all rows.  That bounds every broadcast.
 MAX_HOT_KEYS = 10_000
 ROWS_PER_SLICE = 2_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Keys too large for one task, with the number of slices each should get.
+def hot_limit(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> float | None:
+    """Row count above which a key is hot, or None when no key is.
 
-    The count is combined map-side.  A key is hot above ``rows_per_slice`` rows
-    and above a fixed share of the table, so the result has at most
-    ``MAX_HOT_KEYS`` rows and may be broadcast.
+    One job over the key columns: counts are combined map-side, and a single row
+    (largest count, total) comes back.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("n")).scalar()
-    limit = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(MAX_HOT_KEYS)))
-    return counts.where(F.col("_n") > limit).select(
-        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices")
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    limit = max(float(rows_per_slice), (row["total"] or 0) / MAX_HOT_KEYS)
+    return limit if (row["largest"] or 0) > limit else None
+
+
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    limit: float,
+    screen: Sequence[str] | None = None,
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Keys with more than ``limit`` rows and the slices each should get.
+
+    At most ``MAX_HOT_KEYS`` rows.  With ``screen``, a coarser part of the keys,
+    fine keys are counted only inside coarse ones that are hot already.
+    """
+    if screen:
+        coarse = df.groupBy(*screen).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        df = df.join(F.broadcast(coarse.select(*screen)), list(screen), "left_semi")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra)
+    slices = F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_slices")
+    return counts.where(F.col("_n") > limit).withColumn("_slices", slices).drop("_n")
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -40,16 +57,22 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    screen: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join in which hot keys of ``left`` are cut into slices.
 
     Each left row goes to one slice; the right rows of a hot key are repeated
     once per slice.  Works for inner, left, left_semi and left_anti joins, since
-    every left row still meets every right row of its key exactly once.
-    ``condition`` may use columns of both sides beyond the keys.
+    every left row still meets every right row of its key exactly once.  Without
+    hot keys (checked by a count, on the ``screen`` part of the keys if given)
+    it is the plain join.  ``condition`` may use columns of both sides; right
+    columns other than the keys must then have names of their own.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys, rows_per_slice))
+    limit = hot_limit(left, screen or keys, rows_per_slice)
+    if limit is None:
+        return _join(left, right, keys, how, condition)
+    hot = F.broadcast(hot_keys(left, keys, limit, screen))
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     cut_left = (
         left.join(hot, keys, "left")
@@ -61,14 +84,15 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
+    return _join(cut_left, spread_right, [*keys, "_salt"], how, condition).drop("_salt")
+
+
+def _join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column | None
+) -> DataFrame:
     if condition is None:
-        return cut_left.join(spread_right, [*keys, "_salt"], how).drop("_salt")
-    renamed = spread_right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in [*keys, "_salt"]],
-        *[c for c in right.columns if c not in keys],
-    )
-    matched = condition
-    for k in [*keys, "_salt"]:
-        matched = matched & (F.col(k) == F.col(f"_r_{k}"))
-    joined = cut_left.join(renamed, matched, how)
-    return joined.drop("_salt", *[f"_r_{k}" for k in [*keys, "_salt"]])
+        return left.join(right, keys, how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])

@@ -29,7 +29,7 @@ def docked_text(poses: DataFrame, relax_poses: DataFrame) -> DataFrame:
         "pdb", F.col("type").alias("start"), F.col("lines").alias("base_lines")
     )
     keyed = poses.withColumn("start", text.start_label(F.col("type")))
-    joined = salted_join(keyed, base, ["pdb", "start"])
+    joined = salted_join(keyed, base, ["pdb", "start"], screen=["pdb"])
     return joined.withColumn("lines", delta.patched_lines(F.col("base_lines"), F.col("delta"))).drop(
         "base_lines", "delta", "start"
     )
@@ -64,7 +64,7 @@ def pose_coordinates(ligand_lines: DataFrame, atom_map: DataFrame) -> DataFrame:
     line = F.col("line")
     atoms = ligand_lines.where(text.is_hetatm(line) & (text.cut(line, 17, 20) == "UNK"))
     atoms = atoms.select("pdb", "row_idx", *text.structure_fields(line))
-    placed = salted_join(atoms, atom_map, ["pdb", "atom_name"])
+    placed = salted_join(atoms, atom_map, ["pdb", "atom_name"], screen=["pdb"])
     ordered = F.array_sort(F.collect_list(F.struct("atom_index", "x", "y", "z")))
     flat = F.flatten(F.transform(ordered, lambda a: F.array(a["x"], a["y"], a["z"])))
     return placed.groupBy("pdb", "row_idx").agg(flat.alias("xyz"))

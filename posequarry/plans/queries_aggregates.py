@@ -89,13 +89,17 @@ def filtered_mean(spark, folder):
     return rounded(aggregated(spark, folder, "filtered_mean"))
 
 
-@query("A5_clustered")
+@query(
+    "A5_clustered",
+    with_views(t.CLUSTERS, body="SELECT pdb, round(score, 6) AS score, 1.0::DOUBLE AS sample_weight FROM members WHERE is_rep"),
+)
 def clustered(spark, folder):
     poses = t.coordinates(spark, folder)
     members = clustering.cluster_poses(poses, 0.3)
-    return aggregate.aggregate_per_pdb(
+    rows = aggregate.aggregate_per_pdb(
         poses, score_col="score", strategy="clustered", cluster_members=members
     )
+    return rounded(rows)
 
 
 @query(

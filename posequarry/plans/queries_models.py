@@ -44,9 +44,13 @@ def grid(spark, folder):
 # -- clustering -----------------------------------------------------------------
 
 
-@query("C1_leader_clusters")
+MEMBERS = "SELECT pdb, row_idx, cluster_id, is_rep, round(rmsd, 6) AS rmsd FROM members"
+
+
+@query("C1_leader_clusters", with_views(t.CLUSTERS, body=MEMBERS))
 def leader_clusters(spark, folder):
-    return clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF)
+    members = clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF)
+    return members.withColumn("rmsd", F.round("rmsd", 6))
 
 
 @query(
@@ -64,10 +68,11 @@ def pose_rmsd(spark, folder):
     )
 
 
-@query("C3_cluster_all")
+@query("C3_cluster_all", with_views(t.CLUSTERS, body=MEMBERS))
 def cluster_all(spark, folder):
     """Sliced form of the clustering, as used for very large complexes."""
-    return clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF, group_rows=45)
+    members = clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF, group_rows=45)
+    return members.withColumn("rmsd", F.round("rmsd", 6))
 
 
 @query(
@@ -106,12 +111,16 @@ def coordinates(spark, folder):
     return found.select("pdb", "row_idx", F.array_join(triples, " ").alias("xyz"))
 
 
-@query("C5_cluster_export")
+@query(
+    "C5_cluster_export",
+    with_views(t.CLUSTERS, body="""SELECT pdb, cluster_id AS representative, count(*) AS size,
+      array_to_string(list(row_idx ORDER BY rmsd, row_idx), ',') AS members FROM members GROUP BY ALL"""),
+)
 def cluster_export(spark, folder):
     members = clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF)
     lists = clustering.nested_clusters(members)
     return lists.select(
-        "pdb", "representative", "size", F.array_join(F.col("members").cast("array<string>"), ",").alias("members")
+        "pdb", "representative", F.col("size").cast("long").alias("size"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members")
     )
 
 

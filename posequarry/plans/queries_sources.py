@@ -407,12 +407,15 @@ def delete_from_index(spark, folder):
     )
 
 
-@query("K8_cluster_cache")
+@query(
+    "K8_cluster_cache",
+    with_views(t.CLUSTERS, body="SELECT pdb, row_idx, cluster_id, is_rep, round(rmsd, 6) AS rmsd FROM members"),
+)
 def cluster_cache(spark, folder):
     poses = t.coordinates(spark, folder)
     cache = scratch_path(spark, "clusters")
-    sinks.cached_clusters(poses, 0.3, cache)
-    return sinks.cached_clusters(poses, 0.3, cache)
+    sinks.cached_clusters(poses.where(F.col("pdb") < "0005"), 0.3, cache)
+    return sinks.cached_clusters(poses, 0.3, cache).withColumn("rmsd", F.round("rmsd", 6))
 
 
 @query(

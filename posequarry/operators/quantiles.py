@@ -35,7 +35,9 @@ def exact_quantiles(
     """
     group, value = "column_name", "value"
     df = long_form(df, columns)
-    margin = 2.0 / accuracy
+    # The sketch is off by at most n / accuracy ranks; four times that leaves
+    # room for interpolation.  Small columns take their whole range as bracket.
+    margin = 4.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
     sketch = df.groupBy(group).agg(
@@ -45,6 +47,7 @@ def exact_quantiles(
         F.percentile_approx(value, low, accuracy).alias("_low"),
         F.percentile_approx(value, high, accuracy).alias("_high"),
     )
+    whole = F.col("_n") <= accuracy
     brackets = sketch.select(
         group,
         F.inline(
@@ -53,8 +56,12 @@ def exact_quantiles(
                     F.struct(
                         F.lit(float(p)).alias("p"),
                         ((F.col("_n") - 1) * F.lit(float(p))).alias("_rank"),
-                        (F.col("_min") if p <= margin else F.get("_low", i)).alias("_lo"),
-                        (F.col("_max") if p >= 1 - margin else F.get("_high", i)).alias("_hi"),
+                        F.when(whole | F.lit(p <= margin), F.col("_min"))
+                        .otherwise(F.get("_low", F.lit(i)))
+                        .alias("_lo"),
+                        F.when(whole | F.lit(p >= 1 - margin), F.col("_max"))
+                        .otherwise(F.get("_high", F.lit(i)))
+                        .alias("_hi"),
                     )
                     for i, p in enumerate(probs)
                 ]

@@ -77,7 +77,7 @@ def salted_join(
     cut_left = (
         left.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(row_hash(left), slices).cast("int"))
-        .drop("_slices")
+        .select(*[F.col(f"`{c}`") for c in left.columns], "_salt")
     )
     spread_right = (
         right.join(hot, keys, "left")

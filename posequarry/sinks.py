@@ -82,8 +82,10 @@ def cached_clusters(poses: DataFrame, rmsd_cutoff: float, cache: str, score_col:
         missing = poses.join(known, "pdb", "left_anti")
     except AnalysisException:
         missing = poses
-    found = cluster_poses(missing, rmsd_cutoff, score_col).withColumn("rmsd_cutoff", F.lit(rmsd_cutoff))
-    found.write.mode("append").partitionBy("rmsd_cutoff").parquet(cache)
+    if not missing.isEmpty():
+        found = cluster_poses(missing, rmsd_cutoff, score_col)
+        found = found.withColumn("rmsd_cutoff", F.lit(rmsd_cutoff))
+        found.write.mode("append").partitionBy("rmsd_cutoff").parquet(cache)
     cached = spark.read.parquet(cache).where(F.col("rmsd_cutoff") == rmsd_cutoff).drop("rmsd_cutoff")
     return cached.join(poses.select("pdb").distinct(), "pdb", "left_semi")
 

@@ -42,6 +42,10 @@ def r6(column: Column | str, name: str | None = None) -> Column:
     return rounded.alias(name) if name else rounded
 
 
+def n_rows(name: str = "n") -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
 def load_all() -> None:
     for name in MODULES:
         import_module(f"posequarry.plans.queries_{name}")

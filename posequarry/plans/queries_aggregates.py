@@ -19,7 +19,7 @@ from posequarry.operators import (
 )
 from posequarry.operators.ordering import first_per_key
 from posequarry.plans import driver_tables as t
-from posequarry.plans.catalog import query, r6, with_views
+from posequarry.plans.catalog import n_rows, query, r6, with_views
 from posequarry.plans.queries_columns import (
     LIGAND_ATOM_ROWS,
     REASONED,
@@ -32,7 +32,6 @@ from posequarry.plans.queries_sources import PROBE, SUBSET, ligand_file_lines
 from posequarry.sources.index import ligand_probe
 from posequarry.sources.store import filtered_subset
 
-N = F.count(F.lit(1))
 FEATURES = tuple(f"raw_delta_{x}" for x in t.INFORMATIVE)
 
 
@@ -143,7 +142,7 @@ def dispatch(spark, folder):
 )
 def pearson(spark, folder):
     rows = t.features(spark, folder).where("relax_idelta_score >= -100000")
-    return rows.agg(r6(metrics.pearson(F.col("relax_idelta_score"), -F.col("dG")), "r"), N.alias("n"))
+    return rows.agg(r6(metrics.pearson(F.col("relax_idelta_score"), -F.col("dG")), "r"), n_rows("n"))
 
 
 @query(
@@ -345,7 +344,7 @@ def distinct_counts(spark, folder):
         F.bool_or(survives).alias("ok"), F.collect_set("type").alias("types")
     )
     return per_pdb.agg(
-        N.alias("n_pdbs"),
+        n_rows("n_pdbs"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), ",").alias("types"),
         F.count_if("ok").alias("n_surviving"),
     )
@@ -411,7 +410,7 @@ def removal_counts(spark, folder):
 )
 def ligand_audit(spark, folder):
     return ligand_probe(ligand_file_lines(spark, folder)).agg(
-        N.alias("n"),
+        n_rows("n"),
         F.count_if("has_hydrogen").alias("with_hydrogen"),
         F.count_if("has_aromatic").alias("with_aromatic"),
     )

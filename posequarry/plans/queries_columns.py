@@ -16,9 +16,8 @@ from posequarry.operators import aggregate, annotations, contacts, filters, logs
 from posequarry.operators.quantiles import long_form
 from posequarry.plans import driver_tables as t
 from posequarry.plans import experiment
-from posequarry.plans.catalog import query, r6, with_views
+from posequarry.plans.catalog import n_rows, query, r6, with_views
 
-N = F.count(F.lit(1))
 
 # -- affinity ---------------------------------------------------------------
 
@@ -51,7 +50,7 @@ def exact_kd(spark, folder):
 def molar_factor(spark, folder):
     unit = F.right("measure", F.lit(2))
     rows = t.measures(spark, folder).select(unit.alias("unit"), aff.molar_factor(unit).alias("factor"))
-    return rows.groupBy("unit", "factor").agg(N.alias("n"))
+    return rows.groupBy("unit", "factor").agg(n_rows("n"))
 
 
 @query(
@@ -109,7 +108,7 @@ def free_energy(spark, folder):
       AND list_contains(string_split(type, '_'), 'perturb') GROUP BY type"""),
 )
 def label_words(spark, folder):
-    return aggregate.keep_refined_perturbed(t.poses(spark, folder)).groupBy("type").agg(N.alias("n"))
+    return aggregate.keep_refined_perturbed(t.poses(spark, folder)).groupBy("type").agg(n_rows("n"))
 
 
 @query(
@@ -119,12 +118,12 @@ def label_words(spark, folder):
 )
 def non_positive(spark, folder):
     kept = aggregate.keep_non_positive(t.poses(spark, folder))
-    return kept.groupBy("pdb").agg(N.alias("n"), r6(F.sum("idelta_score"), "idelta"))
+    return kept.groupBy("pdb").agg(n_rows("n"), r6(F.sum("idelta_score"), "idelta"))
 
 
 def _column_totals(df, columns):
     return long_form(df, columns).groupBy("column_name").agg(
-        N.alias("n"), r6(F.sum("value"), "total")
+        n_rows("n"), r6(F.sum("value"), "total")
     )
 
 
@@ -188,7 +187,7 @@ def original_weights(spark, folder):
         poses, terms.raw_delta_columns(poses.columns), experiment.COMBINED_VDW
     )
     weights = terms.resolve_original_weights(chosen, SCORE_WEIGHTS, experiment.COMBINED_VDW)
-    counts = long_form(rows, chosen).groupBy(F.col("column_name").alias("term")).agg(N.alias("n"))
+    counts = long_form(rows, chosen).groupBy(F.col("column_name").alias("term")).agg(n_rows("n"))
     (first, value), *rest = weights.items()
     weight = F.when(F.col("term") == first, F.lit(value))
     for name, value in rest:
@@ -232,7 +231,7 @@ def raw_energies(spark, folder):
 )
 def start_label(spark, folder):
     poses = t.poses(spark, folder).select(text.start_label(F.col("type")).alias("start"), "type")
-    return poses.groupBy("start", "type").agg(N.alias("n"))
+    return poses.groupBy("start", "type").agg(n_rows("n"))
 
 
 # -- index and ligands --------------------------------------------------------
@@ -436,7 +435,7 @@ def first_token(spark, folder):
 )
 def job_family(spark, folder):
     rows = t.log_lines(spark, folder).where(F.col("line").contains("tion"))
-    return rows.groupBy(text.job_family(F.col("job")).alias("family"), "job").agg(N.alias("n"))
+    return rows.groupBy(text.job_family(F.col("job")).alias("family"), "job").agg(n_rows("n"))
 
 
 @query(
@@ -520,7 +519,7 @@ def cleaned_lines(spark, folder):
 def term_labels(spark, folder):
     poses = t.poses(spark, folder)
     rows = long_form(poses, terms.raw_delta_columns(poses.columns))
-    return rows.groupBy(text.clean_term(F.col("column_name")).alias("term")).agg(N.alias("n"))
+    return rows.groupBy(text.clean_term(F.col("column_name")).alias("term")).agg(n_rows("n"))
 
 
 @query(

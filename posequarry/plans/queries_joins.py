@@ -11,13 +11,11 @@ from posequarry.operators import aggregate, contacts, density, filters, splits,
 from posequarry.operators.progress import resume_plan
 from posequarry.plans import driver_tables as t
 from posequarry.plans import experiment
-from posequarry.plans.catalog import query, r6, with_views
+from posequarry.plans.catalog import n_rows, query, r6, with_views
 from posequarry.plans.queries_sources import SUBSET
 from posequarry.session import materialize
 from posequarry.sources.splits import membership
 
-N = F.count(F.lit(1))
-
 
 class ContactParts(NamedTuple):
     atoms: DataFrame
@@ -43,7 +41,7 @@ def contact_parts(spark, folder) -> ContactParts:
 def affinity_join(spark, folder):
     joined = aggregate.join_affinity(t.poses(spark, folder), t.affinity(spark, folder))
     return joined.groupBy("pdb").agg(
-        N.alias("n"), r6(F.avg("log_kd"), "log_kd"), r6(F.sum("idelta_score"), "idelta")
+        n_rows("n"), r6(F.avg("log_kd"), "log_kd"), r6(F.sum("idelta_score"), "idelta")
     )
 
 
@@ -231,7 +229,7 @@ def experiment_grid(spark, folder):
             for e in experiments
         ]
     )
-    return t.poses(spark, folder).agg(N.alias("n_poses")).select("n_poses", F.inline(cells))
+    return t.poses(spark, folder).agg(n_rows("n_poses")).select("n_poses", F.inline(cells))
 
 
 @query(

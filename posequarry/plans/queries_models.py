@@ -29,7 +29,6 @@ from posequarry.plans.catalog import query, r6, with_views
 from posequarry.plans.queries_sources import SUBSET
 from posequarry.sources.splits import membership
 
-N = F.count(F.lit(1))
 CUTOFF = 0.3
 
 

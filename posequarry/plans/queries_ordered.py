@@ -10,13 +10,11 @@ from posequarry.functions.missing import fails
 from posequarry.operators import contacts, filters, fitting, logs, ordering
 from posequarry.plans import driver_tables as t
 from posequarry.plans import experiment
-from posequarry.plans.catalog import query, r6, with_views
+from posequarry.plans.catalog import n_rows, query, r6, with_views
 from posequarry.plans.queries_columns import CLASSES, ENGINE_SQL
 from posequarry.plans.queries_sources import SUBSET
 from posequarry.sources.store import filtered_subset
 
-N = F.count(F.lit(1))
-
 
 @query(
     "W1_sequence_ids",
@@ -174,7 +172,7 @@ def sorted_counts(spark, folder):
 def union_all(spark, folder):
     columns = ["type", "total_score"]
     rows = t.poses(spark, folder).select(*columns).unionByName(t.relax_poses(spark, folder).select(*columns))
-    return rows.groupBy("type").agg(N.alias("n"), r6(F.sum("total_score"), "total"))
+    return rows.groupBy("type").agg(n_rows("n"), r6(F.sum("total_score"), "total"))
 
 
 CLASS_NAMES = ("index_error", "oserror", "engine_error", "oom", "keyerror")
@@ -217,4 +215,4 @@ def concatenation(spark, folder):
     both = rows.where("relax_total_score > 150").select("pdb").union(
         rows.where("crystal_idelta_score > 20").select("pdb")
     )
-    return both.groupBy("pdb").agg(N.alias("copies"))
+    return both.groupBy("pdb").agg(n_rows("copies"))

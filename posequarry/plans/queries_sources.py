@@ -9,7 +9,7 @@ from posequarry import sinks
 from posequarry.functions import text
 from posequarry.operators import contacts
 from posequarry.plans import driver_tables as t
-from posequarry.plans.catalog import query, r6, with_views, written_once
+from posequarry.plans.catalog import n_rows, query, r6, with_views, written_once
 from posequarry.session import scratch_path
 from posequarry.sources import index, splits, store, text_lines
 
@@ -56,7 +56,7 @@ def store_catalog(spark, folder):
 )
 def pruned_read(spark, folder):
     rows = pose_store(spark, folder).poses().select("dataset", "idelta_score")
-    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("idelta_score"), "idelta"))
+    return rows.groupBy("dataset").agg(n_rows("n"), r6(F.sum("idelta_score"), "idelta"))
 
 
 @query(
@@ -114,7 +114,7 @@ def json_lists(spark, folder):
         F.col("event_id") + F.col("user_id"),
     )
     documents = t.read(spark, folder, "events").select(document.alias("value"))
-    return splits.parse_json_lists(documents).groupBy("list_name", "pdb").agg(F.count(F.lit(1)).alias("n"))
+    return splits.parse_json_lists(documents).groupBy("list_name", "pdb").agg(n_rows("n"))
 
 
 @query(
@@ -125,7 +125,7 @@ def json_lists(spark, folder):
 def id_list(spark, folder):
     line = F.format_string(" %d , n%d,", "c_custkey", "c_nationkey").alias("line")
     path = text_file(spark, folder, "id_list", t.read(spark, folder, "customer").select(line))
-    return splits.load_id_list(spark, path).groupBy("pdb").agg(F.count(F.lit(1)).alias("n"))
+    return splits.load_id_list(spark, path).groupBy("pdb").agg(n_rows("n"))
 
 
 @query(
@@ -145,7 +145,7 @@ def external_split_index(spark, folder):
 )
 def weights_json(spark, folder):
     weights = store.parse_weights(t.read(spark, folder, "events").select("props"), "props")
-    return weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("weight"), "weight"))
+    return weights.groupBy("term").agg(n_rows("n"), r6(F.sum("weight"), "weight"))
 
 
 @query(
@@ -227,7 +227,7 @@ def log_folder(spark, folder):
     )
     read = text_lines.read_logs(spark, path, job_pattern="source=([^/]+)/")
     return read.groupBy("job").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").contains("tion")).alias("n_hits")
+        n_rows("n_lines"), F.count_if(F.col("line").contains("tion")).alias("n_hits")
     )
 
 
@@ -246,7 +246,7 @@ def work_list(spark, folder):
         .otherwise(F.concat(short, F.lit(";A,B;")))
     )
     path = text_file(spark, folder, "work", t.read(spark, folder, "customer").select(line.alias("line")))
-    return index.load_work_list(spark, path).groupBy("pdb").agg(F.count(F.lit(1)).alias("n"))
+    return index.load_work_list(spark, path).groupBy("pdb").agg(n_rows("n"))
 
 
 def cleaned_index_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,7 +285,7 @@ def cleaned_index(spark, folder):
 def full_table(spark, folder):
     rows = store.load_full_table(spark, f"{pose_store(spark, folder).folder}/docking")
     return rows.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"),
+        n_rows("n"),
         F.count("raw_delta_hbond_sc").alias("n_present"),
         r6(F.sum("raw_delta_hbond_sc"), "total"),
     )
@@ -330,7 +330,7 @@ def append_poses(spark, folder):
     sinks.append_poses(rows.where(F.col("type").endswith("perturb")), path)
     table = sinks.append_poses(rows.where(~F.col("type").endswith("perturb")), path)
     return table.groupBy("dataset", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("row_idx").alias("n_rows")
+        n_rows("n"), F.count_distinct("row_idx").alias("n_rows")
     )
 
 
@@ -342,7 +342,7 @@ def append_poses(spark, folder):
 def append_relax(spark, folder):
     table = sinks.append_poses(t.relax_poses(spark, folder), scratch_path(spark, "relax"))
     return table.groupBy("dataset", "type").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("total_score"), "total")
+        n_rows("n"), r6(F.sum("total_score"), "total")
     )
 
 
@@ -353,7 +353,7 @@ def append_relax(spark, folder):
 def write_subset(spark, folder):
     rows = store.filtered_subset(t.poses(spark, folder), t.affinity(spark, folder))
     table = sinks.write_table(rows, scratch_path(spark, "subset"))
-    return table.groupBy("pdb").agg(F.count(F.lit(1)).alias("n"), F.sum("type_seq_id").alias("seq"))
+    return table.groupBy("pdb").agg(n_rows("n"), F.sum("type_seq_id").alias("seq"))
 
 
 @query(
@@ -363,7 +363,7 @@ def write_subset(spark, folder):
 )
 def report_csv(spark, folder):
     report = t.poses(spark, folder).groupBy("pdb", "type").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.min("idelta_score"), "best")
+        n_rows("n"), r6(F.min("idelta_score"), "best")
     )
     return sinks.write_report_csv(report, scratch_path(spark, "report"))
 
@@ -382,7 +382,7 @@ def write_structures(spark, folder):
     path = sinks.write_structures(t.structure_lines(spark, folder), scratch_path(spark, "structures"))
     lines = text_lines.read_lines(spark, path)
     numbered = text_lines.number_lines(lines)
-    files = numbered.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    files = numbered.groupBy("path").agg(n_rows("n"))
     pdb = F.regexp_extract("path", "pdb=([^/]+)/", 1)
     earlier = Window.partitionBy(pdb).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -425,4 +425,4 @@ def cluster_cache(spark, folder):
 )
 def rename_ligand_chain(spark, folder):
     lines = t.structure_lines(spark, folder).withColumn("line", text.rename_ligand_chain(F.col("line"), "X"))
-    return contacts.parsed_atoms(lines).groupBy("pdb", "chain").agg(F.count(F.lit(1)).alias("n"))
+    return contacts.parsed_atoms(lines).groupBy("pdb", "chain").agg(n_rows("n"))

@@ -110,11 +110,8 @@ def test_representatives_feed_the_clustered_strategy(spark, random_poses):
     df = frame(spark, random_poses)
     members = clustering.cluster_poses(df, 1.2)
     got = aggregate.aggregate_per_pdb(df, "score", "clustered", cluster_members=members)
-    want = sorted(
-        (p[0], p[2], 1.0)
-        for p in random_poses
-        if (p[0], p[1]) in {(m[0], m[1]) for m in by_hand(random_poses, 1.2) if m[3]}
-    )
+    reps = {(m[0], m[1]) for m in by_hand(random_poses, 1.2) if m[3]}
+    want = sorted((p[0], p[2], 1.0) for p in random_poses if (p[0], p[1]) in reps)
     assert rows(got) == want
 
 

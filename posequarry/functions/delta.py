@@ -21,5 +21,11 @@ def saved_share(base: Column, delta: Column) -> Column:
 
 
 def patched_lines(base: Column, delta: Column) -> Column:
-    """Base lines with the delta applied."""
-    return F.transform(base, lambda v, i: F.coalesce(F.try_element_at(delta, i), v))
+    """Base lines with the delta applied.
+
+    Both sides meet as maps over the line index, which hashes the keys: linear in
+    the lines, where a lookup per line would search the delta every time.
+    """
+    indexed = F.map_from_arrays(F.transform(base, lambda _, i: i), base)
+    merged = F.map_zip_with(indexed, delta, lambda _, old, new: F.coalesce(new, old))
+    return F.slice(F.map_values(merged), F.lit(1), F.size(base))

@@ -49,15 +49,15 @@ def poses(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_tax") * 30).alias("rmsd_to_input"),
         (order % 100).cast("double").alias("prepare_time"),
         F.lit(0.0).alias("raw_delta_???"),
-        (-quantity / 10).alias("raw_delta_fa_atr"),
-        (F.col("l_discount") * 30).alias("raw_delta_fa_rep"),
-        (F.col("l_tax") * 50).alias("raw_delta_fa_sol"),
+        (-quantity / 9.1).alias("raw_delta_fa_atr"),
+        (F.col("l_discount") / 0.033).alias("raw_delta_fa_rep"),
+        (F.col("l_tax") / 0.0197).alias("raw_delta_fa_sol"),
         F.lit(0.0).alias("raw_delta_rama"),
-        ((part % 97) / 10 - 5).alias("raw_delta_fa_elec"),
-        (-(order % 53) / 20).alias("raw_delta_fa_pair"),
-        (-line / 4).alias("raw_delta_hbond_bb_sc"),
+        ((part % 97) / 9.7 - 5).alias("raw_delta_fa_elec"),
+        (-(order % 53) / 19.3).alias("raw_delta_fa_pair"),
+        (-line / 4.1).alias("raw_delta_hbond_bb_sc"),
         F.when((line == 7) & (F.col("l_discount") > 0.08), F.lit(None).cast("double"))
-        .otherwise(-(part % 13) / 10)
+        .otherwise(-(part % 13) / 9.9)
         .alias("raw_delta_hbond_sc"),
         F.lit(0.0).alias("raw_delta_ref"),
     )
@@ -75,15 +75,15 @@ POSES = f"""poses AS (
     l_tax * 30 AS rmsd_to_input,
     (l_orderkey % 100)::DOUBLE AS prepare_time,
     0.0::DOUBLE AS "raw_delta_???",
-    -l_quantity / 10 AS raw_delta_fa_atr,
-    l_discount * 30 AS raw_delta_fa_rep,
-    l_tax * 50 AS raw_delta_fa_sol,
+    -l_quantity / 9.1::DOUBLE AS raw_delta_fa_atr,
+    l_discount / 0.033::DOUBLE AS raw_delta_fa_rep,
+    l_tax / 0.0197::DOUBLE AS raw_delta_fa_sol,
     0.0::DOUBLE AS raw_delta_rama,
-    (l_partkey % 97)::DOUBLE / 10 - 5 AS raw_delta_fa_elec,
-    -(l_orderkey % 53)::DOUBLE / 20 AS raw_delta_fa_pair,
-    -l_linenumber::DOUBLE / 4 AS raw_delta_hbond_bb_sc,
+    (l_partkey % 97)::DOUBLE / 9.7::DOUBLE - 5 AS raw_delta_fa_elec,
+    -(l_orderkey % 53)::DOUBLE / 19.3::DOUBLE AS raw_delta_fa_pair,
+    -l_linenumber::DOUBLE / 4.1::DOUBLE AS raw_delta_hbond_bb_sc,
     CASE WHEN l_linenumber = 7 AND l_discount > 0.08 THEN NULL
-      ELSE -(l_partkey % 13)::DOUBLE / 10 END AS raw_delta_hbond_sc,
+      ELSE -(l_partkey % 13)::DOUBLE / 9.9::DOUBLE END AS raw_delta_hbond_sc,
     0.0::DOUBLE AS raw_delta_ref
   FROM lineitem)"""
 

@@ -42,8 +42,8 @@ def histogram(df: DataFrame, value: Column, bins: int, keep: Column | None = Non
     """(bin, n) over the data's own range, of the rows that pass ``keep``."""
     rows = df.where(keep) if keep is not None else df
     rows = rows.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    low = rows.agg(F.min("v").alias("m")).scalar()
-    high = rows.agg(F.max("v").alias("m")).scalar()
+    ends = rows.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     placed = rows.select(bin_index(F.col("v"), low, high, bins).alias("bin"))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 

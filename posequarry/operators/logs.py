@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posequarry.fixed_values import ENGINE_RULES, LOG_RULES
@@ -36,23 +36,25 @@ def classify_jobs(
 
 def class_totals(jobs: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Jobs per class, jobs in any class, and all jobs."""
-    anything = reduce(lambda a, b: a | b, [F.col(c) for c in classes])
     return jobs.agg(
         *[F.count_if(F.col(c)).alias(c) for c in classes],
-        F.count_if(anything).alias("classified"),
+        F.count_if(_in_any(classes)).alias("classified"),
         F.count(F.lit(1)).alias("jobs"),
     )
 
 
+def _in_any(classes: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c) for c in classes])
+
+
 def jobs_in(jobs: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Set union of classes."""
-    parts = [jobs.where(F.col(c)).select("job") for c in classes]
-    return reduce(lambda a, b: a.union(b), parts).distinct()
+    """Set union of classes; jobs are unique, so one filter is enough."""
+    return jobs.where(_in_any(classes)).select("job")
 
 
-def unclassified_jobs(lines: DataFrame, jobs: DataFrame, classes: Sequence[str]) -> DataFrame:
+def unclassified_jobs(jobs: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Set difference: every job minus the classified ones."""
-    return lines.select("job").subtract(jobs_in(jobs, classes))
+    return jobs.where(~_in_any(classes)).select("job")
 
 
 def first_match(lines: DataFrame, phrase: str, order: Sequence[str] = ("line_no",)) -> DataFrame:
@@ -60,7 +62,7 @@ def first_match(lines: DataFrame, phrase: str, order: Sequence[str] = ("line_no"
 
     Every job is listed; one without a match has no token.
     """
-    hit = F.col("line").contains(phrase)
-    position = F.when(hit, F.col(order[0]) if len(order) == 1 else F.struct(*order))
-    token = F.when(hit, last_word(F.col("line")))
-    return lines.groupBy("job").agg(F.min_by(token, position).alias("token"))
+    matching = lines.where(F.col("line").contains(phrase))
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    found = matching.groupBy("job").agg(F.min_by(last_word(F.col("line")), position).alias("token"))
+    return lines.select("job").distinct().join(found, "job", "left")

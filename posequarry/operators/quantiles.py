@@ -108,10 +108,12 @@ def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = long.join(F.broadcast(wide), "column_name").where(
-        F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    )
-    ends = fenced.groupBy("column_name").agg(
-        F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high")
+    value = F.col("value")
+    return (
+        long.join(F.broadcast(wide), "column_name")
+        .groupBy("column_name", "q1", "median", "q3")
+        .agg(
+            F.min(F.when(value >= F.col("q1") - reach, value)).alias("whisker_low"),
+            F.max(F.when(value <= F.col("q3") + reach, value)).alias("whisker_high"),
+        )
     )
-    return wide.join(ends, "column_name")

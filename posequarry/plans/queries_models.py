@@ -161,10 +161,10 @@ def reweighting_fit(spark, folder):
 
 @query("M3_softplus_fit")
 def softplus_fit(spark, folder):
-    """Positive weights chosen by validation error, with test metrics."""
+    """Positive weights per affinity type, chosen by validation error."""
     rows = t.features(spark, folder).where("relax_idelta_score >= -100000")
     frame = rows.select(
-        F.lit("softplus").alias("config"),
+        F.coalesce("affinity_type", F.lit("unknown")).alias("config"),
         F.col("split_a").alias("part"),
         (-F.col("dG")).alias("y"),
         (F.col("relax_idelta_score") / 50).alias("x0"),

@@ -186,8 +186,8 @@ def class_union(spark, folder):
 
 @query("U3_unclassified", with_views(t.LOG_LINES, CLASSES, body=f"SELECT job FROM classes WHERE NOT {ANY}"))
 def unclassified(spark, folder):
-    lines = t.log_lines(spark, folder)
-    return logs.unclassified_jobs(lines, logs.classify_jobs(lines, t.LOG_WORDS), CLASS_NAMES)
+    jobs = logs.classify_jobs(t.log_lines(spark, folder), t.LOG_WORDS)
+    return logs.unclassified_jobs(jobs, CLASS_NAMES)
 
 
 @query(

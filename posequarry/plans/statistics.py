@@ -47,7 +47,7 @@ def run_statistics(
         members = sinks.cached_clusters(scored, rmsd_cutoff, f"{out}/clusters", "idelta_score")
         chosen += experiment.clustered_experiments(rmsd_cutoff)
         report = sinks.write_report_csv(cluster_statistics(members), f"{out}/cluster_report")
-    grid = experiment.Grid(subset, subset, chosen, cluster_members=members)
+    grid = experiment.Grid(subset, affinity, chosen, cluster_members=members)
     baseline = sinks.write_report_csv(grid.baseline(), f"{out}/baseline_results")
     frame = materialize(grid.training_frame())
     fitted = materialize(fitting.fit_weights(frame, epochs=epochs))

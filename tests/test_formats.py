@@ -198,7 +198,7 @@ def test_log_rules(spark, tmp_path):
     classes = ["index_error", "oserror", "engine_error", "oom", "keyerror"]
     totals = logs.class_totals(jobs, classes).first()
     assert (totals["index_error"], totals["oom"], totals["classified"], totals["jobs"]) == (1, 1, 2, 3)
-    assert rows(logs.unclassified_jobs(lines, jobs, classes)) == [("FamA_1_3",)]
+    assert rows(logs.unclassified_jobs(jobs, classes)) == [("FamA_1_3",)]
     assert rows(jobs.select(text.job_family(F.col("job")))) == [("FamA",), ("FamA",), ("FamB",)]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from posequarry.fixed_values import HEATMAP_BINS, HEATMAP_X, HEATMAP_Y
 from posequarry.functions.metrics import bin_index
 from posequarry.operators.skew import salted_join
+from posequarry.session import materialize
 
 # Cells are one kernel bandwidth wide.  The series order keeps the truncation
 # error below 1e-9 and the reach drops kernel values below 1e-14.
@@ -102,7 +103,7 @@ def kernel_density(df: DataFrame, x: str, y: str) -> DataFrame:
     x, then along y - and each point evaluates the polynomial of its cell.  Work
     grows linearly with the rows.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = materialize(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()))
     m = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mx"),
@@ -124,21 +125,16 @@ def kernel_density(df: DataFrame, x: str, y: str) -> DataFrame:
     placed = placed.withColumns(
         {"_u": F.col("_z1") - F.col("cx") - 0.5, "_v": F.col("_z2") - F.col("cy") - 0.5}
     )
-    powers = {}
-    for k in range(2, ORDER + 1):
-        powers |= {f"_u{k}": F.pow("_u", F.lit(float(k))), f"_v{k}": F.pow("_v", F.lit(float(k)))}
-
-    def power(name: str, k: int) -> Column:
-        return F.lit(1.0) if k == 0 else F.col(name) if k == 1 else F.col(f"{name}{k}")
-
-    zero = F.lit(0.0)
+    powers = [
+        f"pow(_{axis}, {k}) AS {axis}{k}" for axis in "uv" for k in range(ORDER + 1)
+    ]
     sums = [
-        F.sum(power("_u", i) * power("_v", j)) if i + j <= ORDER else zero
+        f"sum(u{i} * v{j})" if i + j <= ORDER else "0.0D"
         for i in range(ORDER + 1)
         for j in range(ORDER + 1)
     ]
-    cells = placed.select("cx", "cy", "_u", "_v").withColumns(powers)
-    cells = cells.groupBy("cx", "cy").agg(F.array(*sums).alias("m"))
+    cells = placed.selectExpr("cx", "cy", *powers)
+    cells = cells.groupBy("cx", "cy").agg(F.expr(f"array({', '.join(sums)}) AS m"))
     occupied = cells.select("cx", "cy")
     columns = _spread_along(cells, 0, occupied.select("cx").distinct())
     series = _spread_along(columns, 1, occupied)

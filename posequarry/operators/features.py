@@ -11,7 +11,6 @@ from posequarry.fixed_values import FEATURE_TERMS
 from posequarry.functions import affinity as aff
 from posequarry.functions.missing import differs
 from posequarry.functions.metrics import mae, pearson, rmse
-from posequarry.functions.terms import quoted
 from posequarry.operators.ordering import first_per_key
 from posequarry.operators.splits import assign_splits, required_lookup
 
@@ -60,8 +59,8 @@ def state_columns(states: DataFrame) -> DataFrame:
     """
     rows = first_per_key(states.where(F.col("state").isin(*STATES)), ["pdb", "state"], [F.col("row_idx")])
 
-    def of(state: str, column: str) -> Column:
-        return F.max(F.when(F.col("state") == state, quoted(column).cast("double")))
+    def of(state: str, column: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN state = '{state}' THEN double(`{column}`) END) AS `{name}`")
 
     picked = {
         "rmsd_relax_to_crystal": ("relax", "rmsd_to_crystal"),
@@ -79,7 +78,7 @@ def state_columns(states: DataFrame) -> DataFrame:
     ):
         picked |= {prefix + term: (state, source + term) for term in FEATURE_TERMS}
     present = [F.bool_or(F.col("state") == s).alias(f"_has_{s}") for s in STATES]
-    return rows.groupBy("pdb").agg(*present, *[of(s, c).alias(n) for n, (s, c) in picked.items()])
+    return rows.groupBy("pdb").agg(*present, *[of(s, c, n) for n, (s, c) in picked.items()])
 
 
 def residue_counts(atoms: DataFrame) -> DataFrame:

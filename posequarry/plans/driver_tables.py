@@ -99,9 +99,9 @@ def relax_poses(spark: SparkSession, folder: str, terms: tuple[str, ...] = INFOR
     )
     group = F.expr("o_custkey div 15")
     energies = [
-        (((key * (i + 3)) % (step * 100 + 900)).cast("double") / 10 - 40).alias(f"{prefix}{t}")
+        F.expr(f"double((o_orderkey * {i + 3}) % {step * 100 + 900}) / 10 - 40 AS {prefix}{x}")
         for step, prefix in enumerate(("raw_", "raw_delta_"))
-        for i, t in enumerate(terms)
+        for i, x in enumerate(terms)
     ]
     return rows.select(
         F.expr(DATASET.format("(o_custkey div 15)")).alias("dataset"),

@@ -6,7 +6,7 @@ per aggregation and all selections are projections of the result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -23,7 +23,6 @@ from posequarry.functions.terms import (
     raw_delta_columns,
     resolve_original_weights,
     selected_features,
-    weighted_sum,
 )
 from posequarry.operators import fitting
 from posequarry.operators.aggregate import collapse_weighted, join_kd_columns
@@ -121,9 +120,8 @@ class Grid:
     def _means(self) -> list[Column]:
         return [F.avg(c).alias(c) for c in (self.score, *self.columns)]
 
-    def _complete(self, e: Experiment) -> Column:
-        columns = [c for _, c in self.features[e.terms.name]]
-        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    def _complete(self, e: Experiment) -> str:
+        return " AND ".join(f"{c} IS NOT NULL" for _, c in self.features[e.terms.name])
 
     def _cluster_means(self) -> DataFrame:
         """Representative rows averaged per complex and selection.
@@ -133,10 +131,10 @@ class Grid:
         """
         reps = self.members.where("is_rep").select("pdb", "row_idx")
         mine = [e for e in self.experiments if e.aggregation.strategy == "clustered"]
-        usable = F.array_compact(
-            F.array(*[F.when(self._complete(e), F.lit(e.terms.name)) for e in mine])
+        usable = ", ".join(f"CASE WHEN {self._complete(e)} THEN '{e.terms.name}' END" for e in mine)
+        rows = self.poses.join(reps, ["pdb", "row_idx"]).withColumn(
+            "selection", F.expr(f"explode(array_compact(array({usable})))")
         )
-        rows = self.poses.join(reps, ["pdb", "row_idx"]).withColumn("selection", F.explode(usable))
         return rows.groupBy("pdb", "selection").agg(*self._means())
 
     def per_complex(self) -> DataFrame:
@@ -188,29 +186,31 @@ class Grid:
                 raise ValueError(f"unknown aggregation strategy: {a.strategy!r}")
         return join_kd_columns(reduce(DataFrame.unionByName, parts), self.affinity)
 
-    def _entries(self, value) -> DataFrame:
-        """One row per complex and experiment; incomplete feature rows drop out."""
-        cells = []
-        for e in self.experiments:
-            mine = (F.col("aggregation") == e.aggregation.name) & (
-                F.coalesce(F.col("selection"), F.lit(e.terms.name)) == e.terms.name
-            )
-            cells.append(F.when(mine & self._complete(e), value(e)))
-        entries = F.array_compact(F.array(*cells))
-        return self.per_complex().select("pdb", "aggregation", "log_kd", F.inline(entries))
+    def _entries(self, value: Callable[[Experiment], str]) -> DataFrame:
+        """One row per complex and experiment; incomplete feature rows drop out.
+
+        Stated as one SQL expression, which keeps a large grid cheap to build.
+        """
+        cells = ", ".join(
+            f"CASE WHEN aggregation = '{e.aggregation.name}' "
+            f"AND coalesce(selection, '{e.terms.name}') = '{e.terms.name}' "
+            f"AND {self._complete(e)} THEN {value(e)} END"
+            for e in self.experiments
+        )
+        return self.per_complex().select(
+            "pdb", "aggregation", "log_kd", F.expr(f"inline(array_compact(array({cells})))")
+        )
 
     def scatter(self) -> DataFrame:
         """(aggregation, term_selection, pdb, log_kd, agg_score)."""
 
-        def cell(e: Experiment) -> Column:
+        def cell(e: Experiment) -> str:
             names = dict(self.features[e.terms.name])
             weights = resolve_original_weights(names, self.weights, e.terms)
-            score = (
-                F.col(self.score)
-                if e.terms.is_plain
-                else weighted_sum({names[n]: w for n, w in weights.items()})
-            )
-            return F.struct(F.lit(e.terms.name).alias("term_selection"), score.alias("agg_score"))
+            score = " + ".join(f"{names[n]} * {float(w)!r}D" for n, w in weights.items())
+            if e.terms.is_plain:
+                score = f"`{self.score}`"
+            return f"named_struct('term_selection', '{e.terms.name}', 'agg_score', {score})"
 
         return self._entries(cell)
 
@@ -225,12 +225,11 @@ class Grid:
         """(config, part, pdb, y, x0...) for the fits; unused features are zero."""
         width = max(len(p) for p in self.features.values())
 
-        def cell(e: Experiment) -> Column:
-            columns = [F.col(c) for _, c in self.features[e.terms.name]]
-            columns += [F.lit(0.0)] * (width - len(columns))
-            return F.struct(
-                F.lit(e.tag).alias("config"), *[c.alias(f"x{i}") for i, c in enumerate(columns)]
-            )
+        def cell(e: Experiment) -> str:
+            columns = [c for _, c in self.features[e.terms.name]]
+            columns += ["0.0D"] * (width - len(columns))
+            fields = ", ".join(f"'x{i}', {c}" for i, c in enumerate(columns))
+            return f"named_struct('config', '{e.tag}', {fields})"
 
         return self._entries(cell).select(
             "config",

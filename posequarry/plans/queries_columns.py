@@ -17,6 +17,9 @@ from posequarry.operators.quantiles import long_form
 from posequarry.plans import driver_tables as t
 from posequarry.plans import experiment
 from posequarry.plans.catalog import n_rows, query, r6, with_views
+from posequarry.plans.queries_joins import contact_parts
+from posequarry.sources import store
+from posequarry.sources.index import parse_annotations
 
 
 # -- affinity ---------------------------------------------------------------
@@ -249,8 +252,6 @@ reasoned AS (
 
 
 def annotated(spark, folder):
-    from posequarry.sources.index import parse_annotations
-
     return annotations.with_removal_reason(parse_annotations(t.index_lines(spark, folder)))
 
 
@@ -364,8 +365,6 @@ def filter_waterfall(spark, folder):
     with_views(t.ATOMS, t.LIGAND, t.HITS, t.BLOCKS, t.CONTACTS, body="SELECT reason, count(*) AS n FROM verdict GROUP BY reason"),
 )
 def exclusion_waterfall(spark, folder):
-    from posequarry.plans.queries_joins import contact_parts
-
     parts = contact_parts(spark, folder)
     return filters.reason_counts(contacts.curation_verdict(parts.sizes, parts.contacts, 560))
 
@@ -505,8 +504,6 @@ def text_patch(spark, folder):
         AND c.name = l.atom_name AND c.atom_no = l.atom_no))"""),
 )
 def cleaned_lines(spark, folder):
-    from posequarry.plans.queries_joins import contact_parts
-
     parts = contact_parts(spark, folder)
     return contacts.cleaned_lines(t.structure_lines(spark, folder), parts.contacts).select("pdb", "line_no")
 
@@ -529,8 +526,6 @@ def term_labels(spark, folder):
       FROM poses WHERE type = 'relax_docking_perturb'"""),
 )
 def lead_scores(spark, folder):
-    from posequarry.sources.store import lead_scores as lead
-
-    rows = lead(t.poses(spark, folder), "relax_docking_perturb")
+    rows = store.lead_scores(t.poses(spark, folder), "relax_docking_perturb")
     rounded = ("total_score", "idelta_score", "rmsd_to_crystal", "rmsd_to_input")
     return rows.select("pdb", "row_idx", *[r6(c, c) for c in rounded], "prepare_time")

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from posequarry import sinks
 from posequarry.fixed_values import FEATURE_TERMS, STAGE_TARGETS
-from posequarry.operators import features, progress, splits, structure
-from posequarry.plans import experiment
+from posequarry.operators import annotations, features, progress, splits, structure
+from posequarry.plans import experiment, feature_report
 from posequarry.plans.curation import curate
 from posequarry.plans.statistics import run_statistics
 from posequarry.schemas import pose_schema
@@ -214,3 +214,51 @@ def test_ingest_resumes_without_repeats(spark, tmp_path):
 
 def test_pose_schema_width():
     assert len(pose_schema()) == 4 + 57
+
+
+def test_feature_reports_and_refit(spark):
+    rng = np.random.default_rng(31)
+    n = 400
+    table = pd.DataFrame(rng.normal(-1, 1, (n, 25)), columns=[f"relax_idelta_{t}" for t in FEATURE_TERMS])
+    table["relax_idelta_score"] = table.sum(axis=1)
+    table["dG"] = -(0.8 * table["relax_idelta_fa_atr"] + 0.3 * table["relax_idelta_fa_sol"])
+    table = table.assign(
+        pdb=[str(i) for i in range(n)], split_a=np.where(np.arange(n) % 10 < 7, "train", np.where(np.arange(n) % 10 < 8, "val", "test")),
+        affinity_type="Kd", vague_measures=np.arange(n) % 20 == 0, covalent=False, fully_relaxed=True, qed=0.5,
+        has_rare_element=False, rmsd_relax_to_crystal=1.0, crystal_idelta_score=table["relax_idelta_score"] - 1,
+        relax_total_score=-5.0 + rng.normal(size=n), ligaway_total_score=-4.0, crystal_total_score=-3.0,
+    )
+    df = spark.createDataFrame(table)
+    got = feature_report.feature_report(df, ["split_a"], "split_a")
+    assert got.waterfall.orderBy("step").collect()[-1]["remaining"] == n - 20
+    assert got.split_sizes.first()["train"] == int(280 * 0.9) and got.overlap.count() == 64
+    assert got.metrics.count() == 3 and got.heatmap.agg(F.sum("n")).first()[0] > 0
+    assert got.boxes.count() == 20
+    fit = feature_report.refit_energies(df, "split_a", epochs=2500, lr=0.05)
+    weights = {r["energy_term"]: r["weight"] for r in fit.weights.collect()}
+    assert len(weights) == 20 and min(weights.values()) > 0
+    assert weights["relax_idelta_fa_atr"] > 0.6 > weights["relax_idelta_fa_rep"] + 0.4
+    assert {r["part"]: r["mae"] for r in fit.metrics.collect()}["test"] < 0.3
+
+
+def test_all_bad_flags_are_tallied(spark):
+    index = spark.createDataFrame(
+        [("a", "2.0", ["covalent", "NMR, redundant"]), ("b", "2.0", ["pH 7"])],
+        "pdb string, resolution string, flags array<string>",
+    )
+    assert rows(annotations.all_removal_flags(index)) == [("NMR", 1), ("covalent", 1), ("redundant", 1)]
+    assert rows(annotations.with_removal_reason(index).select("pdb", "reason")) == [("a", "covalent"), ("b", "kept")]
+
+
+def test_ligand_reasons_in_order(spark):
+    data = [("a", 20, False, None), ("b", 5, True, 0.1), ("c", 5, True, 0.5), ("d", 501, False, 0.5), ("e", 9, True, 0.5), ("f", 9, False, 0.5)]
+    df = spark.createDataFrame(data, "pdb string, heavy_atoms long, has_rare boolean, qed double")
+    got = [r["reason"] for r in annotations.ligand_reason(df).orderBy("pdb").collect()]
+    assert got == ["parse", "qed", "heavy atom count", "heavy atom count", "rare element", "kept"]
+
+
+def test_storage_report(spark):
+    df = spark.createDataFrame([("m", "abc", 1.5), ("m", "é", None), ("n", "", 2.0)], "dataset string, t string, f float")
+    got = {(r["dataset"], r["column_name"]): (r["bytes"], r["size_text"]) for r in progress.storage_report(df, ["t", "f"]).collect()}
+    assert got["m", "t"] == (5, "5.00 B") and got["m", "f"] == (4, "4.00 B") and got["n", "t"] == (0, "0 B")
+    assert got["m", "TOTAL"] == (9, "9.00 B") and got["TOTAL", "TOTAL"] == (13, "13.00 B")

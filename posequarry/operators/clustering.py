@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posequarry.functions.terms import quoted
-from posequarry.operators.ordering import n_smallest
+from posequarry.operators.ordering import n_smallest, sequence_ids
 from posequarry.session import materialize
 
 MEMBERS = "pdb string, row_idx long, cluster_id long, is_rep boolean, rmsd double"
@@ -270,13 +270,20 @@ def cluster_statistics(members: DataFrame) -> DataFrame:
     )
 
 
-def nested_clusters(members: DataFrame) -> DataFrame:
-    """Export form: member and RMSD lists per cluster (for small complexes)."""
-    ordered = F.array_sort(F.collect_list(F.struct("rmsd", "row_idx")))
-    lists = members.groupBy("pdb", "cluster_id").agg(ordered.alias("m"))
+def nested_clusters(members: DataFrame, part_size: int = 10_000) -> DataFrame:
+    """Export form with member and RMSD lists, nearest members first.
+
+    A list holds at most ``part_size`` members; a larger cluster spans several
+    parts, in order, so that no row grows with the data.
+    """
+    placed = sequence_ids(members, ["pdb", "cluster_id"], ["rmsd", "row_idx"], "place")
+    part = F.floor(F.col("place") / part_size).alias("part")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "row_idx", "rmsd")))
+    lists = placed.groupBy("pdb", "cluster_id", part).agg(ordered.alias("m"))
     return lists.select(
         "pdb",
         F.col("cluster_id").alias("representative"),
+        "part",
         F.col("m.row_idx").alias("members"),
         F.col("m.rmsd").alias("rmsds"),
         F.size("m").alias("size"),

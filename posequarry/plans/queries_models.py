@@ -112,14 +112,14 @@ def coordinates(spark, folder):
 
 @query(
     "C5_cluster_export",
-    with_views(t.CLUSTERS, body="""SELECT pdb, cluster_id AS representative, count(*) AS size,
+    with_views(t.CLUSTERS, body="""SELECT pdb, cluster_id AS representative, 0 AS part, count(*) AS size,
       array_to_string(list(row_idx ORDER BY rmsd, row_idx), ',') AS members FROM members GROUP BY ALL"""),
 )
 def cluster_export(spark, folder):
     members = clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF)
     lists = clustering.nested_clusters(members)
     return lists.select(
-        "pdb", "representative", F.col("size").cast("long").alias("size"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members")
+        "pdb", "representative", "part", F.col("size").cast("long").alias("size"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members")
     )
 
 

@@ -47,6 +47,9 @@ def compare(spark, connection, name, folder):
 
     started = time.time()
     df = catalog.PLANS[name](spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return False, "pairs every row with every row", 0, 0.0
     got_columns, got = canonical(df.columns, df.collect())
     seconds = time.time() - started
     if name not in catalog.SQL:

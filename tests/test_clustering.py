@@ -126,5 +126,14 @@ def test_statistics(spark, random_poses):
     assert stats["median_cluster_size"] == np.median(sizes["count"])
     assert stats["mean_cluster_size"] == pytest.approx(sizes["count"].mean())
     assert stats["n_singletons"] == (sizes["count"] == 1).sum()
-    nested = clustering.nested_clusters(members).where(F.col("size") != F.size("members"))
-    assert nested.count() == 0
+
+
+def test_nested_lists_are_cut_into_parts(spark, random_poses):
+    members = clustering.cluster_poses(frame(spark, random_poses), 1.2)
+    whole, parts = clustering.nested_clusters(members), clustering.nested_clusters(members, 7)
+    assert whole.where("part > 0").count() == 0 and parts.where("size > 7").count() == 0
+    joined = parts.select("pdb", "representative", "part", F.posexplode("members").alias("i", "row"))
+    lists = {}
+    for r in joined.orderBy("part", "i").collect():
+        lists.setdefault((r["pdb"], r["representative"]), []).append(r["row"])
+    assert lists == {(r["pdb"], r["representative"]): r["members"] for r in whole.collect()}

@@ -70,13 +70,6 @@ def clustered_experiments(rmsd_cutoff: float = 2.0) -> list[Experiment]:
     return [Experiment(aggregation, t) for t in TERM_SELECTIONS]
 
 
-def experiment_frame(experiments: Sequence[Experiment]) -> list[dict[str, str]]:
-    return [
-        {"aggregation": e.aggregation.name, "term_selection": e.terms.name, "tag": e.tag}
-        for e in experiments
-    ]
-
-
 class Grid:
     """Shared aggregates of one pose table for a list of experiments.
 

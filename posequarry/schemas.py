@@ -31,13 +31,3 @@ AFFINITY_CSV = T.StructType(
         T.StructField("covalent", T.BooleanType()),
     ]
 )
-
-CLUSTER_MEMBERS = T.StructType(
-    [
-        T.StructField("pdb", T.StringType()),
-        T.StructField("row_idx", T.LongType()),
-        T.StructField("rep_row_idx", T.LongType()),
-        T.StructField("is_rep", T.BooleanType()),
-        T.StructField("rmsd", T.DoubleType()),
-    ]
-)

@@ -168,6 +168,16 @@ def test_split_sources(spark, tmp_path):
     assert rows(splits.load_id_list(spark, str(tmp_path / "ids.md"))) == [("1abc",), ("2def",), ("3ghi",), ("4jkl",)]
 
 
+def test_split_index_has_one_row_per_id(spark, tmp_path):
+    data = [("1abc", "train", 1), ("1abc", "val", 2), ("2def", "test", 3)]
+    df = spark.createDataFrame(data, "entry_pdb_id string, split string, other int")
+    df.write.parquet(str(tmp_path / "index"))
+    index_rows = splits.load_split_index(spark, str(tmp_path / "index"))
+    assert rows(index_rows) == [("1abc", "train"), ("2def", "test")]
+    plan = index_rows._jdf.queryExecution().executedPlan().toString()
+    assert "other" not in plan
+
+
 def test_weights_file_with_a_huge_number(spark, tmp_path):
     (tmp_path / "w.json").write_text('{\n "???": 4.914646529436531e+252,\n "fa_atr": 0.8\n}')
     assert rows(store.load_weights(spark, str(tmp_path / "w.json"))) == [("???", 4.914646529436531e252), ("fa_atr", 0.8)]

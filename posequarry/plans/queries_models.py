@@ -24,9 +24,10 @@ from posequarry.operators.aggregate import (
     lowest_pose,
 )
 from posequarry.plans import driver_tables as t
-from posequarry.plans import experiment
+from posequarry.plans import experiment, fit_sql
 from posequarry.plans.catalog import query, r6, with_views
 from posequarry.plans.queries_sources import SUBSET
+from posequarry.session import materialize
 from posequarry.sources.splits import membership
 
 CUTOFF = 0.3
@@ -132,7 +133,7 @@ levels AS (SELECT 'min' AS aggregation, * FROM rows WHERE rn = 1 UNION ALL SELEC
   UNION ALL SELECT 'filtered_mean', * FROM rows),
 per AS (SELECT aggregation, pdb, any_value(log_kd) AS log_kd, avg(idelta_score) AS s, avg(raw_delta_fa_atr) AS atr,
   avg(raw_delta_fa_rep) AS rep, avg(raw_delta_fa_sol) AS sol, avg(raw_delta_fa_elec) AS elec, avg(raw_delta_fa_pair) AS pair,
-  avg(raw_delta_hbond_sc) AS sc, avg(hb) AS hb, avg(vdw) AS vdw FROM levels GROUP BY aggregation, pdb),
+  avg(raw_delta_hbond_bb_sc) AS bb, avg(raw_delta_hbond_sc) AS sc, avg(hb) AS hb, avg(vdw) AS vdw FROM levels GROUP BY aggregation, pdb),
 scatter AS (SELECT aggregation, 'all_terms' AS term_selection, pdb, log_kd, s AS agg_score FROM per WHERE sc IS NOT NULL
   UNION ALL SELECT aggregation, 'combined_hbond', pdb, log_kd,
     0.8::DOUBLE * atr + 0.4::DOUBLE * rep + 0.6::DOUBLE * sol + 0.42::DOUBLE * elec + 0.8::DOUBLE * pair + 1.3::DOUBLE * hb FROM per
@@ -151,15 +152,67 @@ def hash_split(spark, folder):
     return ids.withColumn("part", splits.hash_split(F.col("pdb")))
 
 
-@query("M2_reweighting_fit")
+TERMS_OF = {
+    "all_terms": ("atr", "rep", "sol", "elec", "pair", "bb", "sc"),
+    "combined_hbond": ("atr", "rep", "sol", "elec", "pair", "hb"),
+    "no_sol_pair": ("atr", "rep", "elec", "hb"),
+    "combined_vdw": ("elec", "hb", "vdw"),
+}
+TERM_NAMES = {
+    "atr": "fa_atr", "rep": "fa_rep", "sol": "fa_sol", "elec": "fa_elec", "pair": "fa_pair",
+    "bb": "hbond_bb_sc", "sc": "hbond_sc", "hb": "hbond_combined", "vdw": "fa_vdw",
+}
+FRAME = "frame AS MATERIALIZED (" + " UNION ALL ".join(
+    f"""SELECT aggregation || '__{name}' AS config,
+      CASE WHEN ('0x' || substr(md5(pdb || ':42'), 1, 8))::UBIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part,
+      log_kd AS y, [{', '.join([*columns, *['0.0::DOUBLE'] * (7 - len(columns))])}] AS x
+    FROM per{' WHERE sc IS NOT NULL' if name == 'all_terms' else ''}"""
+    for name, columns in TERMS_OF.items()
+) + ")"
+NAMED = "named AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', {i}, 'raw_delta_{TERM_NAMES[c]}')"
+    for name, columns in TERMS_OF.items()
+    for i, c in enumerate(columns, start=1)
+) + ") v(terms, i, energy_term))"
+FIT = fit_sql.fit_views(fitting.start_weights(7, 42).tolist(), 2000, 1e-3)
+
+
+@query(
+    "M2_reweighting_fit",
+    fit_sql.with_recursion(*GRID_VIEWS, FRAME, FIT, NAMED, body="""SELECT config, energy_term, round(w[i], 6) AS weight
+      FROM fitted JOIN named ON string_split(config, '__')[2] = terms"""),
+)
 def reweighting_fit(spark, folder):
     """Learned weights of all twelve configurations."""
     g = grid(spark, folder)
     weights = fitting.fit_weights(g.training_frame())
-    return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"), "original_weight")
+    return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"))
+
+
+@query("M2_least_squares_fit")
+def least_squares_fit(spark, folder):
+    """The same minimum by reweighted least squares."""
+    g = grid(spark, folder)
+    weights = fitting.fit_reweighted(g.training_frame(), steps=12)
+    return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"))
 
 
-@query("M3_softplus_fit")
+SOFTPLUS_FRAME = """frame AS MATERIALIZED (SELECT coalesce(affinity_type, 'unknown') AS config, split_a AS part, -dG AS y,
+  [relax_idelta_score / 50, crystal_idelta_score / 50, relax_total_score / 100] AS x FROM features
+  WHERE relax_idelta_score >= -100000 AND split_a IS NOT NULL)"""
+
+
+@query(
+    "M3_softplus_fit",
+    fit_sql.with_recursion(
+        t.FEATURES,
+        SOFTPLUS_FRAME,
+        fit_sql.fit_views(fitting.start_weights(3, 42).tolist(), 100, 0.05, softplus=True),
+        fit_sql.predicted_view(3),
+        body="""SELECT config, part, round(corr(y, prediction), 6) AS r, round(avg(abs(y - prediction)), 6) AS mae,
+          round(sqrt(avg(pow(y - prediction, 2))), 6) AS rmse, count(*) AS n FROM predicted GROUP BY config, part""",
+    ),
+)
 def softplus_fit(spark, folder):
     """Positive weights per affinity type, chosen by validation error."""
     rows = t.features(spark, folder).where("relax_idelta_score >= -100000")
@@ -201,17 +254,27 @@ def baseline_grid(spark, folder):
     return rows.select("aggregation", "term_selection", r6("r", "r"), r6("mae", "mae"), "n")
 
 
-@query("M6_results_matrix")
+@query(
+    "M6_results_matrix",
+    fit_sql.with_recursion(*GRID_VIEWS, FRAME, FIT, fit_sql.predicted_view(7), NAMED, body="""
+      SELECT string_split(config, '__')[1] AS aggregation, string_split(config, '__')[2] AS term_selection,
+        round(corr(y, prediction) FILTER (WHERE part = 'train'), 6) AS r_train,
+        round(corr(y, prediction) FILTER (WHERE part = 'test'), 6) AS r_test,
+        round(avg(abs(y - prediction)) FILTER (WHERE part = 'train'), 6) AS mae_train,
+        round(avg(abs(y - prediction)) FILTER (WHERE part = 'test'), 6) AS mae_test,
+        (SELECT count(*) FROM named WHERE terms = string_split(config, '__')[2]) AS n_features
+      FROM predicted GROUP BY config"""),
+)
 def results_matrix(spark, folder):
-    """Results matrix of the whole grid, fitted by reweighted least squares."""
+    """Results matrix of the whole grid, fitted step by step."""
     g = grid(spark, folder)
-    frame = g.training_frame()
-    rows = g.results(fitting.fit_reweighted(frame, steps=12), frame)
+    frame = materialize(g.training_frame())
+    rows = g.results(fitting.fit_weights(frame), frame)
     return rows.select(
         "aggregation",
         "term_selection",
         *[r6(c, c) for c in ("r_train", "r_test", "mae_train", "mae_test")],
-        "n_features",
+        F.col("n_features").cast("long").alias("n_features"),
     )
 
 

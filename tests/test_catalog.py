@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from posequarry.plans import catalog
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+catalog.load_all()
+NAMES = sorted(catalog.PLANS)
 
 
 @pytest.fixture(scope="module")
@@ -25,4 +27,4 @@ def test_entry_runs(spark):
 
 
 def test_sql_covers_only_known_plans():
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -99,7 +99,7 @@ def _feature_counts(batches):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, float]:
-    """(text, y) of at most ``per_class`` documents of each label, equal texts once; the toxic share of all labels."""
+    """(text, y) of at most ``per_class`` documents of each label, equal texts once with the label most of them have; the toxic share of all labels."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -109,7 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: in
     parts = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     share = known.agg(F.avg("y")).first()[0]
     chosen = parts[0].unionAll(parts[1]).select(F.col("doc_id").alias("_id"), "y")
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).groupBy("text").agg(F.max("y").alias("y"))
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     return saved(texts, "labelled-sample"), 0.0 if share is None else float(share)
 
 

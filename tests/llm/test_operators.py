@@ -295,7 +295,7 @@ def all_paths(model, text):
     if not text:
         return [(0.0, ())]
     found = []
-    for stop in range(1, min(len(text), model.longest) + 1):
+    for stop in range(1, len(text) + 1):
         hit = model.scores.get(text[:stop])
         if hit:
             found += [(hit[1] + s, (hit[0], *ids)) for s, ids in all_paths(model, text[stop:])]

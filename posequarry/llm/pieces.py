@@ -26,7 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED, LONGEST = 200_000, 64  # words a worker keeps in each half, and the longest kept
+CACHED, LONGEST = 300_000, 64  # words a worker keeps in each half, and the longest kept
 
 
 class Lattice:

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from posequarry.operators.skew import ROWS_PER_SLICE, hot_keys, hot_limit, row_hash
+from posequarry.operators.skew import ROWS_PER_SLICE, hot_keys, hot_limit, row_hash, with_hot
 
 SALTS = 64
-# A hot key is cut into this many blocks per slice, to even out uneven orders.
-BLOCKS_PER_SLICE = 16
+# A hot key is cut into CUTS ** 2 blocks at quantiles of its order.
+CUTS = 24
 
 
 def running_total(
@@ -26,32 +26,50 @@ def running_total(
     """Running sum of ``value`` per key in ``order``; the first order column is numeric.
 
     A window sorts a whole key in one task.  Keys too large for that (found by a
-    count) have the range of their order column cut into blocks; block sums are
+    count) are cut into blocks at approximate quantiles of their order column, so
+    that one far value does not leave all others in one block; block sums are
     pre-aggregated, added up over the few blocks of the key, and joined to the
-    running sums inside the blocks.
+    running sums inside the blocks. Missing keys and orders are values like others.
     """
     keys = list(keys)
     limit = hot_limit(df, keys, rows_per_slice)
     if limit is None:
         return df.withColumn(name, F.sum(value).over(_so_far(keys, order)))
-    first = F.col(order[0])
-    ends = [F.min(first).alias("_low"), F.max(first).alias("_high")]
-    hot = F.broadcast(hot_keys(df, keys, limit, extra=ends))
-    step = (F.col("_high") - F.col("_low") + 1) / (F.col("_slices") * BLOCKS_PER_SLICE)
-    block = F.coalesce(F.floor((first - F.col("_low")) / step), F.lit(-1))
-    rows = df.join(hot, keys, "left").withColumn("_block", block).drop("_low", "_high", "_slices")
-    sums = rows.where("_block >= 0").groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    first = F.col(order[0]).cast("double")
+    # Cuts in CUTS groups, so that a row looks through one group and their heads.
+    shares = [i / CUTS**2 for i in range(1, CUTS**2 + 1)]
+    hot = hot_keys(df, keys, limit)
+    cuts = (
+        with_hot(df, hot, keys)
+        .where("_slices IS NOT NULL")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(first, shares, 20 * CUTS**2).alias("_cuts"))
+    )
+    heads = F.transform(F.sequence(F.lit(1), F.lit(CUTS)), lambda i: F.get("_cuts", i * CUTS - 1))
+    group = F.least(F.size(F.filter(heads, lambda c: c < first)), F.lit(CUTS - 1))
+    near = F.slice("_cuts", group * CUTS + 1, F.lit(CUTS))
+    # Missing orders come first in a window, so they are the lowest block of a hot key.
+    block = F.when(F.col("_cuts").isNull(), -2).when(first.isNull(), -1).otherwise(
+        group * CUTS + F.size(F.filter(near, lambda c: c < first))
+    )
+    rows = with_hot(df, cuts, keys).withColumn("_block", block).drop("_cuts")
+    sums = rows.where("_block >= -1").groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = sums.select(*keys, "_block", F.sum("_sum").over(earlier).alias("_before"))
+    offsets = sums.select(*keys, F.col("_block").alias("_of"), F.sum("_sum").over(earlier).alias("_before"))
     inside = F.sum(value).over(_so_far([*keys, "_block"], order))
-    # Offsets: at most BLOCKS_PER_SLICE rows per slice, 2 * MAX_HOT_KEYS slices.
+    offsets = offsets.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    same = F.col("_block") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    # Offsets: at most CUTS ** 2 + 2 rows for each of MAX_HOT_KEYS keys; Spark checks their size.
+    total = F.coalesce(F.col(name) + F.col("_before"), F.col(name), F.col("_before"))
     return (
         rows.withColumn(name, inside)
-        .join(F.broadcast(offsets), [*keys, "_block"], "left")
-        .withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0)))
-        .drop("_block", "_before")
+        .join(offsets, same, "left")
+        .withColumn(name, total)
+        .drop("_block", "_of", "_before", *[f"_hot_{k}" for k in keys])
     )
 
 

@@ -30,7 +30,6 @@ def hot_keys(
     keys: Sequence[str],
     limit: float,
     screen: Sequence[str] | None = None,
-    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Keys with more than ``limit`` rows and the slices each should get.
 
@@ -39,12 +38,21 @@ def hot_keys(
     """
     if screen:
         coarse = df.groupBy(*screen).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        df = df.join(F.broadcast(coarse.select(*screen)), list(screen), "left_semi")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra)
+        df = with_hot(df, coarse, list(screen)).where("_n IS NOT NULL").drop("_n")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slices = F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_slices")
     return counts.where(F.col("_n") > limit).withColumn("_slices", slices).drop("_n")
 
 
+def with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their hot key, null where there is none; a null key can be hot too."""
+    named = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys}))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    return df.join(named, condition, "left").drop(*[f"_hot_{k}" for k in keys])
+
+
 def row_hash(df: DataFrame) -> Column:
     """Stable hash of a row (maps cannot be hashed and are left out)."""
     return F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind])
@@ -72,15 +80,15 @@ def salted_join(
     limit = hot_limit(left, screen or keys, rows_per_slice)
     if limit is None:
         return _join(left, right, keys, how, condition)
-    hot = F.broadcast(hot_keys(left, keys, limit, screen))
+    hot = hot_keys(left, keys, limit, screen)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     cut_left = (
-        left.join(hot, keys, "left")
+        with_hot(left, hot, keys)
         .withColumn("_salt", F.pmod(row_hash(left), slices).cast("int"))
         .select(*[F.col(f"`{c}`") for c in left.columns], "_salt")
     )
     spread_right = (
-        right.join(hot, keys, "left")
+        with_hot(right, hot, keys)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )

@@ -267,7 +267,7 @@ LIGAND_ATOM_ROWS = """ligand_rows AS (
 profile AS (
   SELECT r.pdb, count(*) FILTER (WHERE element <> 'H') AS heavy_atoms, bool_or(element = 'Fe') AS has_rare,
     CASE WHEN any_value(p.p_partkey) % 9 = 0 THEN NULL ELSE any_value(p.p_size)::DOUBLE / 100 END AS qed
-  FROM ligand_rows r JOIN part p ON r.pdb = printf('%04d', p.p_partkey) GROUP BY r.pdb),
+  FROM ligand_rows r LEFT JOIN part p ON r.pdb = printf('%04d', p.p_partkey) GROUP BY r.pdb),
 ligand_reasons AS (
   SELECT *, CASE WHEN qed IS NULL THEN 'parse' WHEN qed <= 0.1::DOUBLE THEN 'qed'
     WHEN heavy_atoms < 8 OR heavy_atoms > 500 THEN 'heavy atom count' WHEN has_rare THEN 'rare element'
@@ -286,7 +286,7 @@ def ligand_profile_rows(spark, folder):
         .otherwise(F.col("p_size").cast("double") / 100)
         .alias("qed"),
     )
-    return annotations.ligand_reason(annotations.ligand_profile(atoms).join(qed, "pdb"))
+    return annotations.ligand_reason(annotations.ligand_profile(atoms).join(qed, "pdb", "left"))
 
 
 @query(

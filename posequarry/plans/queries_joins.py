@@ -63,20 +63,20 @@ def join_kd(spark, folder):
 MEMBERSHIP = """membership AS (
   SELECT 'first' AS source, user_id::VARCHAR AS pdb, event_type AS split,
     CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS priority
-  FROM events WHERE value < 30
+  FROM events
   UNION ALL SELECT 'second', (user_id * 3)::VARCHAR, event_type,
-    CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END FROM events WHERE event_type IN ('signup', 'view'))"""
+    CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'error' THEN 4 ELSE 5 END FROM events)"""
 
 
 def memberships(spark, folder):
     events = t.read(spark, folder, "events")
-    first = events.where("value < 30").select(F.col("user_id").cast("string").alias("pdb"), "event_type")
+    first = events.select(F.col("user_id").cast("string").alias("pdb"), "event_type")
     second = events.select((F.col("user_id") * 3).cast("string").alias("pdb"), "event_type")
     kinds = [("click", 1), ("view", 2), ("error", 3), ("purchase", 4), ("signup", 5)]
     rows = [membership(first.where(F.col("event_type") == k), "first", k, p) for k, p in kinds]
     rows += [
         membership(second.where(F.col("event_type") == k), "second", k, p)
-        for k, p in (("signup", 1), ("view", 2))
+        for k, p in (("signup", 1), ("view", 2), ("click", 3), ("error", 4), ("purchase", 5))
     ]
     union = rows[0]
     for more in rows[1:]:

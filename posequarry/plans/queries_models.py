@@ -193,7 +193,7 @@ def reweighting_fit(spark, folder):
 def least_squares_fit(spark, folder):
     """The same minimum by reweighted least squares."""
     g = grid(spark, folder)
-    weights = fitting.fit_reweighted(g.training_frame(), steps=12)
+    weights = fitting.fit_reweighted(g.training_frame())
     return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"))
 
 

@@ -124,10 +124,10 @@ def sorted_weights(spark, folder):
 @query(
     "T2_top_terms",
     with_views(t.POSES, t.AFFINITY, SUBSET, SLOPES, body="""SELECT term, round(weight, 6) AS weight, original_weight FROM slopes
-      ORDER BY abs(original_weight) DESC, term LIMIT 5"""),
+      ORDER BY abs(original_weight) DESC, term LIMIT 15"""),
 )
 def top_terms(spark, folder):
-    rows = experiment.top_terms(slope_weights(spark, folder), "all", 5)
+    rows = experiment.top_terms(slope_weights(spark, folder), "all", 15)
     return rows.select("term", r6("weight", "weight"), "original_weight")
 
 

@@ -75,19 +75,31 @@ def delete_from_index(
 
 
 def cached_clusters(poses: DataFrame, rmsd_cutoff: float, cache: str, score_col: str = "score") -> DataFrame:
-    """Clusters from the cache, computing and adding complexes it lacks."""
+    """Clusters from the cache, computing and adding complexes it lacks.
+
+    An entry holds for the poses it was made from, told by their number and
+    highest row number; a complex that has grown or shrunk is computed anew.
+    """
     spark = poses.sparkSession
+    state = poses.groupBy("pdb").agg(
+        F.count(F.lit(1)).alias("n_poses"), F.max("row_idx").alias("last_row")
+    )
+    keys = ["pdb", "n_poses", "last_row"]
+
+    def entries() -> DataFrame:
+        return spark.read.parquet(cache).where(F.col("rmsd_cutoff") == rmsd_cutoff).drop("rmsd_cutoff")
+
     try:
-        known = spark.read.parquet(cache).where(F.col("rmsd_cutoff") == rmsd_cutoff).select("pdb").distinct()
-        missing = poses.join(known, "pdb", "left_anti")
-    except AnalysisException:
-        missing = poses
+        missing = state.join(entries().select(*keys).distinct(), keys, "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = state
     if not missing.isEmpty():
-        found = cluster_poses(missing, rmsd_cutoff, score_col)
-        found = found.withColumn("rmsd_cutoff", F.lit(rmsd_cutoff))
+        found = cluster_poses(poses.join(missing.select("pdb"), "pdb", "left_semi"), rmsd_cutoff, score_col)
+        found = found.join(missing, "pdb").withColumn("rmsd_cutoff", F.lit(rmsd_cutoff))
         found.write.mode("append").partitionBy("rmsd_cutoff").parquet(cache)
-    cached = spark.read.parquet(cache).where(F.col("rmsd_cutoff") == rmsd_cutoff).drop("rmsd_cutoff")
-    return cached.join(poses.select("pdb").distinct(), "pdb", "left_semi")
+    return entries().join(state, keys, "left_semi").drop("n_poses", "last_row")
 
 
 def skipped_ids(poses: DataFrame, members: DataFrame) -> DataFrame:

@@ -65,9 +65,12 @@ def load_full_table(spark: SparkSession, path: str) -> DataFrame:
 def filtered_subset(poses: DataFrame, affinity: DataFrame) -> DataFrame:
     """Refined, perturbed, non-positive poses with a measured affinity.
 
-    Sequence ids are given before any filter, so they match the stores.
+    Sequence ids are given before any filter, so they match the stores. A store
+    that already has them is only filtered, without a shuffle of its columns.
     """
-    numbered = ordering.sequence_ids(poses, ["pdb", "type"], ["row_idx"])
+    numbered = poses
+    if "type_seq_id" not in poses.columns:
+        numbered = ordering.sequence_ids(poses, ["pdb", "type"], ["row_idx"])
     kept = aggregate.keep_non_positive(aggregate.keep_refined_perturbed(numbered))
     return aggregate.join_affinity(kept, affinity)
 
@@ -76,7 +79,9 @@ def load_filtered(spark: SparkSession, path: str, poses: DataFrame, affinity: Da
     """Written subset, built first if it does not exist yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         filtered_subset(poses, affinity).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

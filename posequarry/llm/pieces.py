@@ -73,8 +73,13 @@ class Lattice:
         best, second, back = [0.0] + [-math.inf] * size, [-math.inf] * (size + 1), [(0, ())] * (size + 1)
         for start in range(size):
             so_far = best[start]
-            for end in range(start + 1, size + 1):
-                hit = get(word[start:end], 0)
+            hit = get(word[start])
+            if hit is None and word[start] not in self.scores:
+                raw = tuple(self.bytes_at[b] for b in word[start].encode("utf-8"))
+                hit = (raw, self.byte_score * len(raw))
+            end = start
+            while True:
+                end += 1
                 if hit:
                     reached = so_far + hit[1]
                     if reached > best[end]:
@@ -83,19 +88,16 @@ class Lattice:
                         second[end] = reached
                 elif hit == 0:
                     break
-            if word[start] not in self.scores:
-                raw = tuple(self.bytes_at[b] for b in word[start].encode("utf-8"))
-                reached, end = so_far + self.byte_score * len(raw), start + 1
-                if reached > best[end]:
-                    second[end], best[end], back[end] = best[end], reached, (start, raw)
-                elif reached > second[end]:
-                    second[end] = reached
+                if end == size:
+                    break
+                hit = get(word[start : end + 1], 0)
         at, ids, loss = size, [], math.inf
         while at:
             loss = min(loss, best[at] - second[at])
             at, piece = back[at]
             ids.append(piece)
-        return tuple(i for piece in reversed(ids) for i in piece), best[-1], loss
+        ids.reverse()
+        return tuple(chain.from_iterable(ids)), best[size], loss
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first; equal scores in the order found."""

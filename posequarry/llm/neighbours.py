@@ -89,6 +89,8 @@ def nearest(
     budget_rows: int = 8_000,
     budget_share: float = 0.6,
     sample_rows: int = 50_000,
+    task_rows: int = 16_384,
+    task_queries: int = 4_096,
     seed: int = 7,
 ) -> DataFrame:
     """The k nearest found for each query: query_id, rank, vec_id, score (Euclidean distance).
@@ -104,7 +106,8 @@ def nearest(
     Trees are fitted to ``sample_rows`` vectors at most, all vectors are indexed.
     A search goes on until its leaves hold budget_rows + budget_share * rows
     rows, counting a row again in every tree; the share is what vectors without
-    any structure need, and data with structure can do with none.
+    any structure need, and data with structure can do with none. A task ranks about
+    ``task_rows`` rows of a leaf for about ``task_queries`` queries.
     """
     usable_rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sizes = usable_rows.groupBy(F.size("embedding").alias("dim")).count()
@@ -146,6 +149,9 @@ def nearest(
     index = distinct.select("rep", "embedding").mapInArrow(assign, f"rep bigint, embedding {kind}, tree int, leaf bigint")
     held = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().toLocalIterator()}
     budget = budget_rows + budget_share * n
+    # A large leaf is ranked in parts, and so are many queries of one leaf.
+    parts = -(-max(held.values(), default=1) // task_rows)
+    blocks = max(1, -(-searched.count() // task_queries))
 
     def choose(batches):
         for batch in batches:
@@ -181,9 +187,16 @@ def nearest(
         q, rep, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"q": q, "rep": rep, "score": score})
 
+    cell = ["tree", "leaf", "part", "block"]
+    rows = index.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).withColumn(
+        "block", F.explode(F.lit(list(range(blocks))))
+    )
+    wanted = probes.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn(
+        "part", F.explode(F.lit(list(range(parts))))
+    )
     near = (
-        index.groupBy("tree", "leaf")
-        .cogroup(probes.groupBy("tree", "leaf"))
+        rows.groupBy(*cell)
+        .cogroup(wanted.groupBy(*cell))
         .applyInArrow(rank, "q bigint, rep bigint, score double")
     )
     # The same pair from several trees has one dense rank.

@@ -3,14 +3,14 @@
 The trie of all distinct fingerprints is walked against itself: a pair of nodes
 carries the number of bits in which their prefixes differ, its four pairs of
 children add one where they part, and a pair over the budget is pruned with all
-below it. The pairs of nodes at a fixed depth are dealt out to tasks, which walk
-on from there; a task returns a spanning star of the links of each group it
+below it. Spark walks pairs of nodes until each is small enough for a task, which
+walks on from there; a task returns a spanning star of the links of each group it
 finds, and a distributed contraction joins the stars.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from posequarry.llm.common import saved
 
 BITS = 64
-# Distinct fingerprints of one node that a task holds, and node pairs it walks at a time.
-NODE_ROWS, STEP, LEAF = 4096, 1 << 17, 64
+# Distinct fingerprints that a task holds, and node pairs it walks at a time.
+NODE_ROWS, STEP, LEAF = 1 << 17, 1 << 17, 64
+# Depth at which the distributed walk starts, and bits it goes down at a time.
+FIRST, DOWN = 4, 2
 
 
 def fingerprint(raw: bytes | None, words: int = 4) -> int:
@@ -158,29 +160,65 @@ def _pair_task(depth: int, budget: int):
     return links_of
 
 
+def _node(value: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(value, BITS - depth)
+
+
+def node_pairs(values: DataFrame, budget: int, node_rows: int) -> list[tuple[int, DataFrame]]:
+    """Pairs (low, high) of trie nodes to walk in one task each, by depth.
+
+    All nodes at depth ``FIRST`` meet. A pair whose prefixes differ in more than
+    ``budget`` bits goes; one that holds at most ``node_rows`` values stays; any
+    other is replaced by the pairs of its descendants ``DOWN`` bits further. A crowded
+    prefix, as a large group of near copies makes one, is thus cut as deep as it needs.
+    """
+    found, open_pairs = [], None
+    for depth in range(FIRST, BITS + 1, DOWN):
+        # Only prefixes in pairs still too large are counted.
+        inside = values
+        if open_pairs is not None:
+            ends = open_pairs.select(F.col("low").alias("up")).unionAll(open_pairs.select("high")).distinct()
+            inside = values.join(ends, _node(F.col("fp"), depth - DOWN) == F.col("up"), "left_semi")
+        nodes = inside.groupBy(_node(F.col("fp"), depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = saved(nodes.withColumn("up", F.shiftrightunsigned("node", DOWN)), "trie-nodes")
+        low, high = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "lh")
+        if open_pairs is None:  # at most 2 ** FIRST nodes
+            parts = F.explode(F.lit(list(range(1 << FIRST))).cast("array<bigint>"))
+            pairs = low.withColumn("other", parts).join(high, F.col("other") == F.col("h_node"))
+            once = F.col("l_node") <= F.col("h_node")
+        else:
+            pairs = open_pairs.join(low, F.col("low") == F.col("l_up")).join(high, F.col("high") == F.col("h_up"))
+            once = (F.col("low") != F.col("high")) | (F.col("l_node") <= F.col("h_node"))
+        differing = F.bit_count(F.col("l_node").bitwiseXOR(F.col("h_node")))
+        pairs = pairs.filter(once & (differing <= budget))
+        size = F.col("l_n") + F.when(F.col("l_node") == F.col("h_node"), 0).otherwise(F.col("h_n"))
+        fits = (size <= node_rows) | F.lit(depth + DOWN > BITS)
+        pairs = saved(
+            pairs.select(F.col("l_node").alias("low"), F.col("h_node").alias("high"), fits.alias("fits")), "node-pairs"
+        )
+        found.append((depth, pairs.filter("fits").select("low", "high")))
+        open_pairs = pairs.filter("NOT fits").select("low", "high")
+        if open_pairs.isEmpty():
+            break
+    return found
+
+
 def links(values: DataFrame, budget: int = 4, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) that connect all values of ``fp`` (distinct longs) within ``budget`` bits.
 
-    Not every pair: a spanning star for each group a task finds. The depth at
-    which node pairs are dealt out grows with the number of values, so a task
-    holds about two nodes of ``node_rows`` values.
+    Not every pair: a spanning star for each group a task finds. The pairs of nodes come
+    from ``node_pairs``, so no task holds more than ``node_rows`` values however they crowd.
     """
-    n = values.count()
-    depth = max(4, min(16, int(np.ceil(np.log2(max(n, 1) / node_rows)))))
-    masks = [0] + [sum(1 << k for k in ks) for size in range(1, budget + 1) for ks in combinations(range(depth), size)]
-    node = F.shiftrightunsigned("fp", BITS - depth)
-    other = F.col("node").bitwiseXOR(F.col("mask"))
-    dealt = (
-        values.select("fp", node.alias("node"), F.explode(F.lit(masks)).alias("mask"))
-        .withColumn("mask", F.col("mask").cast("long"))
-        .select(
-            F.least("node", other).alias("low"),
-            F.greatest("node", other).alias("high"),
-            (F.col("node") > other).alias("right"),
-            "fp",
+    parts = []
+    for depth, pairs in node_pairs(values, budget, node_rows):
+        right = pairs.filter("low <> high")
+        sides = pairs.select("low", "high", F.col("low").alias("node"), F.lit(False).alias("right")).unionAll(
+            right.select("low", "high", F.col("high").alias("node"), F.lit(True).alias("right"))
         )
-    )
-    return dealt.groupBy("low", "high").applyInArrow(_pair_task(depth, budget), "a bigint, b bigint")
+        dealt = values.withColumn("node", _node(F.col("fp"), depth)).join(sides, "node")
+        walked = dealt.select("low", "high", "right", "fp").groupBy("low", "high")
+        parts.append(walked.applyInArrow(_pair_task(depth, budget), "a bigint, b bigint"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -120,6 +120,35 @@ def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
 
 
+def _licence_sql() -> str:
+    """The canonical form spelled in SQL, over the same fixed texts, spellings and line pattern."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    lines = f"regexp_replace(lower(coalesce(text, '')), {quoted(licences.COPYRIGHT)}, '', 'g')"
+    lines = rf"regexp_replace({lines}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    for old, new in licences.SPELLINGS:
+        lines = f"replace({lines}, {quoted(old)}, {quoted(new)})"
+    texts = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licences.LICENCES)
+    return rf"""
+WITH known AS (
+  SELECT sha256(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g'))) AS digest, min(licence) AS licence
+  FROM (VALUES {texts}) v(licence, text) GROUP BY 1
+), forms AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents
+), wholes AS (
+  SELECT r, doc_id, sha256(trim(regexp_replace(lines, '[ \n]+', ' ', 'g'))) AS digest FROM forms
+), found AS (
+  SELECT r, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices
+  FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM forms)
+  JOIN known ON sha256(line) = digest GROUP BY r
+)
+SELECT doc_id, digest, licence, coalesce(notices, '') AS notices
+FROM wholes LEFT JOIN known USING (digest) LEFT JOIN found USING (r)
+"""
+
+
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     path = tokenizer_path("byte_bpe_50k.json")
@@ -172,4 +201,4 @@ QUERIES = {
         op10_simhash,
     )
 }
-SQL = {"op2_chat": OP2_SQL}
+SQL = {"op2_chat": OP2_SQL, "op7_licences": _licence_sql()}

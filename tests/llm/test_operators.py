@@ -258,6 +258,10 @@ def test_neighbours_recall(spark):
     wanted = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     default = queries.op5_neighbours(spark, folder).collect()
     narrow = neighbours.nearest(vectors, wanted, leaf_rows=32, budget_rows=0, budget_share=3.0).collect()
+    cut = neighbours.nearest(
+        vectors, wanted, leaf_rows=32, budget_rows=0, budget_share=3.0, task_rows=8, task_queries=2
+    )
+    assert sorted(cut.collect()) == sorted(narrow)
     for got, least in ((default, 0.9), (narrow, 0.8)):
         found = {}
         for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -451,7 +455,7 @@ def test_simhash_of_documents(spark, documents, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("node_rows", [4, 4096])
+@pytest.mark.parametrize("node_rows", [1, 48, 4096])
 def test_trie_join_on_dense_values(spark, node_rows):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**64, 12, dtype=np.uint64).tolist()

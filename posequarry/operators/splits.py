@@ -56,4 +56,12 @@ def hash_percent(key: Column, seed: int = 42) -> Column:
 
 
 def hash_split(key: Column, train_frac: float = 0.8, seed: int = 42) -> Column:
-    return F.when(hash_percent(key, seed) < round(train_frac * 100), "train").otherwise("test")
+    """Whole percents pick buckets; any finer share is taken of the last bucket by the rest of the hash."""
+    whole = int(train_frac * 100 + 1e-9)
+    rest = train_frac * 100 - whole
+    bucket = hash_percent(key, seed)
+    chosen = bucket < whole
+    if rest > 1e-9:
+        finer = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 9, 8), 16, 10).cast("long")
+        chosen = chosen | ((bucket == whole) & (finer < F.lit(int(rest * 2**32))))
+    return F.when(chosen, "train").otherwise("test")

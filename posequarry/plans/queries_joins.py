@@ -246,7 +246,9 @@ def experiment_grid(spark, folder):
 def kernel_density(spark, folder):
     means = t.poses(spark, folder).groupBy("pdb").agg(F.avg("idelta_score").alias("y"))
     points = means.join(t.affinity(spark, folder), "pdb")
-    return density.kernel_density(points, "log_kd", "y").select("pdb", r6("density", "density"))
+    drawn = density.kernel_density(points, "log_kd", "y").select("pdb", r6("density", "density"))
+    # Densest points last, so that a plot draws them on top.
+    return drawn.orderBy("density", "pdb")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Session settings, reliable checkpoints and scratch tables."""
+"""Session settings and tables in the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -55,9 +55,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared folder, which survives lost executors.
+
+    Parquet is compressed and later readers take only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

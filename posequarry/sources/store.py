@@ -65,14 +65,18 @@ def load_full_table(spark: SparkSession, path: str) -> DataFrame:
 def filtered_subset(poses: DataFrame, affinity: DataFrame) -> DataFrame:
     """Refined, perturbed, non-positive poses with a measured affinity.
 
-    Sequence ids are given before any filter, so they match the stores. A store
-    that already has them is only filtered, without a shuffle of its columns.
+    Sequence ids count all rows of a label, so they match the stores. A store that
+    already has them is only filtered. Otherwise they are found on the three
+    columns they depend on and joined to the rows that the filters leave, so no
+    other column of a dropped row is shuffled. ``row_idx`` is unique per complex.
     """
-    numbered = poses
-    if "type_seq_id" not in poses.columns:
-        numbered = ordering.sequence_ids(poses, ["pdb", "type"], ["row_idx"])
-    kept = aggregate.keep_non_positive(aggregate.keep_refined_perturbed(numbered))
-    return aggregate.join_affinity(kept, affinity)
+    refined = aggregate.keep_refined_perturbed(poses)
+    kept = aggregate.join_affinity(aggregate.keep_non_positive(refined), affinity)
+    if "type_seq_id" in poses.columns:
+        return kept
+    keys = ["pdb", "type", "row_idx"]
+    numbered = ordering.sequence_ids(refined.select(*keys), keys[:2], keys[2:])
+    return kept.join(numbered, keys)
 
 
 def load_filtered(spark: SparkSession, path: str, poses: DataFrame, affinity: DataFrame) -> DataFrame:

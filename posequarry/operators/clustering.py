@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posequarry.functions.terms import quoted
@@ -134,51 +134,110 @@ def _nearest_leader(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _cluster_large(poses: DataFrame, sizes: DataFrame, cutoff: float) -> DataFrame:
+CELL = ["cx", "cy", "cz"]
+
+
+def _cell_widths(poses: DataFrame, cutoff: float, slice_rows: int) -> DataFrame:
+    """Width of the centroid cells of each complex: the cutoff, or more where poses are sparse.
+
+    An eighth of a slice per cell leaves few groups and few copies; the middle 98 % of
+    the centroids give the extent, so that one far pose does not widen the cells.
+    """
+    spans = []
+    for axis in range(3):
+        low, high = (F.percentile_approx(_centroid(axis), q, 1000) for q in (0.01, 0.99))
+        spans.append(F.greatest(F.coalesce(high - low, F.lit(0.0)), F.lit(cutoff)))
+    sparse = F.cbrt(spans[0] * spans[1] * spans[2] * (slice_rows / 8) / F.count(F.lit(1)))
+    return poses.groupBy("pdb").agg(F.greatest(sparse, F.lit(cutoff * (1 + 1e-9))).alias("width"))
+
+
+def _centroid(axis: int) -> Column:
+    """A coordinate of the centroid; null where it is missing or not finite (within the cutoff of nothing)."""
+    along = F.filter("xyz", lambda x, i: i % 3 == axis)
+    atoms = F.greatest(F.size("xyz") / 3, F.lit(1.0))
+    mean = F.aggregate(along, F.lit(0.0), lambda total, x: total + x) / atoms
+    return F.when(F.abs(mean) < float("inf"), mean)
+
+
+def _centroid_cells(poses: DataFrame, widths: DataFrame) -> DataFrame:
+    """Poses with the grid cell of their centroid.
+
+    The distance of two centroids never exceeds the RMSD, so a pose and any
+    leader within the cutoff are in the same or in adjoining cells.
+    """
+    cells = {
+        name: F.coalesce(F.floor(_centroid(axis) / F.col("width")), F.lit(0)).cast("long")
+        for axis, name in enumerate(CELL)
+    }
+    return poses.join(widths, "pdb").withColumns(cells).drop("width")
+
+
+def _to_neighbours(leaders: DataFrame) -> DataFrame:
+    """Leaders copied to their own and the 26 adjoining cells."""
+    steps = F.lit([-1, 0, 1])
+    for name in CELL:
+        leaders = leaders.withColumn("_step", F.explode(steps)).withColumn(name, F.col(name) + F.col("_step"))
+    return leaders.drop("_step")
+
+
+def _cluster_large(
+    poses: DataFrame, cutoff: float, group_rows: int, head_rows: int, slice_rows: int, block_rows: int
+) -> DataFrame:
     """Exact clustering of complexes too large for one task.
 
     The representatives are found in rounds: the lowest undecided poses of each
     complex are clustered among themselves (a bounded group), their leaders are
-    checked against all undecided poses in slices, and covered poses leave.
+    checked against the undecided poses of nearby centroid cells, and covered poses leave.
     Since leaders always precede what is still undecided, this visits poses in
     the same order as the one-task form.  Every pose then looks up its nearest
-    earlier leader, again slice by slice.
+    earlier leader among those of nearby cells, which are all it can be within
+    the cutoff of. Crowded cells are cut into slices, and their leaders into blocks.
     """
-    sliced = sizes.select("pdb", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
+    widths = materialize(_cell_widths(poses, cutoff, slice_rows))
+    placed = _centroid_cells(poses, widths)
+    home = ["pdb", *CELL]
+    cells = materialize(
+        placed.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+    )
     rows = materialize(
-        poses.join(sliced, "pdb").withColumn(
+        placed.join(cells, home).withColumn(
             "slice", F.pmod(F.xxhash64("row_idx"), F.col("slices")).cast("int")
         )
     )
     columns = ["pdb", "row_idx", "score", "xyz"]
     every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     undecided, rounds = rows.drop("slices"), []
-    sliced_pose = f"{POSES}, slice int"
+    placed_pose = f"{POSES}, cx long, cy long, cz long, slice int"
+    keys = [*home, "slice"]
     while True:
         order = [F.col("score").asc_nulls_last(), F.col("row_idx").asc()]
-        head = min(HEAD_ROWS << len(rounds), GROUP_ROWS)
+        head = min(head_rows << len(rounds), group_rows)
         heads = n_smallest(undecided, ["pdb"], order, head)
         leaders = materialize(
             heads.select(*columns).groupBy("pdb").applyInPandas(_leaders_of_group(cutoff), POSES)
         )
-        rounds.append(leaders)
-        copies = leaders.join(sliced, "pdb").select(*columns, every_slice)
+        near = _to_neighbours(_centroid_cells(leaders, widths)).join(cells, home)
+        rounds.append(near)
+        copies = near.select(*columns, *CELL, every_slice)
+        # A round's own leaders are within the cutoff of themselves, but for coordinates that are not numbers.
         undecided = materialize(
-            undecided.groupBy("pdb", "slice")
-            .cogroup(copies.groupBy("pdb", "slice"))
-            .applyInPandas(_uncovered(cutoff), sliced_pose)
+            undecided.join(leaders.select("pdb", "row_idx"), ["pdb", "row_idx"], "left_anti")
+            .select(*columns, *CELL, "slice")
+            .groupBy(*keys)
+            .cogroup(copies.groupBy(*keys))
+            .applyInPandas(_uncovered(cutoff), placed_pose)
         )
         if undecided.isEmpty():
             break
     leaders = reduce(DataFrame.unionByName, rounds)
-    blocks = leaders.groupBy("pdb").agg(
-        F.ceil(F.count(F.lit(1)) / LEADERS_PER_BLOCK).cast("int").alias("blocks")
-    )
+    blocks = leaders.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     block_of = F.pmod(F.xxhash64("row_idx"), F.col("blocks")).cast("int").alias("block")
-    copies = leaders.join(blocks, "pdb").join(sliced, "pdb").select(*columns, every_slice, block_of)
+    copies = leaders.join(blocks, home).select(*columns, *CELL, every_slice, "blocks").select(
+        *columns, *CELL, "slice", block_of
+    )
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    spread = rows.join(blocks, "pdb").select(*columns, "slice", every_block)
-    keys = ["pdb", "slice", "block"]
+    spread = rows.join(blocks, home).select(*columns, *CELL, "slice", every_block)
+    keys.append("block")
     nearest = (
         spread.groupBy(*keys)
         .cogroup(copies.groupBy(*keys))
@@ -187,7 +246,10 @@ def _cluster_large(poses: DataFrame, sizes: DataFrame, cutoff: float) -> DataFra
             "pdb string, row_idx long, cluster_id long, rmsd double, leader_score double",
         )
     )
-    best = nearest.groupBy("pdb", "row_idx").agg(
+    own = leaders.select(
+        "pdb", "row_idx", F.col("row_idx").alias("cluster_id"), F.lit(0.0).alias("rmsd"), F.col("score").alias("leader_score")
+    )
+    best = nearest.unionByName(own).groupBy("pdb", "row_idx").agg(
         F.min(F.struct("rmsd", "leader_score", "cluster_id")).alias("b")
     )
     return best.select(
@@ -200,14 +262,20 @@ def _cluster_large(poses: DataFrame, sizes: DataFrame, cutoff: float) -> DataFra
 
 
 def cluster_poses(
-    poses: DataFrame, rmsd_cutoff: float = 2.0, score_col: str = "score", group_rows: int = GROUP_ROWS
+    poses: DataFrame,
+    rmsd_cutoff: float = 2.0,
+    score_col: str = "score",
+    group_rows: int = GROUP_ROWS,
+    head_rows: int = HEAD_ROWS,
+    slice_rows: int = SLICE_ROWS,
+    block_rows: int = LEADERS_PER_BLOCK,
 ) -> DataFrame:
     """Cluster members (pdb, row_idx, cluster_id, is_rep, rmsd).
 
     ``poses`` needs (pdb, row_idx, score, xyz) with atoms flattened to one
     array; poses without coordinates are left out.  ``cluster_id`` is the row of
     the representative.  A count decides per complex between the one-task form
-    and the sliced form, so no task ever holds an unbounded group.
+    and the form by cells and slices, so no task ever holds an unbounded group.
     """
     if rmsd_cutoff <= 0:
         raise ValueError("rmsd_cutoff must be positive")
@@ -226,7 +294,7 @@ def cluster_poses(
     return (
         small.groupBy("pdb")
         .applyInPandas(_cluster_group(rmsd_cutoff), MEMBERS)
-        .unionByName(_cluster_large(large, sizes, rmsd_cutoff))
+        .unionByName(_cluster_large(large, rmsd_cutoff, group_rows, head_rows, slice_rows, block_rows))
     )
 
 

@@ -71,7 +71,9 @@ def pose_rmsd(spark, folder):
 @query("C3_cluster_all", with_views(t.CLUSTERS, body=MEMBERS))
 def cluster_all(spark, folder):
     """Sliced form of the clustering, as used for very large complexes."""
-    members = clustering.cluster_poses(t.coordinates(spark, folder), CUTOFF, group_rows=45)
+    members = clustering.cluster_poses(
+        t.coordinates(spark, folder), CUTOFF, group_rows=45, head_rows=8, slice_rows=16, block_rows=4
+    )
     return members.withColumn("rmsd", F.round("rmsd", 6))
 
 
@@ -189,12 +191,24 @@ def reweighting_fit(spark, folder):
     return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"))
 
 
-@query("M2_least_squares_fit")
+@query(
+    "M2_least_squares_fit",
+    fit_sql.with_recursion(*GRID_VIEWS, FRAME, FIT, fit_sql.predicted_view(7), body="""
+      SELECT config, round(avg(abs(y - prediction)), 6) AS stepwise_mae, TRUE AS reached
+      FROM predicted WHERE part = 'train' GROUP BY config"""),
+)
 def least_squares_fit(spark, folder):
-    """The same minimum by reweighted least squares."""
-    g = grid(spark, folder)
-    weights = fitting.fit_reweighted(g.training_frame())
-    return g.named_weights(weights).select("config", "energy_term", r6("weight", "weight"))
+    """Does reweighted least squares reach the error of the stepwise fit, or a lower one?"""
+    frame = materialize(grid(spark, folder).training_frame())
+
+    def error(weights, name):
+        metrics = fitting.fit_metrics(fitting.predict(frame, weights))
+        return metrics.where("part = 'train'").select("config", F.col("mae").alias(name))
+
+    stepwise = error(fitting.fit_weights(frame), "stepwise")
+    squares = error(fitting.fit_reweighted(frame), "squares")
+    reached = F.col("squares") <= F.col("stepwise") + 1e-6
+    return stepwise.join(squares, "config").select("config", r6("stepwise", "stepwise_mae"), reached.alias("reached"))
 
 
 SOFTPLUS_FRAME = """frame AS MATERIALIZED (SELECT coalesce(affinity_type, 'unknown') AS config, split_a AS part, -dG AS y,
@@ -231,16 +245,19 @@ def softplus_fit(spark, folder):
 
 @query(
     "M4_predict",
-    with_views(*GRID_VIEWS, body="""SELECT 'min__all_terms' AS config, pdb, round(0.5::DOUBLE * atr + 0.25::DOUBLE * rep + 0.125::DOUBLE * sc, 6) AS prediction
-      FROM (SELECT pdb, raw_delta_fa_atr AS atr, raw_delta_fa_rep AS rep, raw_delta_hbond_sc AS sc FROM rows WHERE rn = 1) WHERE sc IS NOT NULL"""),
+    with_views(*GRID_VIEWS, body=" UNION ALL ".join(
+        f"""SELECT aggregation || '__{name}' AS config, pdb,
+          round({' + '.join(f'{2.0 ** -(i + 1)}::DOUBLE * {c}' for i, c in enumerate(columns))}, 6) AS prediction
+        FROM per{' WHERE sc IS NOT NULL' if name == 'all_terms' else ''}"""
+        for name, columns in TERMS_OF.items())),
 )
 def predict(spark, folder):
-    g = grid(spark, folder)
-    named = [n for n, _ in g.features["all_terms"]]
-    chosen = {"raw_delta_fa_atr": 0.5, "raw_delta_fa_rep": 0.25, "raw_delta_hbond_sc": 0.125}
-    table = [("min__all_terms", i, chosen.get(n, 0.0)) for i, n in enumerate(named)]
-    weights = spark.createDataFrame(table, fitting.WEIGHTS)
-    predicted = fitting.predict(g.training_frame(), weights)
+    """Predictions of all configurations, with weights that halve from term to term."""
+    frame = grid(spark, folder).training_frame()
+    halving = F.lit([2.0 ** -(i + 1) for i in range(len(fitting.feature_names(frame)))])
+    configs = frame.select("config").distinct()
+    weights = configs.select("config", F.posexplode(halving).alias("position", "weight"))
+    predicted = fitting.predict(frame, weights)
     return predicted.select("config", "pdb", r6("prediction", "prediction"))
 
 

@@ -58,14 +58,28 @@ def test_one_task_form(spark, random_poses, cutoff):
 
 
 @pytest.mark.parametrize("cutoff", [0.4, 1.2])
-def test_sliced_form_gives_the_same(spark, random_poses, cutoff, monkeypatch):
-    monkeypatch.setattr(clustering, "HEAD_ROWS", 8)
-    monkeypatch.setattr(clustering, "SLICE_ROWS", 50)
-    monkeypatch.setattr(clustering, "LEADERS_PER_BLOCK", 10)
-    got = clustering.cluster_poses(frame(spark, random_poses), cutoff, group_rows=50)
+def test_form_by_cells_gives_the_same(spark, random_poses, cutoff):
+    sizes = {"group_rows": 50, "head_rows": 8, "slice_rows": 20, "block_rows": 4}
+    got = clustering.cluster_poses(frame(spark, random_poses), cutoff, **sizes)
     assert collected(got) == by_hand(random_poses, cutoff)
 
 
+def test_poses_without_finite_coordinates_stand_alone(spark):
+    poses = [("a", i, float(i), [float("nan") if i % 3 == 0 else i / 8, 0.0, 0.0]) for i in range(12)]
+    whole = clustering.cluster_poses(frame(spark, poses), 0.3)
+    cells = clustering.cluster_poses(frame(spark, poses), 0.3, group_rows=4, head_rows=2, slice_rows=2, block_rows=2)
+    assert collected(cells) == collected(whole)
+    assert sum(alone for _, i, _, alone, _ in collected(whole) if i % 3 == 0) == 4
+
+
+def test_mostly_single_poses_meet_only_their_neighbours(spark):
+    rng = np.random.default_rng(9)
+    poses = [("a", i, float(i % 977), (rng.normal(size=3) * 40).tolist() * 2) for i in range(3000)]
+    whole = clustering.cluster_poses(frame(spark, poses), 1.0)
+    sizes = {"group_rows": 1500, "head_rows": 1000, "slice_rows": 1000, "block_rows": 500}
+    assert collected(clustering.cluster_poses(frame(spark, poses), 1.0, **sizes)) == collected(whole)
+
+
 def test_edges(spark):
     poses = [
         ("a", 1, -5.0, [0.0, 0.0, 0.0]),

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from posequarry.llm.common import saved
 
 BITS = 64
-# Distinct fingerprints that a task holds, and node pairs it walks at a time.
-NODE_ROWS, STEP, LEAF = 1 << 17, 1 << 17, 64
+# Distinct fingerprints that a task holds, node pairs it walks at a time, and value
+# pairs below which a node pair is compared outright: at most STEP * LEAF at a time.
+NODE_ROWS, STEP, LEAF = 1 << 17, 1 << 14, 64
 # Depth at which the distributed walk starts, and bits it goes down at a time.
 FIRST, DOWN = 4, 2
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED, LONGEST = 300_000, 64  # words a worker keeps in each half, and the longest kept
+# Words a worker keeps in each half (searched ones too), and the longest kept.
+CACHED, SEARCHED, LONGEST = 300_000, 20_000, 64
 
 
 class Lattice:
@@ -173,8 +174,8 @@ class _Recent:
 
 
 @lru_cache(maxsize=4)
-def _known(path: str, n: int) -> _Recent:
-    return _Recent(CACHED if n == 1 else 20_000)
+def _known(path: str, n: int, size: int) -> _Recent:
+    return _Recent(size)
 
 
 def split_words(text: str) -> list[str]:
@@ -191,11 +192,11 @@ def split_words(text: str) -> list[str]:
     return words + [held] if held else words
 
 
-def encode(text: str | None, path: str, n: int = 3) -> list[tuple[float, array]]:
+def encode(text: str | None, path: str, n: int = 3, kept_words: int = CACHED) -> list[tuple[float, array]]:
     """The n best segmentations (score, ids) of a text, best first; an empty text has none."""
     if not text:
         return []
-    model, known, searched = lattice(path), _known(path, 1), _known(path, n)
+    model, known, searched = lattice(path), _known(path, 1, kept_words), _known(path, n, SEARCHED)
     words = split_words(text)
     counts = Counter(words)
     first, total, losses = {}, [], []
@@ -277,13 +278,14 @@ def _names(path: str) -> list[str]:
 RESULT = "struct<ids: array<int>, n_ids: bigint, ids_sha256: string, scores: array<double>, n_best_ids: array<bigint>, n_best_sha256: array<string>, decoded_sha256: string, lossless: boolean>"
 
 
-def segment(text: Column, path: str, n: int = 3, keep_ids: bool = True) -> Column:
+def segment(text: Column, path: str, n: int = 3, keep_ids: bool = True, kept_words: int = CACHED) -> Column:
     """The n best segmentations of a text column, decoded again; struct as in ``RESULT``.
 
     ids are the best segmentation's (null unless ``keep_ids``); digests are of the ids
     as little-endian 32-bit integers; lossless says whether the decoded text is
     the text with space marks read as spaces. Null and empty texts have no ids
     and no scores, and decode to the empty text. The path must be readable on every executor.
+    ``kept_words`` bounds the words a worker remembers, some 700 bytes each; results do not depend on it.
     """
     listed = {"ids": pa.list_(pa.int32()), "n_ids": pa.int64(), "ids_sha256": pa.string()}
     listed |= {"scores": pa.list_(pa.float64()), "n_best_ids": pa.list_(pa.int64()), "n_best_sha256": pa.list_(pa.string())}
@@ -292,13 +294,17 @@ def segment(text: Column, path: str, n: int = 3, keep_ids: bool = True) -> Colum
     @F.arrow_udf(RESULT)
     def column(values: pa.Array) -> pa.Array:
         out: dict[str, list] = {name: [] for name in listed}
+        # One buffer for the ids of all texts, which Arrow takes over as it is.
+        flat, ends = array("i"), [0]
         for value in values:
             text = value.as_py() or ""
-            best = encode(text, path, n)
+            best = encode(text, path, n, kept_words)
             ids = best[0][1] if best else array("i")
             digests = [hashlib.sha256(x.tobytes()).hexdigest() for _, x in best]
             decoded = decode(ids, path)
-            out["ids"].append(pa.array(ids, pa.int32()) if keep_ids else None)
+            if keep_ids:
+                flat.extend(ids)
+                ends.append(len(flat))
             out["n_ids"].append(len(ids))
             out["ids_sha256"].append(digests[0] if digests else hashlib.sha256(b"").hexdigest())
             out["scores"].append([s for s, _ in best])
@@ -306,6 +312,11 @@ def segment(text: Column, path: str, n: int = 3, keep_ids: bool = True) -> Colum
             out["n_best_sha256"].append(digests)
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
             out["lossless"].append(decoded == text.replace(SPACE, " "))
-        return pa.StructArray.from_arrays([pa.array(out[k], t) for k, t in listed.items()], names=list(listed))
+        out["ids"] = [None] * len(values)
+        columns = [pa.array(out[k], t) for k, t in listed.items()]
+        if keep_ids:
+            items = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+            columns[0] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+        return pa.StructArray.from_arrays(columns, names=list(listed))
 
     return column(text)

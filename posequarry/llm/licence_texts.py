@@ -1,4 +1,6 @@
-"""Known licence texts (fixed values)."""
+"""Known licence texts (fixed values); long ones are files beside this module."""
+
+from pathlib import Path
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -131,6 +133,37 @@ PARTICULAR PURPOSE. See the GNU General Public License for more details.
 You should have received a copy of the GNU General Public License along with
 this program. If not, see <https://www.gnu.org/licenses/>."""
 
+# Name and file of each full text.
+FILES = (
+    ("Apache-2.0", "Apache-2.0"),
+    ("Artistic-1.0-Perl", "Artistic"),
+    ("BSD-3-Clause", "BSD"),
+    ("CC0-1.0", "CC0-1.0"),
+    ("GFDL-1.2", "GFDL-1.2"),
+    ("GFDL-1.3", "GFDL-1.3"),
+    ("GPL-1.0", "GPL-1"),
+    ("GPL-2.0", "GPL-2"),
+    ("GPL-3.0", "GPL-3"),
+    ("LGPL-2.0", "LGPL-2"),
+    ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3"),
+    ("MPL-1.1", "MPL-1.1"),
+    ("MPL-2.0", "MPL-2.0"),
+)
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The texts of ``FILES``; those with an appendix on how to apply them also without it."""
+    folder, out = Path(__file__).parent / "licence_files", []
+    for name, file in FILES:
+        text = (folder / f"{file}.txt").read_text(encoding="utf-8")
+        out.append((name, text))
+        if _END in text:
+            out.append((name, text[: text.index(_END) + len(_END)]))
+    return tuple(out)
+
+
 LICENCES = (
     ("MIT", MIT),
     ("ISC", ISC),
@@ -150,4 +183,4 @@ LICENCES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-)
+) + full_texts()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def located(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with two long columns that identify a row, and their names.
+
+    Rows of a table read from Parquet (also filtered, not joined or exploded) carry a digest of their
+    file's path and their place in it, which no other scan of the files can number otherwise. Any other
+    table is written first.
+    """
+    ids = fresh(df, "_file", "_at")
+    place = (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        return df.select("*", *[c.alias(n) for c, n in zip(place, ids)]), ids
+    except AnalysisException:
+        written = saved(df, "rows")
+        return written.select("*", *[c.alias(n) for c, n in zip(place, ids)]), ids
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row."""
     return F.element_at(F.transform(F.array(value), use), 1)

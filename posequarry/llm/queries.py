@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequarry.llm import audio, chat, licences, mixing, neighbours, pieces, sharding, simhash, tokens, toxicity
+from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, pieces, sharding, simhash, tokens, toxicity
 from posequarry.llm.common import table
 
 
@@ -186,6 +186,31 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that ten documents or more have."""
+    left = lines.dedup_lines(table(spark, folder, "documents"), min_docs=10, min_chars=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(xs) AS line, generate_subscripts(xs, 1) AS pos FROM docs
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), crowded AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), marked AS (
+  SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN crowded c ON k.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -199,6 +224,7 @@ QUERIES = {
         op8_tokens,
         op9_sharding,
         op10_simhash,
+        op13_lines,
     )
 }
-SQL = {"op2_chat": OP2_SQL, "op7_licences": _licence_sql()}
+SQL = {"op2_chat": OP2_SQL, "op7_licences": _licence_sql(), "op13_lines": OP13_SQL}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, pieces, sharding, simhash, tokens, toxicity
-from posequarry.llm.common import table
+from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, periods, pieces, sharding, simhash, tokens, toxicity
+from posequarry.llm.common import WORD, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -186,6 +186,37 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every document, some of them made to repeat."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    n = F.when((F.col("h") % 10 == 0) & (F.col("text") != ""), F.regexp_count("text", F.lit(WORD)).cast("long"))
+    # Null where nothing is to repeat.
+    made = hashed.withColumn("n", F.when(n > 0, n)).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("g % n"))
+    made = made.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    found = periods.periodic_runs(F.col("text"), min_length=6, exponent=4, repeat=(F.col("a"), F.col("p")))
+    rows = made.select("doc_id", found.alias("r")).select("doc_id", "r.*")
+
+    def better(best: Column, run: Column) -> Column:
+        # Longer by length / period, compared exactly; runs come by start and period.
+        wins = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(wins, run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    said = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = rows.withColumn("best", F.aggregate("runs", none, better))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(said, lambda s: F.concat(s, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that ten documents or more have."""
     left = lines.dedup_lines(table(spark, folder, "documents"), min_docs=10, min_chars=1)
@@ -224,6 +255,7 @@ QUERIES = {
         op8_tokens,
         op9_sharding,
         op10_simhash,
+        op12_periods,
         op13_lines,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, periods, pieces, sharding, simhash, tokens, toxicity
+from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, periods, pieces, sharding, simhash, tokens, toxicity, whitening
 from posequarry.llm.common import WORD, table
 
 
@@ -186,6 +186,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The 32 strongest whitened components of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"), components=32)
+
+
 def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words of every document, some of them made to repeat."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -255,6 +260,7 @@ QUERIES = {
         op8_tokens,
         op9_sharding,
         op10_simhash,
+        op11_whitening,
         op12_periods,
         op13_lines,
     )

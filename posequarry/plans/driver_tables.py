@@ -464,27 +464,27 @@ LOG_LINES = """log_lines AS (
 # -- pose coordinates --------------------------------------------------------
 
 def coordinates(spark: SparkSession, folder: str) -> DataFrame:
-    """(pdb, row_idx, score, xyz): 21 atoms per pose from ``embeddings``."""
+    """(pdb, row_idx, score, xyz): 22 atoms per pose from ``embeddings``, whose 64 numbers two zeros complete."""
     return read(spark, folder, "embeddings").select(
         pdb_id(F.col("label")).alias("pdb"),
         F.col("vec_id").alias("row_idx"),
         F.col("embedding")[0].cast("double").alias("score"),
-        F.slice("embedding", 1, 63).cast("array<double>").alias("xyz"),
+        F.concat(F.col("embedding").cast("array<double>"), F.lit([0.0, 0.0])).alias("xyz"),
     )
 
 
 COORDS = """coords AS (
   SELECT printf('%04d', label) AS pdb, vec_id AS row_idx, embedding[1]::DOUBLE AS score,
-    embedding[1:63]::DOUBLE[] AS xyz FROM embeddings)"""
+    list_concat(embedding::DOUBLE[], [0.0::DOUBLE, 0.0::DOUBLE]) AS xyz FROM embeddings)"""
 
 # Leaders: poses by ascending score, kept when no earlier leader is near.
 CLUSTERS = COORDS + """, leaders AS (
   SELECT pdb, unnest(list_reduce(list([{'r': row_idx, 's': score, 'x': xyz}] ORDER BY score, row_idx),
-    lambda acc, p: CASE WHEN len(list_filter(acc, lambda l: list_distance(l.x, p[1].x) / sqrt(21) < 0.3)) > 0
+    lambda acc, p: CASE WHEN len(list_filter(acc, lambda l: list_distance(l.x, p[1].x) / sqrt(22) < 0.3)) > 0
       THEN acc ELSE list_concat(acc, p) END)) AS l
   FROM coords GROUP BY pdb),
 members AS (
   SELECT c.pdb, c.row_idx, l.r AS cluster_id, c.row_idx = l.r AS is_rep, c.score,
-    list_distance(l.x, c.xyz) / sqrt(21) AS rmsd
+    list_distance(l.x, c.xyz) / sqrt(22) AS rmsd
   FROM coords c JOIN leaders d ON c.pdb = d.pdb AND (l.s < c.score OR (l.s = c.score AND l.r <= c.row_idx))
   QUALIFY row_number() OVER (PARTITION BY c.pdb, c.row_idx ORDER BY list_distance(l.x, c.xyz), l.s, l.r) = 1)"""

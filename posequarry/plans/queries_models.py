@@ -57,7 +57,7 @@ def leader_clusters(spark, folder):
     "C2_pose_rmsd",
     with_views(t.COORDS, """best AS (SELECT pdb, xyz AS ref FROM coords
         QUALIFY row_number() OVER (PARTITION BY pdb ORDER BY score, row_idx) = 1)""", body="""
-      SELECT pdb, row_idx, round(sqrt(list_sum(list_transform(range(1, 64), lambda i: (xyz[i] - ref[i]) * (xyz[i] - ref[i]))) / 21), 6) AS rmsd
+      SELECT pdb, row_idx, round(sqrt(list_sum(list_transform(range(1, 67), lambda i: (xyz[i] - ref[i]) * (xyz[i] - ref[i]))) / 22), 6) AS rmsd
       FROM coords JOIN best USING (pdb)"""),
 )
 def pose_rmsd(spark, folder):
@@ -315,7 +315,7 @@ F1_SPLITS = ("ext_split", "list_split", "json_split", "table_split")
 def feature_table(spark, folder):
     relax = t.relax_poses(spark, folder, FEATURE_TERMS)
     state = F.when(F.col("type") == "apo_relax", "ligaway").otherwise(F.col("type"))
-    states = relax.where(~((F.col("type") == "crystal") & F.col("pdb").endswith("3"))).withColumn("state", state)
+    states = relax.withColumn("state", state)
     supplier = t.read(spark, folder, "supplier").select(
         t.pdb_id(F.col("s_suppkey")).alias("pdb"), "s_suppkey", "s_acctbal"
     )
@@ -376,7 +376,7 @@ STATE_COLUMNS = features.feature_columns(F1_SPLITS)[12:]
 
 @query(
     "F1_feature_table",
-    with_views(t.relax_sql(FEATURE_TERMS), t.ATOMS, f"""firsts AS (SELECT * FROM relax_poses WHERE NOT (type = 'crystal' AND pdb LIKE '%3')
+    with_views(t.relax_sql(FEATURE_TERMS), t.ATOMS, f"""firsts AS (SELECT * FROM relax_poses
         QUALIFY row_number() OVER (PARTITION BY pdb, type ORDER BY row_idx) = 1),
       states AS (SELECT pdb, count(*) AS n_states, {STATE_SQL} FROM firsts GROUP BY pdb),
       facts AS (SELECT pdb, count(DISTINCT (chain, res_no)) AS nres, false AS has_rare_element FROM atoms GROUP BY pdb)""",

@@ -226,6 +226,51 @@ def test_nonnegative_minimum():
     assert (w >= 0).all() and (gradient[w > 0] ** 2 < 1e-12).all() and (gradient[w == 0] >= -1e-9).all()
 
 
+def optimal(a, b, w):
+    """No allowed move of one weight lowers the value beyond rounding."""
+    slope, size = b - a @ w, np.sqrt(np.diag(a))
+    slope = slope / np.where(size > 0, size, 1)
+    scale = max(np.abs(b / np.where(size > 0, size, 1)).max(), (np.abs(a / np.where(size > 0, size, 1)[:, None]) @ np.abs(w)).max(), 1e-300)
+    assert (w >= 0).all()
+    assert (slope <= 1e-6 * scale).all() and (np.abs(slope[w > 0]) <= 1e-6 * scale).all()
+
+
+def test_nonnegative_minimum_of_dependent_terms():
+    """Equal, opposite, missing and nearly equal terms, and any number of them, end at the minimum."""
+    draw = np.random.default_rng(3)
+    for trial in range(200):
+        n, k = int(draw.integers(1, 40)), int(draw.integers(1, 12))
+        x = draw.normal(size=(n, k)) * 10.0 ** draw.integers(-3, 4, k)
+        for _ in range(int(draw.integers(0, 3))):
+            i, j = draw.integers(0, k, 2)
+            x[:, i] = x[:, j] * draw.choice([1.0, -1.0, 0.0, 3.0]) + draw.choice([0.0, 1e-9]) * draw.normal(size=n)
+        y = draw.normal(size=n) + draw.choice([0.0, 5.0])
+        a, b = x.T @ x, x.T @ y
+        w = fitting.nonnegative_minimum(a, b)
+        optimal(a, b, w)
+        # No point nearby, and none with one term left out, is better.
+        value = lambda v: float(((x @ v - y) ** 2).sum())
+        for _ in range(5):
+            near = np.maximum(w + draw.normal(size=k) * 1e-3 * (np.abs(w).max() + 1e-3), 0)
+            assert value(w) <= value(near) * (1 + 1e-9) + 1e-9
+
+
+def test_nonnegative_minimum_equals_all_supports():
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        x, y = draw.normal(size=(9, 5)), draw.normal(size=9)
+        best = np.inf
+        for bits in range(32):
+            at = [i for i in range(5) if bits >> i & 1]
+            w = np.zeros(5)
+            if at:
+                w[at] = np.linalg.lstsq(x[:, at], y, rcond=None)[0]
+            if (w >= 0).all():
+                best = min(best, ((x @ w - y) ** 2).sum())
+        w = fitting.nonnegative_minimum(x.T @ x, x.T @ y)
+        assert ((x @ w - y) ** 2).sum() <= best + 1e-9
+
+
 def test_weights_are_sorted_by_size(spark):
     weights = spark.createDataFrame([("c", 0, 0.1), ("c", 1, -0.5), ("c", 2, 0.3)], fitting.WEIGHTS)
     assert [r["position"] for r in fitting.sorted_weights(weights).collect()] == [1, 2, 0]

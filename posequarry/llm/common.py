@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +26,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     columns, which a row checkpoint does not allow.
     """
     path = scratch_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Tables written since each scope that is open was entered.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose ``saved`` tables are deleted at its end, but for those that the function it gives writes.
+
+    What leaves the scope must read none of the others. In a scope within another, kept tables belong to that one.
+    """
+    _OPEN.append([])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = saved(df, name)
+        path = _OPEN[-1].pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(path)
+        return out
+
+    try:
+        yield kept
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until none of them is a column of the table."""
     taken = {c.lower() for c in df.columns}
@@ -55,6 +87,26 @@ def located(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return written.select("*", *[c.alias(n) for c, n in zip(place, ids)]), ids
 
 
+def marks(keys: DataFrame, ids: list[str]) -> DataFrame:
+    """One bit per row: 64 places in a row of a file share a long, 1 where ``keys`` has the row. Written."""
+    file, at = ids
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{at}`, 64) as int))")
+    packed = keys.groupBy(F.col(file).alias("_m_file"), F.expr(f"`{at}` div 64").alias("_m_block"))
+    return saved(packed.agg(F.bit_or(bit).alias("_m_bits")), "row-marks")
+
+
+def selected(df: DataFrame, ids: list[str], marked: DataFrame) -> DataFrame:
+    """The rows of a ``located`` table that are marked.
+
+    Marks are so small (a long for 64 rows) that Spark broadcasts them for tables of tens of millions of rows
+    under its usual threshold, and the wide rows stay where they are; beyond it joins by sorting.
+    """
+    file, at = ids
+    same = (F.col(file) == F.col("_m_file")) & (F.expr(f"`{at}` div 64") == F.col("_m_block"))
+    bit = F.expr(f"(shiftrightunsigned(_m_bits, cast(pmod(`{at}`, 64) as int)) & 1) = 1")
+    return df.join(marked, same).filter(bit).select(*df.columns)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row."""
     return F.element_at(F.transform(F.array(value), use), 1)

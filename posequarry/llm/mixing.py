@@ -14,6 +14,7 @@ residual goes to the nearer whole copy.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -126,22 +127,24 @@ def mix(
     cap: float = 2.0,
     seed: int = 42,
     fan: int = FAN,
-    key: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Copies per document so that each source meets its target words.
 
-    Reads doc_id, source, text; other columns play no part. Returns doc_id,
-    source, size, source_size, target, copies, taken, and row: ``key``, a column
-    that numbers the rows, or a number given here.
+    Reads doc_id, source, text; other columns play no part. Returns a number of the row, doc_id,
+    source, size, source_size, target, copies, taken, and the columns of ``carry``.
     Null or empty text has size 0 and takes nothing; a null source is a source
     of its own, a null doc_id counts like any other value; equal rows may get different copies;
     an empty table gives an empty one. The draw depends on seed, doc_id and size
     alone, so reruns and other partitionings agree.
     """
-    number = F.col(key) if key else F.monotonically_increasing_id()
     base = saved(
         docs.select(
-            number.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")
+            F.monotonically_increasing_id().alias("row"),
+            "doc_id",
+            "source",
+            word_count(F.col("text")).alias("size"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -206,4 +209,5 @@ def mix(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
+        *carry,
     )

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from posequarry.llm import queries, toxicity
 from tests.llm.test_operators import FOLDER, ODD, SCHEMA, check_mix
+from tests.llm.test_shingles import kept as similar_kept
 from tests.oracle import canonical, connect
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +24,7 @@ def test_stages(spark, tmp_path):
     model = toxicity.learn(everything, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     clean = {r["doc_id"] for r in everything.collect() if model.score(r["text"]) < 0.7}
     assert {r["doc_id"] for r in kept[0].collect()} == clean
-    groups = queries.simhash.near_duplicates(kept[0]).collect()
-    assert sorted(r["doc_id"] for r in kept[1].collect()) == sorted({r["component_id"] for r in groups})
+    assert sorted(r["doc_id"] for r in kept[1].collect()) == similar_kept([(r["doc_id"], r["text"]) for r in kept[0].collect()])
     mixed = queries.mixing.mix(kept[1]).collect()
     check_mix(mixed)
     assert sorted(r["doc_id"] for r in kept[2].collect()) == sorted(r["doc_id"] for r in mixed for _ in range(r["copies"]))

@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from posequarry.llm import shingles, simhash
+from posequarry.llm import common, shingles, simhash
 from tests.llm.test_operators import FOLDER
 
 
@@ -77,6 +79,44 @@ def test_groups_chains_and_a_common_line(spark):
     want = kept(rows)
     assert stage(spark, rows) == want
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample, stars in ((1, 0), (50, 1)):
-        found = shingles.near_duplicates(docs, "doc_id", sample, stars).collect()
+    docs, ids = common.located(docs)
+    for sample, limits in ((1, {"rounds": 0, "tile": 7}), (50, {"rounds": 1, "group": 9}), (10**6, {"rounds": 0})):
+        found = shingles.near_duplicates(docs, ids, sample, **limits).collect()
         assert sorted({r["component_id"] for r in found}) == want
+        assert sorted(r["doc_id"] for r in found if r["first"]) == want
+
+
+def test_sketches():
+    """Differing bits never exceed differing shingles, also between sketches of two sizes."""
+    draw = np.random.default_rng(2)
+    for _ in range(200):
+        n, k = int(draw.integers(1, 300)), int(draw.integers(0, 80))
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, len(a) - k)], draw.integers(0, 2**63, int(draw.integers(0, k + 1))).astype(np.uint64)]))
+        meeting = shingles.Meeting(np.array([len(a), len(b)]), [shingles.sketch(a), shingles.sketch(b)])
+        at, bits = meeting.before(1)
+        both = len(np.intersect1d(a, b))
+        if shingles.similar(a, b):
+            assert at.tolist() == [0]
+        if len(at):
+            assert bits[0] <= len(a) + len(b) - 2 * both
+
+
+def test_crowded_group_takes_few_pairs(spark, monkeypatch):
+    """Near copies of one text, most of them not similar to each other, next to one another in few verified pairs."""
+    draw = random.Random(9)
+    first = [f"o{k}" for k in range(150)]
+    n = 600
+    texts = [edited(draw, first, draw.randrange(1, 9)) for _ in range(n)]
+    compared, whole = [], shingles.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    rows = list(enumerate(texts))
+    docs, ids = common.located(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = shingles.near_duplicates(docs, ids).collect()
+    assert sorted(r["doc_id"] for r in found if r["first"]) == kept(rows)
+    assert sum(compared) < 8 * n

@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posequarry.functions.coords import rmsd
 from posequarry.functions.terms import quoted
 from posequarry.operators.ordering import n_smallest, sequence_ids
 from posequarry.session import materialize
 
 MEMBERS = "pdb string, row_idx long, cluster_id long, is_rep boolean, rmsd double"
-POSES = "pdb string, row_idx long, score double, xyz array<double>"
+PLACED = "pdb string, row_idx long, score double, xyz array<double>, d array<double>, c0 long, c1 long, c2 long"
 # A complex with at most GROUP_ROWS poses is clustered in one task.
 GROUP_ROWS = 20_000
 # Larger ones are decided a head of poses at a time, checked slice by slice; the
@@ -26,6 +27,8 @@ GROUP_ROWS = 20_000
 HEAD_ROWS = 1_000
 SLICE_ROWS = 10_000
 LEADERS_PER_BLOCK = 5_000
+# Far-apart poses that all others know their distance to, and poses they are chosen from in a large complex.
+PIVOTS, PIVOT_SAMPLE = 8, 1_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -43,22 +46,63 @@ def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(["score", "row_idx"], na_position="last", ignore_index=True)
 
 
+def _far_apart(points: np.ndarray, pivots: int = PIVOTS) -> list[int]:
+    """Positions of poses far from one another: each is the farthest from those before it."""
+    found: list[int] = []
+    finite = np.isfinite(points).all(axis=1)
+    if not finite.any():
+        return found
+    away = np.where(finite, _rmsd_to(points, points[int(np.argmax(finite))]), -1.0)
+    while len(found) < pivots and away.max() > 0:
+        found.append(int(np.argmax(away)))
+        away = np.minimum(away, np.where(finite, _rmsd_to(points, points[found[-1]]), -1.0))
+    return found
+
+
+class _Near:
+    """Poses that a leader may be within some distance of, by their distances to the pivots.
+
+    The distance of two poses is at least the difference of their distances to any third. A little slack
+    covers rounding; whoever asks computes the distance itself.
+    """
+
+    def __init__(self, to_pivots: np.ndarray):
+        self.to_pivots = to_pivots
+        self.order = np.argsort(to_pivots[:, 0], kind="stable") if to_pivots.shape[1] else np.arange(len(to_pivots))
+        self.first = to_pivots[self.order, 0] if to_pivots.shape[1] else None
+
+    def within(self, leader: np.ndarray, reach: float, of: np.ndarray) -> np.ndarray:
+        """Positions, in order, whose distance to the leader can be below both ``reach`` and their value in ``of``."""
+        if self.first is None:
+            return np.arange(len(self.to_pivots))
+        reach = reach * (1 + 1e-9) + 1e-12
+        low, high = np.searchsorted(self.first, [leader[0] - reach, leader[0] + reach])
+        at = self.order[low : high + 1]
+        least = np.abs(self.to_pivots[at] - leader).max(axis=1)
+        return np.sort(at[least <= np.minimum(reach, of[at] * (1 + 1e-9) + 1e-12)])
+
+
 def _lead(points: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Representative position and RMSD of each row of an ordered group.
 
-    Works leader by leader: each new leader is compared with all later rows at
-    once, and a strictly smaller distance moves a row to it.
+    Works leader by leader: each new leader is compared with the later rows that the
+    pivots do not rule out, and a strictly smaller distance moves a row to it.
     """
     best = np.full(len(points), np.inf)
     rep = np.full(len(points), -1)
+    pivots = _far_apart(points)
+    to_pivots = np.stack([_rmsd_to(points, points[p]) for p in pivots], axis=1) if pivots else np.empty((len(points), 0))
+    near = _Near(to_pivots)
     for i in range(len(points)):
         if best[i] < cutoff:
             continue
         best[i], rep[i] = 0.0, i
-        distance = _rmsd_to(points[i + 1 :], points[i])
-        closer = np.flatnonzero(distance < best[i + 1 :]) + i + 1
-        best[closer] = distance[closer - i - 1]
-        rep[closer] = i
+        later = near.within(to_pivots[i], cutoff, best)
+        later = later[later > i]
+        distance = _rmsd_to(points[later], points[i])
+        closer = distance < np.minimum(best[later], cutoff)
+        best[later[closer]] = distance[closer]
+        rep[later[closer]] = i
     return rep, best
 
 
@@ -84,7 +128,7 @@ def _leaders_of_group(cutoff: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = _in_order(frame)
         rep, _ = _lead(_matrix(rows["xyz"]), cutoff)
-        return rows.loc[rep == np.arange(len(rows)), ["pdb", "row_idx", "score", "xyz"]]
+        return rows.loc[rep == np.arange(len(rows))]
 
     return run
 
@@ -92,19 +136,27 @@ def _leaders_of_group(cutoff: float):
 def _uncovered(cutoff: float):
     def run(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
         points = _matrix(poses["xyz"])
-        covered = np.zeros(len(poses), dtype=bool)
-        for leader in leaders["xyz"]:
-            left = np.flatnonzero(~covered)
-            if len(left) == 0:
-                break
-            covered[left] = _rmsd_to(points[left], np.asarray(leader, dtype=float)) < cutoff
-        return poses.loc[~covered]
+        # What a leader covers needs no other.
+        open_to = np.full(len(poses), np.inf)
+        near = _Near(_matrix(poses["d"]))
+        for xyz, d in zip(leaders["xyz"], leaders["d"]):
+            at = near.within(np.asarray(d, dtype=float), cutoff, open_to)
+            covered = at[_rmsd_to(points[at], np.asarray(xyz, dtype=float)) < cutoff]
+            open_to[covered] = -np.inf
+        return poses.loc[open_to > 0]
+
+    return run
+
+
+def _nearest_leader(cutoff: float):
+    def run(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(cutoff, poses, leaders)
 
     return run
 
 
-def _nearest_leader(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-    """Nearest leader opened no later than the pose, with the leader's place."""
+def _nearest(cutoff: float, poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """Nearest leader within the cutoff opened no later than the pose, with the leader's place."""
     if poses.empty or leaders.empty:
         return poses.iloc[:0].assign(cluster_id=0, rmsd=0.0, leader_score=0.0)[
             ["pdb", "row_idx", "cluster_id", "rmsd", "leader_score"]
@@ -115,11 +167,13 @@ def _nearest_leader(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     score, row = poses["score"].to_numpy(), poses["row_idx"].to_numpy()
     best = np.full(len(poses), np.inf)
     pick = np.full(len(poses), -1)
-    places = zip(leaders["score"], leaders["row_idx"], leaders["xyz"], strict=True)
-    for k, (lead_score, lead_row, xyz) in enumerate(places):
-        later = np.flatnonzero((score > lead_score) | ((score == lead_score) & (row >= lead_row)))
+    near = _Near(_matrix(poses["d"]))
+    places = zip(leaders["score"], leaders["row_idx"], leaders["xyz"], leaders["d"], strict=True)
+    for k, (lead_score, lead_row, xyz, d) in enumerate(places):
+        later = near.within(np.asarray(d, dtype=float), cutoff, best)
+        later = later[(score[later] > lead_score) | ((score[later] == lead_score) & (row[later] >= lead_row))]
         distance = _rmsd_to(points[later], np.asarray(xyz, dtype=float))
-        closer = distance < best[later]
+        closer = distance < np.minimum(best[later], cutoff)
         best[later[closer]] = distance[closer]
         pick[later[closer]] = k
     found = pick >= 0
@@ -134,40 +188,49 @@ def _nearest_leader(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-CELL = ["cx", "cy", "cz"]
+CELL = ["c0", "c1", "c2"]
+
+
+def _pivot_table(poses: DataFrame, sample: int = PIVOT_SAMPLE) -> DataFrame:
+    """(pdb, pivots): far-apart poses of a random few of each complex."""
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        points = _matrix(frame.sort_values("row_idx")["xyz"])
+        return pd.DataFrame({"pdb": [frame["pdb"].iloc[0]], "pivots": [[points[p].tolist() for p in _far_apart(points)]]})
+
+    few = n_smallest(poses.select("pdb", "row_idx", "xyz"), ["pdb"], [F.xxhash64("row_idx"), F.col("row_idx")], sample)
+    return few.select("pdb", "row_idx", "xyz").groupBy("pdb").applyInPandas(choose, "pdb string, pivots array<array<double>>")
+
+
+def _along(axis: int) -> Column:
+    """Distance to one of the first pivots; null where there is none or it is not finite (within the cutoff of nothing)."""
+    distance = F.get("d", F.lit(axis))
+    return F.when(F.abs(distance) < float("inf"), distance)
 
 
 def _cell_widths(poses: DataFrame, cutoff: float, slice_rows: int) -> DataFrame:
-    """Width of the centroid cells of each complex: the cutoff, or more where poses are sparse.
+    """Width of the cells of each complex: the cutoff, or more where poses are sparse.
 
     An eighth of a slice per cell leaves few groups and few copies; the middle 98 % of
-    the centroids give the extent, so that one far pose does not widen the cells.
+    the distances give the extent, so that one far pose does not widen the cells.
     """
     spans = []
-    for axis in range(3):
-        low, high = (F.percentile_approx(_centroid(axis), q, 1000) for q in (0.01, 0.99))
+    for axis in range(len(CELL)):
+        low, high = (F.percentile_approx(_along(axis), q, 1000) for q in (0.01, 0.99))
         spans.append(F.greatest(F.coalesce(high - low, F.lit(0.0)), F.lit(cutoff)))
     sparse = F.cbrt(spans[0] * spans[1] * spans[2] * (slice_rows / 8) / F.count(F.lit(1)))
     return poses.groupBy("pdb").agg(F.greatest(sparse, F.lit(cutoff * (1 + 1e-9))).alias("width"))
 
 
-def _centroid(axis: int) -> Column:
-    """A coordinate of the centroid; null where it is missing or not finite (within the cutoff of nothing)."""
-    along = F.filter("xyz", lambda x, i: i % 3 == axis)
-    atoms = F.greatest(F.size("xyz") / 3, F.lit(1.0))
-    mean = F.aggregate(along, F.lit(0.0), lambda total, x: total + x) / atoms
-    return F.when(F.abs(mean) < float("inf"), mean)
-
-
-def _centroid_cells(poses: DataFrame, widths: DataFrame) -> DataFrame:
-    """Poses with the grid cell of their centroid.
+def _placed(poses: DataFrame, widths: DataFrame) -> DataFrame:
+    """Poses with the grid cell of their distances to the first three pivots.
 
-    The distance of two centroids never exceeds the RMSD, so a pose and any
-    leader within the cutoff are in the same or in adjoining cells.
+    Two poses within the cutoff differ by no more in their distance to any pivot, so a pose and any
+    leader within the cutoff are in the same or in adjoining cells, also where all
+    poses lie in one pocket and only their shapes and turns differ.
     """
     cells = {
-        name: F.coalesce(F.floor(_centroid(axis) / F.col("width")), F.lit(0)).cast("long")
-        for axis, name in enumerate(CELL)
+        name: F.coalesce(F.floor(_along(axis) / F.col("width")), F.lit(0)).cast("long") for axis, name in enumerate(CELL)
     }
     return poses.join(widths, "pdb").withColumns(cells).drop("width")
 
@@ -187,14 +250,16 @@ def _cluster_large(
 
     The representatives are found in rounds: the lowest undecided poses of each
     complex are clustered among themselves (a bounded group), their leaders are
-    checked against the undecided poses of nearby centroid cells, and covered poses leave.
+    checked against the undecided poses of nearby cells, and covered poses leave.
     Since leaders always precede what is still undecided, this visits poses in
     the same order as the one-task form.  Every pose then looks up its nearest
     earlier leader among those of nearby cells, which are all it can be within
     the cutoff of. Crowded cells are cut into slices, and their leaders into blocks.
     """
-    widths = materialize(_cell_widths(poses, cutoff, slice_rows))
-    placed = _centroid_cells(poses, widths)
+    pivots = materialize(_pivot_table(poses))
+    to_pivots = F.transform("pivots", lambda v: rmsd(F.col("xyz"), v)).alias("d")
+    known = materialize(poses.join(pivots, "pdb").select("pdb", "row_idx", "score", "xyz", to_pivots))
+    placed = _placed(known, materialize(_cell_widths(known, cutoff, slice_rows)))
     home = ["pdb", *CELL]
     cells = materialize(
         placed.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
@@ -204,19 +269,19 @@ def _cluster_large(
             "slice", F.pmod(F.xxhash64("row_idx"), F.col("slices")).cast("int")
         )
     )
-    columns = ["pdb", "row_idx", "score", "xyz"]
+    columns = ["pdb", "row_idx", "score", "xyz", "d"]
     every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     undecided, rounds = rows.drop("slices"), []
-    placed_pose = f"{POSES}, cx long, cy long, cz long, slice int"
+    placed_pose = f"{PLACED}, slice int"
     keys = [*home, "slice"]
     while True:
         order = [F.col("score").asc_nulls_last(), F.col("row_idx").asc()]
         head = min(head_rows << len(rounds), group_rows)
         heads = n_smallest(undecided, ["pdb"], order, head)
         leaders = materialize(
-            heads.select(*columns).groupBy("pdb").applyInPandas(_leaders_of_group(cutoff), POSES)
+            heads.select(*columns, *CELL).groupBy("pdb").applyInPandas(_leaders_of_group(cutoff), PLACED)
         )
-        near = _to_neighbours(_centroid_cells(leaders, widths)).join(cells, home)
+        near = _to_neighbours(leaders).join(cells, home)
         rounds.append(near)
         copies = near.select(*columns, *CELL, every_slice)
         # A round's own leaders are within the cutoff of themselves, but for coordinates that are not numbers.
@@ -242,7 +307,7 @@ def _cluster_large(
         spread.groupBy(*keys)
         .cogroup(copies.groupBy(*keys))
         .applyInPandas(
-            _nearest_leader,
+            _nearest_leader(cutoff),
             "pdb string, row_idx long, cluster_id long, rmsd double, leader_score double",
         )
     )

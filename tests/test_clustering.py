@@ -151,3 +151,54 @@ def test_nested_lists_are_cut_into_parts(spark, random_poses):
     for r in joined.orderBy("part", "i").collect():
         lists.setdefault((r["pdb"], r["representative"]), []).append(r["row"])
     assert lists == {(r["pdb"], r["representative"]): r["members"] for r in whole.collect()}
+
+
+def turned_poses(n, seed=4):
+    """One molecule in one place, turned and bent at random: all centroids are equal."""
+    rng = np.random.default_rng(seed)
+    atoms = rng.normal(0, 4, (22, 3))
+    bend = rng.normal(0, 1, (22, 3))
+    q = rng.normal(size=(n, 4))
+    w, x, y, z = (q / np.linalg.norm(q, axis=1, keepdims=True)).T
+    turn = np.stack(
+        [
+            np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], 1),
+            np.stack([2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], 1),
+            np.stack([2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], 1),
+        ],
+        1,
+    )
+    shape = atoms[None] + bend[None] * rng.normal(0, 0.5, (n, 1, 1))
+    shape = np.einsum("nij,nkj->nki", turn, shape)
+    return (shape - shape.mean(axis=1, keepdims=True)).reshape(n, -1)
+
+
+def test_pivots_spare_most_pairs_within_one_pocket(monkeypatch):
+    points, compared, measure = turned_poses(20_000), [], clustering._rmsd_to
+
+    def counted(some, leader):
+        compared.append(len(some))
+        return measure(some, leader)
+
+    monkeypatch.setattr(clustering, "_rmsd_to", counted)
+    rep, best = clustering._lead(points, 2.0)
+    pruned = sum(compared)
+    compared.clear()
+    monkeypatch.setattr(clustering, "_far_apart", lambda points: [])
+    whole = clustering._lead(points, 2.0)
+    assert len(np.unique(rep)) > 100
+    assert (rep == whole[0]).all() and (best == whole[1]).all()
+    assert pruned < sum(compared) / 10
+
+
+def test_large_form_within_one_pocket(spark):
+    points = turned_poses(1500, seed=5)
+    poses = [("a", i, float(i % 311), xyz.tolist()) for i, xyz in enumerate(points)]
+    whole = collected(clustering.cluster_poses(frame(spark, poses), 2.5))
+    sizes = {"group_rows": 700, "head_rows": 300, "slice_rows": 200, "block_rows": 100}
+    assert collected(clustering.cluster_poses(frame(spark, poses), 2.5, **sizes)) == whole
+    # Cells tell poses apart though their centroids do not.
+    known = frame(spark, poses).join(clustering._pivot_table(frame(spark, poses)), "pdb")
+    known = known.withColumn("d", F.transform("pivots", lambda v: clustering.rmsd(F.col("xyz"), v)))
+    placed = clustering._placed(known, clustering._cell_widths(known, 2.5, 200))
+    assert placed.select(*clustering.CELL).distinct().count() > 15

@@ -87,6 +87,18 @@ def located(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return written.select("*", *[c.alias(n) for c, n in zip(place, ids)]), ids
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run in this scope hand at most so many rows at a time to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def marks(keys: DataFrame, ids: list[str]) -> DataFrame:
     """One bit per row: 64 places in a row of a file share a long, 1 where ``keys`` has the row. Written."""
     file, at = ids

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posequarry.functions.terms import quoted
 
-ACCURACY = 20_000
+# Of the sketches, and values that may be left to be put in order.
+ACCURACY, LIMIT = 20_000, 20_000
+BRACKETS = "column_name string, first long, last long, low double, high double"
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,71 +26,105 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).where(F.col("value").isNotNull())
 
 
+def _cuts(accuracy: int) -> list[float]:
+    """Shares at which a sketch is read: steps some times as wide as its error."""
+    steps = max(8, accuracy // 20)
+    return [i / steps for i in range(steps + 1)]
+
+
+def _bracket(cuts: list[float], first: int, last: int, n: int, low: float, high: float) -> tuple[float, float]:
+    """The cuts around two ranks among ``n`` values between low and high, a step further out on both sides."""
+    steps = len(cuts) - 1
+    below, above = first * steps // n - 1, -(-(last + 1) * steps // n) + 1
+    return cuts[below] if below > 0 else low, cuts[above] if above < steps else high
+
+
+def _brackets(long: DataFrame, ranks: list[tuple[str, int, int]], totals: dict, accuracy: int, limit: int) -> list[tuple]:
+    """(column_name, first, last, low, high): the values of both ranks lie in [low, high], with few between.
+
+    A sketch of a whole column gives the first bracket. Each further pass counts what is below and
+    between, and cuts the bracket by a sketch of the values between, until at most ``limit`` are left. A value at an
+    end is not between, so one that makes up much of a column does not stop it.
+    """
+    group, value = "column_name", F.col("value")
+    shares = _cuts(accuracy)
+    open_, found = [], []
+    for name, first, last in ranks:
+        t = totals[name]
+        if t["n"] <= limit:
+            found.append((name, first, last, t["low"], t["high"]))
+        else:
+            open_.append((name, first, last, *_bracket(t["cuts"], first, last, t["n"], t["low"], t["high"])))
+    keys = [group, "first", "last", "low", "high"]
+    inside = (value > F.col("low")) & (value < F.col("high"))
+    while open_:
+        table = long.sparkSession.createDataFrame(open_, BRACKETS)
+        counted = (
+            long.join(F.broadcast(table), group)
+            .where(value < F.col("high"))
+            .groupBy(*keys)
+            .agg(
+                F.count_if(value <= F.col("low")).alias("upto"),
+                F.count_if(inside).alias("n"),
+                F.percentile_approx(F.when(inside, value), shares, accuracy).alias("cuts"),
+            )
+        )
+        rows = {tuple(r[k] for k in keys[:3]): r for r in counted.collect()}
+        again = []
+        for name, first, last, low, high in open_:
+            r = rows.get((name, first, last))
+            upto, n = (r["upto"], r["n"]) if r else (0, 0)
+            if last < upto:
+                found.append((name, first, last, low, low))
+            elif first >= upto + n:
+                found.append((name, first, last, high, high))
+            elif n <= limit:
+                found.append((name, first, last, low, high))
+            else:
+                again.append((name, first, last, *_bracket(r["cuts"], first - upto, last - upto, n, low, high)))
+        open_ = again
+    return found
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY, limit: int = LIMIT
 ) -> DataFrame:
     """(column_name, p, quantile) with linear interpolation, exact at any size.
 
-    A mergeable sketch gives each quantile a bracket that is certain to hold it.
-    One more pass counts what lies below, and only values inside the bracket - a
-    few per ``accuracy`` rows - are counted by value and walked in order.  The
-    brackets number columns x probabilities, so they are broadcast.
+    Ranks are narrowed to brackets of at most ``limit`` values by passes that cut them some hundredfold each;
+    then what lies below is counted and the values inside are walked in order. The
+    brackets number columns x probabilities, so they are broadcast, and no task
+    orders many more than ``limit`` values.
     """
     group, value = "column_name", "value"
-    df = long_form(df, columns)
-    # The sketch is off by at most n / accuracy ranks; four times that leaves
-    # room for interpolation.  Small columns take their whole range as bracket.
-    margin = 4.0 / accuracy
-    low = [max(0.0, p - margin) for p in probs]
-    high = [min(1.0, p + margin) for p in probs]
-    sketch = df.groupBy(group).agg(
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, low, accuracy).alias("_low"),
-        F.percentile_approx(value, high, accuracy).alias("_high"),
-    )
-    whole = F.col("_n") <= accuracy
-    brackets = sketch.select(
-        group,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("p"),
-                        ((F.col("_n") - 1) * F.lit(float(p))).alias("_rank"),
-                        F.when(whole | F.lit(p <= margin), F.col("_min"))
-                        .otherwise(F.get("_low", F.lit(i)))
-                        .alias("_lo"),
-                        F.when(whole | F.lit(p >= 1 - margin), F.col("_max"))
-                        .otherwise(F.get("_high", F.lit(i)))
-                        .alias("_hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
-    )
-    tagged = df.join(F.broadcast(brackets), group).where(F.col(value) <= F.col("_hi"))
-    inside = F.col(value) >= F.col("_lo")
-    counted = tagged.groupBy(group, "p", F.when(inside, F.col(value)).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank")
+    long = long_form(df, columns)
+    sketch = long.groupBy(group).agg(
+        F.count(value).alias("n"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.percentile_approx(value, _cuts(accuracy), accuracy).alias("cuts"),
     )
-    upto = Window.partitionBy(group, "p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
+    totals = {r[group]: r for r in sketch.collect()}
+    places = [(name, float(p), (t["n"] - 1) * float(p)) for name, t in totals.items() for p in probs]
+    ranks = sorted({(name, math.floor(x), math.ceil(x)) for name, _, x in places})
+    spark, keys = df.sparkSession, [group, "first", "last"]
+    brackets = spark.createDataFrame(_brackets(long, ranks, totals, accuracy, limit), BRACKETS)
+    tagged = long.join(F.broadcast(brackets), group).where(F.col(value) <= F.col("high"))
+    inside = F.when(F.col(value) >= F.col("low"), F.col(value))
+    counted = tagged.groupBy(*keys, inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    walked = counted.withColumn("_end", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
-    lower, upper = F.floor("_rank"), F.ceil("_rank")
+    walked = counted.withColumn("end", F.sum("c").over(upto)).where(F.col("v").isNotNull())
 
-    def at(rank):
-        return F.min(F.when(F.col("_end") > rank, F.col("_v")))
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("end") > F.col(rank), F.col("v")))
 
-    picked = walked.groupBy(group, "p").agg(
-        at(lower).alias("_a"), at(upper).alias("_b"), F.first("_rank").alias("_rank")
-    )
-    share = F.col("_rank") - F.floor("_rank")
-    return picked.select(
-        group, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile")
+    picked = walked.groupBy(*keys).agg(at("first").alias("a"), at("last").alias("b"))
+    wanted = [(name, math.floor(x), math.ceil(x), p, x - math.floor(x)) for name, p, x in places]
+    table = spark.createDataFrame(wanted, f"{group} string, first long, last long, p double, share double")
+    return picked.join(F.broadcast(table), keys).select(
+        group, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("quantile")
     )
 
 

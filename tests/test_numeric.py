@@ -125,19 +125,40 @@ def test_histogram_equals_numpy(spark):
     }
 
 
-@pytest.mark.parametrize("accuracy", [20_000, 50])
-def test_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "limit"), [(20_000, 20_000), (2_000, 30), (50, 5)])
+def test_quantiles_equal_numpy(spark, accuracy, limit):
     rng = np.random.default_rng(2)
     table = pd.DataFrame({"a": rng.normal(size=5001), "b": rng.integers(0, 5, 5001).astype(float), "c": 7.0})
+    # One value makes up a third, right between many others.
+    table["d"] = np.where(rng.random(5001) < 1 / 3, 0.25, rng.random(5001))
     table.loc[::9, "a"] = np.nan
     df = spark.createDataFrame(table).replace(float("nan"), None).repartition(5)
     probs = [0.0, 0.25, 0.5, 0.77, 1.0]
-    got = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, ["a", "b", "c"], probs, accuracy).collect()}
+    got = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, list(table), probs, accuracy, limit).collect()}
     for name in table:
         for p in probs:
             assert got[name, p] == pytest.approx(np.quantile(table[name].dropna(), p)), (name, p)
 
 
+def test_quantiles_of_many_values_order_few(spark):
+    n = 10_000_000
+    value = (F.col("id") * 7919 % n).cast("double")
+    # A permutation, and one with a value that half of all rows have.
+    df = spark.range(n).select(value.alias("a"), F.when(value < n / 2, 3.0).otherwise(value).alias("b"))
+    probs = [0.1, 0.5, 0.9]
+    got = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, ["a", "b"], probs).collect()}
+    for p in probs:
+        assert got["a", p] == pytest.approx(p * (n - 1), rel=1e-12)
+    assert got["b", 0.1] == 3.0 and got["b", 0.9] == pytest.approx(0.9 * (n - 1), rel=1e-12)
+    assert got["b", 0.5] == pytest.approx((3.0 + n / 2) / 2, rel=1e-12)
+    long = quantiles.long_form(df, ["a", "b"])
+    totals = {r["column_name"]: r for r in long.groupBy("column_name").agg(
+        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.percentile_approx("value", quantiles._cuts(20_000), 20_000).alias("cuts")).collect()}
+    found = quantiles._brackets(long, [("a", n // 3, n // 3), ("b", n // 3, n // 3), ("b", n // 2, n // 2)], totals, 20_000, 1_000)
+    assert len(found) == 3 and all(high - (low if name == "a" else max(low, n / 2)) <= 1_001 for name, *_, low, high in found)
+
+
 def test_box_whiskers(spark):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 50.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -151,28 +151,25 @@ def cleaned_lines(lines: DataFrame, contacts: DataFrame) -> DataFrame:
     """Structure lines that survive cleaning, with their line numbers.
 
     TER lines stay; protein atoms stay in kept chains unless hydrogen; hetero
-    atoms stay when (name, number) is a kept cofactor.  Both lookups are small
-    per complex (chain letters, cofactor atoms) and are done as semi joins.
+    atoms stay when (name, number) is a kept cofactor. One row per complex holds what is
+    kept, bounded by the line format (one-letter chains and five-digit atom numbers), so the
+    text is read and joined once.
     """
     line = F.col("line")
-    ended = lines.where(text.is_ter(line))
-    chains = contacts.where("role = 'chain'").select("pdb", F.col("name").alias("_chain"))
-    protein = lines.where(text.is_atom(line) & (text.cut(line, 76, 78) != " H"))
-    protein = protein.withColumn("_chain", text.cut(line, 21, 22)).join(
-        chains, ["pdb", "_chain"], "left_semi"
+    cofactor = F.struct(F.col("name").alias("name"), F.col("atom_no").alias("number"))
+    kept = contacts.groupBy("pdb").agg(
+        F.collect_set(F.when(F.col("role") == "chain", F.col("name"))).alias("_chains"),
+        F.collect_set(F.when(F.col("role") == "cofactor", cofactor)).alias("_cofactors"),
     )
-    cofactors = contacts.where("role = 'cofactor'").select(
-        "pdb", F.col("name").alias("_name"), F.col("atom_no").alias("_number")
+    number = F.trim(text.cut(line, 6, 11)).try_cast("int")
+    atom = F.struct(text.cut(line, 12, 16).alias("name"), number.alias("number"))
+    protein = text.is_atom(line) & (text.cut(line, 76, 78) != " H")
+    stays = (
+        text.is_ter(line)
+        | (protein & F.array_contains("_chains", text.cut(line, 21, 22)))
+        | (text.is_hetatm(line) & number.isNotNull() & F.array_contains("_cofactors", atom))
     )
-    hetero = lines.where(text.is_hetatm(line)).withColumns(
-        {
-            "_name": text.cut(line, 12, 16),
-            "_number": F.trim(text.cut(line, 6, 11)).try_cast("int"),
-        }
-    )
-    hetero = hetero.join(cofactors, ["pdb", "_name", "_number"], "left_semi")
-    columns = lines.columns
-    return ended.unionByName(protein.select(*columns)).unionByName(hetero.select(*columns))
+    return lines.join(kept, "pdb", "left").where(stays).select(*lines.columns)
 
 
 def index_lines(verdict: DataFrame, contacts: DataFrame) -> DataFrame:

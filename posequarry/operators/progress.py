@@ -31,15 +31,25 @@ def extract_complete(
     return poses.join(complete_ids(poses, target, labels), "pdb", "left_semi")
 
 
+def label_counts(rows: DataFrame) -> DataFrame:
+    """(dataset, pdb, type, n): rows of each run label."""
+    return rows.groupBy("dataset", "pdb", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def progress_of_counts(counts: DataFrame, targets: Targets = STAGE_TARGETS) -> DataFrame:
+    """(dataset, pdb, one share per stage) of label counts, which may come in parts."""
+    shares = [
+        (F.coalesce(F.sum(F.when(F.col("type") == stage, F.col("n"))), F.lit(0)) / F.lit(float(target))).alias(stage)
+        for stage, target in targets.items()
+    ]
+    return counts.groupBy("dataset", "pdb").agg(*shares)
+
+
 def progress_vector(poses: DataFrame, relax_poses: DataFrame, targets: Targets = STAGE_TARGETS) -> DataFrame:
     """(dataset, pdb, one share per stage) from a single aggregate over both stores."""
     keys = ["dataset", "pdb", "type"]
     labels = poses.select(*keys).unionByName(relax_poses.select(*keys))
-    shares = [
-        (F.count_if(F.col("type") == stage) / F.lit(float(target))).alias(stage)
-        for stage, target in targets.items()
-    ]
-    return labels.groupBy("dataset", "pdb").agg(*shares)
+    return progress_of_counts(labels.withColumn("n", F.lit(1).cast("long")), targets)
 
 
 def stage_deficits(progress: DataFrame, targets: Targets = STAGE_TARGETS) -> DataFrame:
@@ -86,6 +96,11 @@ def run_summary(poses: DataFrame, reduction: str = "saved_share") -> DataFrame:
 
 def resume_plan(work: DataFrame, rows: DataFrame, targets: Targets = STAGE_TARGETS) -> DataFrame:
     """(pdb, stage, done, remaining) for every work item and stage."""
+    return resume_plan_of_counts(work, rows.select("pdb", "type", F.lit(1).cast("long").alias("n")), targets)
+
+
+def resume_plan_of_counts(work: DataFrame, counts: DataFrame, targets: Targets = STAGE_TARGETS) -> DataFrame:
+    """The same from label counts, which may come in parts, without reading a pose."""
     stages = F.array(
         *[
             F.struct(F.lit(s).alias("stage"), F.lit(t).alias("target"))
@@ -93,9 +108,7 @@ def resume_plan(work: DataFrame, rows: DataFrame, targets: Targets = STAGE_TARGE
         ]
     )
     wanted = work.select("pdb").distinct().select("pdb", F.inline(stages))
-    done = (
-        rows.groupBy("pdb", F.col("type").alias("stage")).agg(F.count(F.lit(1)).alias("done"))
-    )
+    done = counts.groupBy("pdb", F.col("type").alias("stage")).agg(F.sum("n").alias("done"))
     count = F.coalesce(F.col("done"), F.lit(0))
     return wanted.join(done, ["pdb", "stage"], "left").select(
         "pdb",

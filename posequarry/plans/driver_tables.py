@@ -88,6 +88,13 @@ POSES = f"""poses AS (
   FROM lineitem)"""
 
 
+def with_place(poses: DataFrame) -> DataFrame:
+    """Poses with ``xyz``: one atom at a place that the score, part and order give."""
+    order, part = F.expr("row_idx div 536870912"), F.col("row_idx") % 1048576
+    y, z = (part % 101).cast("double") / 2 - 25, (order % 97).cast("double") / 2 - 24
+    return poses.withColumn("xyz", F.array("total_score", y, z))
+
+
 def relax_poses(spark: SparkSession, folder: str, terms: tuple[str, ...] = INFORMATIVE) -> DataFrame:
     """Prepared states from ``orders``: customers of one supplier form a complex."""
     rows = read(spark, folder, "orders")

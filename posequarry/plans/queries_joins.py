@@ -11,7 +11,7 @@ from posequarry.fixed_values import STAGE_TARGETS
 from posequarry.operators import aggregate, contacts, density, filters, splits, structure
 from posequarry.operators.progress import resume_plan
 from posequarry.plans import driver_tables as t
-from posequarry.plans import experiment
+from posequarry.plans import queries_models
 from posequarry.plans.catalog import n_rows, query, r6, with_views
 from posequarry.plans.queries_sources import SUBSET
 from posequarry.session import materialize
@@ -216,20 +216,13 @@ def removal_overlap(spark, folder):
 
 @query(
     "J12_experiment_grid",
-    with_views(t.POSES, body="""SELECT a.name AS aggregation, s.name AS term_selection, n.n_poses FROM
-      (VALUES ('min'), ('mean10'), ('filtered_mean'), ('clustered_2.0')) a(name),
-      (VALUES ('all_terms'), ('combined_hbond'), ('no_sol_pair'), ('combined_vdw')) s(name),
-      (SELECT count(*) AS n_poses FROM poses) n"""),
+    with_views(*queries_models.WHOLE_GRID_VIEWS, body="""SELECT aggregation, term_selection, count(*) AS n_complexes,
+      round(avg(agg_score), 6) AS agg_score FROM scatter GROUP BY ALL"""),
 )
 def experiment_grid(spark, folder):
-    experiments = [*experiment.DEFAULT_EXPERIMENTS, *experiment.clustered_experiments()]
-    cells = F.array(
-        *[
-            F.struct(F.lit(e.aggregation.name).alias("aggregation"), F.lit(e.terms.name).alias("term_selection"))
-            for e in experiments
-        ]
-    )
-    return t.poses(spark, folder).agg(n_rows("n_poses")).select("n_poses", F.inline(cells))
+    """All sixteen cells, each with the complexes it holds and their mean score."""
+    cells = queries_models.whole_grid(spark, folder).scatter().groupBy("aggregation", "term_selection")
+    return cells.agg(n_rows("n_complexes"), r6(F.avg("agg_score"), "agg_score"))
 
 
 @query(

@@ -41,6 +41,14 @@ def grid(spark, folder):
     return experiment.Grid(working_set(spark, folder), t.affinity(spark, folder))
 
 
+def whole_grid(spark, folder):
+    """The grid with its clustered experiments, whose clusters are made first."""
+    poses = working_set(spark, folder)
+    members = materialize(clustering.cluster_poses(t.with_place(poses), 2.0, "idelta_score"))
+    experiments = [*experiment.DEFAULT_EXPERIMENTS, *experiment.clustered_experiments(2.0)]
+    return experiment.Grid(poses, t.affinity(spark, folder), experiments, cluster_members=members)
+
+
 # -- clustering -----------------------------------------------------------------
 
 
@@ -129,19 +137,38 @@ def cluster_export(spark, folder):
 # -- experiment grid ---------------------------------------------------------------
 
 HB = "raw_delta_hbond_bb_sc + coalesce(raw_delta_hbond_sc, 0)"
-GRID = f"""rows AS (SELECT *, {HB} AS hb, raw_delta_fa_atr + raw_delta_fa_rep AS vdw,
+# Representatives at a cutoff of 2: poses by ascending score, kept when no earlier one kept is near.
+REPRESENTATIVES = """posed AS (SELECT pdb, row_idx, idelta_score, [total_score, (row_idx % 1048576 % 101)::DOUBLE / 2 - 25,
+    (row_idx // 536870912 % 97)::DOUBLE / 2 - 24] AS xyz FROM subset),
+reps AS (SELECT pdb, unnest(list_reduce(list([{'r': row_idx, 'x': xyz}] ORDER BY idelta_score, row_idx),
+    lambda acc, p: CASE WHEN len(list_filter(acc, lambda l: list_distance(l.x, p[1].x) < 2.0)) > 0
+      THEN acc ELSE list_concat(acc, p) END)).r AS row_idx FROM posed GROUP BY pdb)"""
+# A representative without a feature is left out of the selections that use it; all_terms alone has such features.
+CLUSTERED_LEVELS = """ UNION ALL SELECT 'clustered_2.0', s.selection, rows.* FROM rows JOIN reps USING (pdb, row_idx),
+    (VALUES ('all_terms'), ('rest')) s(selection) WHERE s.selection = 'rest' OR raw_delta_hbond_sc IS NOT NULL"""
+
+
+def grid_sql(clustered: bool) -> str:
+    return f"""rows AS (SELECT *, {HB} AS hb, raw_delta_fa_atr + raw_delta_fa_rep AS vdw,
     row_number() OVER (PARTITION BY pdb ORDER BY idelta_score, row_idx) AS rn FROM subset),
-levels AS (SELECT 'min' AS aggregation, * FROM rows WHERE rn = 1 UNION ALL SELECT 'mean10', * FROM rows WHERE rn <= 10
-  UNION ALL SELECT 'filtered_mean', * FROM rows),
-per AS (SELECT aggregation, pdb, any_value(log_kd) AS log_kd, avg(idelta_score) AS s, avg(raw_delta_fa_atr) AS atr,
+levels AS (SELECT 'min' AS aggregation, NULL AS selection, * FROM rows WHERE rn = 1
+  UNION ALL SELECT 'mean10', NULL, * FROM rows WHERE rn <= 10
+  UNION ALL SELECT 'filtered_mean', NULL, * FROM rows{CLUSTERED_LEVELS if clustered else ''}),
+per AS (SELECT aggregation, selection, pdb, any_value(log_kd) AS log_kd, avg(idelta_score) AS s, avg(raw_delta_fa_atr) AS atr,
   avg(raw_delta_fa_rep) AS rep, avg(raw_delta_fa_sol) AS sol, avg(raw_delta_fa_elec) AS elec, avg(raw_delta_fa_pair) AS pair,
-  avg(raw_delta_hbond_bb_sc) AS bb, avg(raw_delta_hbond_sc) AS sc, avg(hb) AS hb, avg(vdw) AS vdw FROM levels GROUP BY aggregation, pdb),
-scatter AS (SELECT aggregation, 'all_terms' AS term_selection, pdb, log_kd, s AS agg_score FROM per WHERE sc IS NOT NULL
+  avg(raw_delta_hbond_bb_sc) AS bb, avg(raw_delta_hbond_sc) AS sc, avg(hb) AS hb, avg(vdw) AS vdw
+  FROM levels GROUP BY aggregation, selection, pdb),
+per_all AS (SELECT * FROM per WHERE sc IS NOT NULL AND selection IS DISTINCT FROM 'rest'),
+per_rest AS (SELECT * FROM per WHERE selection IS DISTINCT FROM 'all_terms'),
+scatter AS (SELECT aggregation, 'all_terms' AS term_selection, pdb, log_kd, s AS agg_score FROM per_all
   UNION ALL SELECT aggregation, 'combined_hbond', pdb, log_kd,
-    0.8::DOUBLE * atr + 0.4::DOUBLE * rep + 0.6::DOUBLE * sol + 0.42::DOUBLE * elec + 0.8::DOUBLE * pair + 1.3::DOUBLE * hb FROM per
-  UNION ALL SELECT aggregation, 'no_sol_pair', pdb, log_kd, 0.8::DOUBLE * atr + 0.4::DOUBLE * rep + 0.42::DOUBLE * elec + 1.3::DOUBLE * hb FROM per
-  UNION ALL SELECT aggregation, 'combined_vdw', pdb, log_kd, 0.42::DOUBLE * elec + 1.3::DOUBLE * hb + 0.6::DOUBLE * vdw FROM per)"""
-GRID_VIEWS = (t.POSES, t.AFFINITY, SUBSET, GRID)
+    0.8::DOUBLE * atr + 0.4::DOUBLE * rep + 0.6::DOUBLE * sol + 0.42::DOUBLE * elec + 0.8::DOUBLE * pair + 1.3::DOUBLE * hb FROM per_rest
+  UNION ALL SELECT aggregation, 'no_sol_pair', pdb, log_kd, 0.8::DOUBLE * atr + 0.4::DOUBLE * rep + 0.42::DOUBLE * elec + 1.3::DOUBLE * hb FROM per_rest
+  UNION ALL SELECT aggregation, 'combined_vdw', pdb, log_kd, 0.42::DOUBLE * elec + 1.3::DOUBLE * hb + 0.6::DOUBLE * vdw FROM per_rest)"""
+
+
+GRID_VIEWS = (t.POSES, t.AFFINITY, SUBSET, grid_sql(False))
+WHOLE_GRID_VIEWS = (t.POSES, t.AFFINITY, SUBSET, REPRESENTATIVES, grid_sql(True))
 
 
 @query(
@@ -168,7 +195,7 @@ FRAME = "frame AS MATERIALIZED (" + " UNION ALL ".join(
     f"""SELECT aggregation || '__{name}' AS config,
       CASE WHEN ('0x' || substr(md5(pdb || ':42'), 1, 8))::UBIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part,
       log_kd AS y, [{', '.join([*columns, *['0.0::DOUBLE'] * (7 - len(columns))])}] AS x
-    FROM per{' WHERE sc IS NOT NULL' if name == 'all_terms' else ''}"""
+    FROM {'per_all' if name == 'all_terms' else 'per_rest'}"""
     for name, columns in TERMS_OF.items()
 ) + ")"
 NAMED = "named AS (SELECT * FROM (VALUES " + ", ".join(
@@ -211,7 +238,7 @@ def least_squares_fit(spark, folder):
     return stepwise.join(squares, "config").select("config", r6("stepwise", "stepwise_mae"), reached.alias("reached"))
 
 
-SOFTPLUS_FRAME = """frame AS MATERIALIZED (SELECT coalesce(affinity_type, 'unknown') AS config, split_a AS part, -dG AS y,
+SOFTPLUS_FRAME = """frame AS MATERIALIZED (SELECT coalesce(affinity_type, 'unknown') AS config, split_a AS part, pdb, -dG AS y,
   [relax_idelta_score / 50, crystal_idelta_score / 50, relax_total_score / 100] AS x FROM features
   WHERE relax_idelta_score >= -100000 AND split_a IS NOT NULL)"""
 
@@ -221,24 +248,25 @@ SOFTPLUS_FRAME = """frame AS MATERIALIZED (SELECT coalesce(affinity_type, 'unkno
     fit_sql.with_recursion(
         t.FEATURES,
         SOFTPLUS_FRAME,
-        fit_sql.fit_views(fitting.start_weights(3, 42).tolist(), 100, 0.05, softplus=True),
+        fit_sql.batch_fit_views(fitting.start_weights(3, 42).tolist(), 100, 0.05, 512),
         fit_sql.predicted_view(3),
         body="""SELECT config, part, round(corr(y, prediction), 6) AS r, round(avg(abs(y - prediction)), 6) AS mae,
           round(sqrt(avg(pow(y - prediction, 2))), 6) AS rmse, count(*) AS n FROM predicted GROUP BY config, part""",
     ),
 )
 def softplus_fit(spark, folder):
-    """Positive weights per affinity type, chosen by validation error."""
+    """Positive weights per affinity type: 100 epochs of mini-batches of 512, the best epoch by validation error."""
     rows = t.features(spark, folder).where("relax_idelta_score >= -100000")
     frame = rows.select(
         F.coalesce("affinity_type", F.lit("unknown")).alias("config"),
         F.col("split_a").alias("part"),
+        "pdb",
         (-F.col("dG")).alias("y"),
         (F.col("relax_idelta_score") / 50).alias("x0"),
         (F.col("crystal_idelta_score") / 50).alias("x1"),
         (F.col("relax_total_score") / 100).alias("x2"),
     ).where(F.col("part").isNotNull())
-    weights = fitting.fit_weights(frame, "softplus", epochs=100, lr=0.05, validate=True)
+    weights = fitting.fit_weights(frame, "softplus", epochs=100, lr=0.05, validate=True, batch=512)
     metrics = fitting.fit_metrics(fitting.predict(frame, weights))
     return metrics.select("config", "part", r6("r", "r"), r6("mae", "mae"), r6("rmse", "rmse"), "n")
 
@@ -248,7 +276,7 @@ def softplus_fit(spark, folder):
     with_views(*GRID_VIEWS, body=" UNION ALL ".join(
         f"""SELECT aggregation || '__{name}' AS config, pdb,
           round({' + '.join(f'{2.0 ** -(i + 1)}::DOUBLE * {c}' for i, c in enumerate(columns))}, 6) AS prediction
-        FROM per{' WHERE sc IS NOT NULL' if name == 'all_terms' else ''}"""
+        FROM {'per_all' if name == 'all_terms' else 'per_rest'}"""
         for name, columns in TERMS_OF.items())),
 )
 def predict(spark, folder):
@@ -263,17 +291,17 @@ def predict(spark, folder):
 
 @query(
     "M5_baseline_grid",
-    with_views(*GRID_VIEWS, body="""SELECT aggregation, term_selection, round(corr(log_kd, agg_score), 6) AS r,
+    with_views(*WHOLE_GRID_VIEWS, body="""SELECT aggregation, term_selection, round(corr(log_kd, agg_score), 6) AS r,
       round(avg(abs(log_kd - agg_score)), 6) AS mae, count(*) AS n FROM scatter GROUP BY ALL"""),
 )
 def baseline_grid(spark, folder):
-    rows = grid(spark, folder).baseline()
+    rows = whole_grid(spark, folder).baseline()
     return rows.select("aggregation", "term_selection", r6("r", "r"), r6("mae", "mae"), "n")
 
 
 @query(
     "M6_results_matrix",
-    fit_sql.with_recursion(*GRID_VIEWS, FRAME, FIT, fit_sql.predicted_view(7), NAMED, body="""
+    fit_sql.with_recursion(*WHOLE_GRID_VIEWS, FRAME, FIT, fit_sql.predicted_view(7), NAMED, body="""
       SELECT string_split(config, '__')[1] AS aggregation, string_split(config, '__')[2] AS term_selection,
         round(corr(y, prediction) FILTER (WHERE part = 'train'), 6) AS r_train,
         round(corr(y, prediction) FILTER (WHERE part = 'test'), 6) AS r_test,
@@ -284,7 +312,7 @@ def baseline_grid(spark, folder):
 )
 def results_matrix(spark, folder):
     """Results matrix of the whole grid, fitted step by step."""
-    g = grid(spark, folder)
+    g = whole_grid(spark, folder)
     frame = materialize(g.training_frame())
     rows = g.results(fitting.fit_weights(frame), frame)
     return rows.select(
@@ -297,11 +325,11 @@ def results_matrix(spark, folder):
 
 @query(
     "M7_scatter",
-    with_views(*GRID_VIEWS, body="""SELECT aggregation, term_selection, pdb, round(log_kd, 6) AS log_kd,
+    with_views(*WHOLE_GRID_VIEWS, body="""SELECT aggregation, term_selection, pdb, round(log_kd, 6) AS log_kd,
       round(agg_score, 6) AS agg_score FROM scatter"""),
 )
 def scatter(spark, folder):
-    rows = grid(spark, folder).scatter()
+    rows = whole_grid(spark, folder).scatter()
     return rows.select(
         "aggregation", "term_selection", "pdb", r6("log_kd", "log_kd"), r6("agg_score", "agg_score")
     )

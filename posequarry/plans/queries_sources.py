@@ -12,14 +12,31 @@ from posequarry.plans import driver_tables as t
 from posequarry.plans.catalog import n_rows, query, r6, with_views, written_once
 from posequarry.session import scratch_path
 from posequarry.sources import index, splits, store, text_lines
+from posequarry.sources.bucketed import open_bucketed, write_bucketed
 
 
-def pose_store(spark: SparkSession, folder: str) -> store.PoseStore:
+def pose_store(spark: SparkSession, folder: str, skip_unreadable: bool = False) -> store.PoseStore:
     def build(path: str) -> None:
         sinks.write_clustered(t.poses(spark, folder), f"{path}/docking")
         sinks.write_clustered(t.relax_poses(spark, folder), f"{path}/relax")
 
-    return store.PoseStore(spark, written_once(spark, folder, "store", build))
+    return store.PoseStore(spark, written_once(spark, folder, "store", build), skip_unreadable=skip_unreadable)
+
+
+# Buckets of the tables here; a larger store takes more.
+BUCKETS = 16
+
+
+def bucketed_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Docking and relax scores bucketed on the complex."""
+    columns = ["dataset", "pdb", "type", "row_idx", "total_score", "idelta_score"]
+
+    def build(path: str) -> None:
+        write_bucketed(t.poses(spark, folder).select(*columns), f"{path}/docking", BUCKETS)
+        write_bucketed(t.relax_poses(spark, folder).select(*columns), f"{path}/relax", BUCKETS)
+
+    path = written_once(spark, folder, "bucketed", build)
+    return open_bucketed(spark, f"{path}/docking", BUCKETS), open_bucketed(spark, f"{path}/relax", BUCKETS)
 
 
 def text_file(spark: SparkSession, folder: str, name: str, lines: DataFrame) -> str:
@@ -37,10 +54,10 @@ def text_file(spark: SparkSession, folder: str, name: str, lines: DataFrame) ->
           FROM relax_poses GROUP BY pdb) r ON d.pdb = r.pdb"""),
 )
 def result_store(spark, folder):
-    tables = pose_store(spark, folder)
+    poses, relaxed = bucketed_tables(spark, folder)
     n = F.count(F.lit(1))
-    docking = tables.poses().groupBy("pdb").agg(n.alias("n_docking"), r6(F.sum("total_score"), "docking_total"))
-    relax = tables.relax_poses().groupBy("pdb").agg(n.alias("n_relax"), r6(F.sum("total_score"), "relax_total"))
+    docking = poses.groupBy("pdb").agg(n.alias("n_docking"), r6(F.sum("total_score"), "docking_total"))
+    relax = relaxed.groupBy("pdb").agg(n.alias("n_relax"), r6(F.sum("total_score"), "relax_total"))
     return docking.join(relax, "pdb", "full")
 
 
@@ -317,7 +334,7 @@ def filtered_subset(spark, folder):
         HAVING count(*) FILTER (WHERE type = 'apo_relax_docking_std') = 100)"""),
 )
 def extract_complete(spark, folder):
-    rows = pose_store(spark, folder).extract(target=100)
+    rows = pose_store(spark, folder, skip_unreadable=True).extract(target=100)
     return rows.select("pdb", "type", "row_idx", r6("idelta_score", "idelta_score"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posequarry.functions.missing import nan_to_null
+from posequarry.functions.terms import quoted
 from posequarry.functions.text import rename_ligand_chain
 from posequarry.operators.clustering import cluster_poses
 from posequarry.operators.splits import without_ids
+from posequarry.session import materialize
 from posequarry.sources.index import load_cleaned_index
 
 
@@ -77,29 +79,42 @@ def delete_from_index(
 def cached_clusters(poses: DataFrame, rmsd_cutoff: float, cache: str, score_col: str = "score") -> DataFrame:
     """Clusters from the cache, computing and adding complexes it lacks.
 
-    An entry holds for the poses it was made from, told by their number and
-    highest row number; a complex that has grown or shrunk is computed anew.
+    An entry holds for the poses it was made from, told by two sums over digests of their
+    row number, score and coordinates, whatever their order. A complex with any change in these is computed anew, and its
+    superseded entries leave the cache.
     """
     spark = poses.sparkSession
+    digest = F.xxhash64("row_idx", quoted(score_col).cast("double"), F.col("xyz").cast("array<double>"))
     state = poses.groupBy("pdb").agg(
-        F.count(F.lit(1)).alias("n_poses"), F.max("row_idx").alias("last_row")
+        F.count(F.lit(1)).alias("n_poses"),
+        F.sum(F.shiftright(digest, 32)).alias("high_sum"),
+        F.bit_xor(digest).alias("digest_xor"),
     )
-    keys = ["pdb", "n_poses", "last_row"]
+    state = materialize(state)
+    keys = state.columns
 
     def entries() -> DataFrame:
         return spark.read.parquet(cache).where(F.col("rmsd_cutoff") == rmsd_cutoff).drop("rmsd_cutoff")
 
     try:
-        missing = state.join(entries().select(*keys).distinct(), keys, "left_anti")
+        known = materialize(entries().select(*keys).distinct())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        missing = state
+        known = state.limit(0)
+    missing = state.join(known, keys, "left_anti")
     if not missing.isEmpty():
         found = cluster_poses(poses.join(missing.select("pdb"), "pdb", "left_semi"), rmsd_cutoff, score_col)
-        found = found.join(missing, "pdb").withColumn("rmsd_cutoff", F.lit(rmsd_cutoff))
-        found.write.mode("append").partitionBy("rmsd_cutoff").parquet(cache)
-    return entries().join(state, keys, "left_semi").drop("n_poses", "last_row")
+        found = found.join(missing, "pdb")
+        stale = known.join(state.select("pdb"), "pdb", "left_semi").join(state, keys, "left_anti")
+        mode = "append"
+        if not stale.isEmpty():
+            # The partition is written whole, from a copy, as a job must not overwrite what it reads.
+            found = materialize(entries().join(stale, keys, "left_anti").unionByName(found))
+            mode = "overwrite"
+        writer = found.withColumn("rmsd_cutoff", F.lit(rmsd_cutoff)).write.mode(mode)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("rmsd_cutoff").parquet(cache)
+    return entries().join(state, keys, "left_semi").drop(*keys[1:])
 
 
 def skipped_ids(poses: DataFrame, members: DataFrame) -> DataFrame:

@@ -115,6 +115,19 @@ def test_cache_adds_only_what_is_missing(spark, random_poses, tmp_path):
     assert spark.read.parquet(cache).where("rmsd_cutoff = 0.4").count() == 90
 
 
+def test_cache_follows_every_coordinate(spark, random_poses, tmp_path):
+    cache = str(tmp_path / "cache")
+    sinks.cached_clusters(frame(spark, random_poses), 1.2, cache)
+    moved = [(*p[:3], [p[3][0] + 50.0, *p[3][1:]]) if p[:2] == ("mid2", 7) else p for p in random_poses]
+    assert collected(sinks.cached_clusters(frame(spark, moved), 1.2, cache)) == by_hand(moved, 1.2)
+    scored = [(*p[:2], p[2] - 100.0, p[3]) if p[:2] == ("big1", 11) else p for p in moved]
+    assert collected(sinks.cached_clusters(frame(spark, scored[::-1]), 1.2, cache)) == by_hand(scored, 1.2)
+    # Superseded entries are gone, those of other complexes and of a smaller call stay.
+    assert spark.read.parquet(cache).count() == len(random_poses)
+    sinks.cached_clusters(frame(spark, [p for p in random_poses if p[0] == "mid2"]), 1.2, cache)
+    assert spark.read.parquet(cache).where("pdb = 'big1'").count() == 260
+
+
 def test_skipped_ids(spark):
     df = frame(spark, [("a", 1, 0.0, [0.0, 0.0, 0.0]), ("b", 1, 0.0, None)])
     assert rows(sinks.skipped_ids(df, clustering.cluster_poses(df, 1.0))) == [("b",)]

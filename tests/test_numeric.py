@@ -229,6 +229,15 @@ def test_both_places_take_the_same_steps(training, kind):
     assert np.abs(a - b).max() < 1e-9
 
 
+def test_batches_take_the_same_steps_in_both_places(training):
+    _, df = training
+    local = fitting.fit_weights(df, "softplus", epochs=3, lr=0.05, validate=True, batch=64)
+    summed = fitting.fit_weights(df, "softplus", epochs=3, lr=0.05, validate=True, batch=64, task_rows=10)
+    a = local.toPandas().sort_values(["config", "position"])["weight"].to_numpy()
+    b = summed.toPandas().sort_values(["config", "position"])["weight"].to_numpy()
+    assert np.abs(a - b).max() < 1e-9
+
+
 def test_validation_keeps_the_best_weights(training):
     table, df = training
     weights = fitting.fit_weights(df, "softplus", epochs=200, lr=0.05, validate=True)

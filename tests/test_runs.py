@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from posequarry import sinks
 from posequarry.fixed_values import FEATURE_TERMS, STAGE_TARGETS
-from posequarry.operators import annotations, features, progress, splits, structure
+from posequarry.operators import aggregate, annotations, features, progress, splits, structure
 from posequarry.plans import experiment, feature_report
 from posequarry.plans.curation import curate
 from posequarry.plans.statistics import run_statistics
 from posequarry.schemas import pose_schema
-from posequarry.sources import store
+from posequarry.sources import bucketed, store
+from posequarry.streaming import ingest
 from posequarry.streaming.ingest import append_new_files
 from tests.conftest import rows
 
@@ -194,6 +195,104 @@ def test_store_round_trip_and_clustering_by_id(spark, pose_table, tmp_path):
     assert lead.count() == len(pose_table)
 
 
+def test_store_skips_and_reports_unreadable_files(spark, pose_table, tmp_path):
+    poses = spark.createDataFrame(pose_table)
+    poses.repartition(6, "pdb").write.partitionBy("dataset").parquet(f"{tmp_path}/docking")
+    poses.limit(3).write.partitionBy("dataset").parquet(f"{tmp_path}/relax")
+    poses.limit(0).write.parquet(f"{tmp_path}/docking/dataset=none")
+    cut = sorted((tmp_path / "docking").rglob("*.parquet"), key=lambda p: p.stat().st_size)[-1]
+    lost = {r["pdb"] for r in spark.read.parquet(str(cut)).select("pdb").distinct().collect()}
+    cut.write_bytes(cut.read_bytes()[:-40])
+    (cut.parent / f".{cut.name}.crc").unlink(missing_ok=True)
+    (tmp_path / "docking" / "dataset=main" / "part-none.parquet").write_bytes(b"PAR1")
+    with pytest.raises(Exception):
+        store.PoseStore(spark, str(tmp_path)).poses().select("pdb", "row_idx").collect()
+    tables = store.PoseStore(spark, str(tmp_path), skip_unreadable=True)
+    rest = pose_table[~pose_table["pdb"].isin(lost)]
+    assert tables.poses().count() == len(rest) and 0 < len(rest) < len(pose_table)
+    reports = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in tables.unreadable().collect()}
+    assert reports == {cut.name: "no footer at its end", "part-none.parquet": "too short"}
+    counts = rest.groupby(["pdb", "type"]).size()
+    label = counts.index[0][1]
+    target = int(counts.xs(label, level="type").iloc[0])
+    complete = set(counts.xs(label, level="type").loc[lambda s: s == target].index)
+    got = progress.extract_complete(tables.poses(), target, (label,))
+    assert {r["pdb"] for r in got.select("pdb").distinct().collect()} == complete
+
+
+def test_bucketed_tables_need_no_exchange_per_complex(spark, pose_table, tmp_path):
+    rows_ = spark.createDataFrame(pose_table)
+    one = bucketed.write_bucketed(rows_, f"{tmp_path}/a", 8)
+    two = bucketed.write_bucketed(rows_.limit(50), f"{tmp_path}/b", 8)
+    affinity = spark.createDataFrame([(p, 1.0) for p in pose_table["pdb"].unique()], "pdb string, log_kd double")
+    plans = [
+        aggregate.lowest_pose(one, ["pdb"], "idelta_score"),
+        one.groupBy("pdb").agg(F.min("total_score")).join(two.groupBy("pdb").agg(F.max("total_score")), "pdb", "full"),
+        progress.progress_of_counts(progress.label_counts(one)),
+    ]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Bucketed: true" in text
+    kind = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, -1)
+    joined = aggregate.join_affinity(one, affinity).groupBy("pdb").count()
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(kind, before)
+    # Only the affinity side moves.
+    assert "Bucketed: true" in text
+    assert all("total_score" not in line and "row_idx" not in line for line in text.splitlines() if "Exchange" in line)
+    assert joined.agg(F.sum("count")).first()[0] == len(pose_table)
+    spark.sql(f"DROP TABLE {bucketed._name(f'{tmp_path}/a', 8)}")
+    again = bucketed.open_bucketed(spark, f"{tmp_path}/a", 8)
+    assert again.count() == len(pose_table)
+    assert "Exchange" not in again.groupBy("pdb").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_follow_batches_and_replays(spark, pose_table, tmp_path):
+    table, counts = f"{tmp_path}/table", f"{tmp_path}/counts"
+    rows_ = spark.createDataFrame(pose_table)
+    assert ingest.read_counts(spark, counts).count() == 0
+    parts = rows_.randomSplit([1.0, 1.0, 1.0], seed=1)
+    parts = [spark.createDataFrame(p.collect(), rows_.schema) for p in parts]
+    for number in (0, 1, 2, 1):
+        ingest.record_batch(parts[number], number, table, counts)
+    whole = progress.label_counts(spark.read.parquet(table))
+    keys = ["dataset", "pdb", "type", "n"]
+    assert rows(ingest.total_counts(spark, counts).select(*keys)) == rows(whole.select(*keys))
+    assert whole.agg(F.sum("n")).first()[0] == len(pose_table)
+    work, targets = rows_.select("pdb").distinct(), {label: 40 for label in pose_table["type"].unique()}
+    want = rows(progress.resume_plan(work, rows_, targets))
+    assert rows(progress.resume_plan_of_counts(work, ingest.read_counts(spark, counts), targets)) == want
+
+
+def test_counted_stream_resumes(spark, tmp_path):
+    schema = T.StructType([f for f in pose_schema().fields if f.name in ("dataset", "pdb", "type", "row_idx")])
+    landing, table, counts, state = (str(tmp_path / n) for n in ("landing", "table", "counts", "state"))
+    for start in (0, 10):
+        data = [("main", f"{i % 3}abc", "relax", i) for i in range(start, start + 10)]
+        spark.createDataFrame(data, schema).write.mode("append").parquet(landing)
+        ingest.append_counted(spark, landing, schema, table, counts, state).awaitTermination()
+        totals = {r["pdb"]: r["n"] for r in ingest.total_counts(spark, counts).collect()}
+        assert totals == {f"{k}abc": sum(i % 3 == k for i in range(start + 10)) for k in range(3)}
+
+
+def test_subset_keeps_rows_of_missing_and_repeated_numbers(spark):
+    label = "relax_docking_perturb"
+    data = [("a", label, n, -1.0, s, k) for k, (n, s) in enumerate([(None, -1.0), (1, -1.0), (1, 1.0), (1, -2.0), (2, -3.0)])]
+    data += [("b", label, 1, -1.0, -1.0, 9), ("a", "relax_docking_std", 1, -1.0, -1.0, 8), ("a", label, 3, None, -1.0, 7)]
+    poses = spark.createDataFrame(data, "pdb string, type string, row_idx long, total_score double, idelta_score double, k int")
+    affinity = spark.createDataFrame([("a", 5.0), ("a", 4.0)], "pdb string, log_kd double")
+    got = store.filtered_subset(poses, affinity)
+    assert got.columns == [*poses.columns, "log_kd", "type_seq_id"]
+    found = sorted((r["k"], r["log_kd"]) for r in got.collect())
+    assert found == [(0, 4.0), (1, 4.0), (3, 4.0), (4, 4.0)]
+    ids = {r["k"]: r["type_seq_id"] for r in got.collect()}
+    assert ids[0] == 0 and ids[4] == 4 and {ids[1], ids[3]} < {1, 2, 3}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
 def test_ingest_resumes_without_repeats(spark, tmp_path):
     fields = [f for f in pose_schema().fields if f.name in ("dataset", "pdb", "type", "row_idx", "total_score")]
     schema = T.StructType(fields)

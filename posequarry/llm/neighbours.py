@@ -100,7 +100,8 @@ def nearest(
     null or non-finite component, or are not as long as most, take no part.
     Ties go to the smaller id (null ids take no part). Equal vectors are indexed once, with
     their k + 1 smallest ids, which loses no result and keeps a vector that fills
-    a third of the table from filling a leaf. Repeated ids count once. Without usable
+    a third of the table from filling a leaf. Rows alike in id and vector count once; an id that stands with
+    several vectors is a candidate with each. Without usable
     vectors the result is empty; other columns play no part.
 
     Trees are fitted to ``sample_rows`` vectors at most, all vectors are indexed.
@@ -147,11 +148,9 @@ def nearest(
 
     kind = dict(distinct.dtypes)["embedding"]
     index = distinct.select("rep", "embedding").mapInArrow(assign, f"rep bigint, embedding {kind}, tree int, leaf bigint")
-    held = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().toLocalIterator()}
+    sizes = saved(index.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("held")), "leaf-sizes")
+    held = {(r["tree"], r["leaf"]): r["held"] for r in sizes.toLocalIterator()}
     budget = budget_rows + budget_share * n
-    # A large leaf is ranked in parts, and so are many queries of one leaf.
-    parts = -(-max(held.values(), default=1) // task_rows)
-    blocks = max(1, -(-searched.count() // task_queries))
 
     def choose(batches):
         for batch in batches:
@@ -171,6 +170,11 @@ def nearest(
     probes = searched.select("q", F.col("_asked").alias("embedding")).mapInArrow(
         choose, f"q bigint, embedding {asked_kind}, tree int, leaf bigint"
     )
+    probes = saved(probes, "probes")
+    # Only leaves that are probed are ranked: a large one in parts, and one that many queries probe in blocks of these.
+    blocks = F.ceil(F.count(F.lit(1)) / task_queries).cast("int").alias("blocks")
+    leaves = probes.groupBy("tree", "leaf").agg(blocks).join(sizes, ["tree", "leaf"])
+    leaves = saved(leaves.withColumn("parts", F.ceil(F.col("held") / task_rows).cast("int")).drop("held"), "probed-leaves")
 
     def rank(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
@@ -188,12 +192,13 @@ def nearest(
         return pa.table({"q": q, "rep": rep, "score": score})
 
     cell = ["tree", "leaf", "part", "block"]
-    rows = index.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).withColumn(
-        "block", F.explode(F.lit(list(range(blocks))))
-    )
-    wanted = probes.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn(
-        "part", F.explode(F.lit(list(range(parts))))
-    )
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    part, block = (F.pmod(F.xxhash64(key), F.col(n)).cast("int") for key, n in (("rep", "parts"), ("q", "blocks")))
+    rows = index.join(leaves, ["tree", "leaf"]).withColumn("part", part).withColumn("block", every("blocks"))
+    wanted = probes.join(leaves, ["tree", "leaf"]).withColumn("block", block).withColumn("part", every("parts"))
+    rows, wanted = rows.drop("parts", "blocks"), wanted.drop("parts", "blocks")
     near = (
         rows.groupBy(*cell)
         .cogroup(wanted.groupBy(*cell))

@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of a source are shuffled by a seeded digest and ranked; rank (i + 1/2) / n
-places them evenly on the unit interval. All sources sorted by that place
+Rows of a source are shuffled by a seeded digest and ranked; rank (i + u) / n
+places them evenly on the unit interval, where u is a digest of the source between 0 and 1, so that
+sources of a row or few are spread too. All sources sorted by that place
 interleave in proportion, so each cut of the sequence has the mixture of the whole.
 Shards are consecutive cuts whose row counts differ by one at most.
 """
@@ -68,7 +69,9 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 42, cell: int = CE
     )
     total = ranked.count()
     cells = max(1, -(-total // cell))
-    placed = ranked.withColumn("place", (F.col("rank") + 0.5) / F.col("n")).withColumn(
+    named = F.coalesce(F.concat(F.lit("source:"), F.col("source")), F.lit("none"))
+    shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 12), 16, 10).cast("long") / F.lit(2.0**48)
+    placed = ranked.withColumn("place", (F.col("rank") + shift) / F.col("n")).withColumn(
         "band", F.least(F.floor(F.col("place") * cells), F.lit(cells - 1)).cast("long")
     )
     bands = offsets(

@@ -14,13 +14,16 @@ import io
 import json
 import struct
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posequarry.llm.common import saved
+
 RATE, UP, DOWN, TAPS = 16_000, 3, 4, 8
 FRAME, HOP, MELS, BINS = 256, 128, 20, 4
 # Samples resampled, and frames transformed, at a time.
@@ -159,61 +162,85 @@ def analyse(samples: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mel, spans, pooled(mel, spans)
 
 
-def describe(text: str | None) -> dict:
-    """All results of one text; see ``features``."""
-    data = payload(text)
-    stored = to_wave(data)
-    back = from_wave(stored)
-    mel, spans, tensors = analyse(back)
-    ms = np.rint(spans * (HOP * 1000 / (RATE * UP / DOWN))).astype(np.int64)
-    feature = {
-        "frames": len(mel),
-        "segments": len(spans),
+def summary(tensors: np.ndarray, ms: np.ndarray) -> str:
+    """Number and length of the segments, and the mean of each mel band over their tensors."""
+    found = {
+        "segments": len(tensors),
         "active_ms": int((ms[:, 1] - ms[:, 0]).sum()),
-        "mel": [round(float(m), 2) + 0.0 for m in mel.mean(axis=0, dtype=np.float64)],
-    }
-    return {
-        "n_bytes": len((text or "").encode("utf-8")),
-        "payload_bytes": len(back),
-        "payload_sha256": hashlib.sha256(back).hexdigest(),
-        "tail_crc32": zlib.crc32(back[-64:]),
-        "media_bytes": len(stored),
-        "media_sha256": hashlib.sha256(stored).hexdigest(),
-        "feature": json.dumps(feature, separators=(",", ":")),
-        "media": stored,
-        "tensors": tensor_stream(tensors, ms),
+        "mel": [round(float(m), 1) + 0.0 for m in tensors.mean(axis=(0, 1), dtype=np.float64)] if len(tensors) else [],
     }
+    return json.dumps(found, separators=(",", ":"))
+
+
+def _struct(values: Iterable[dict], kinds: dict[str, pa.DataType]) -> pa.StructArray:
+    out: dict[str, list] = {k: [] for k in kinds}
+    for row in values:
+        for k in kinds:
+            out[k].append(row[k])
+    return pa.StructArray.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], names=list(kinds))
+
+
+def stored_media(docs: DataFrame) -> DataFrame:
+    """Each row's text as a wave file, written: all columns but text, and n_bytes and media.
+
+    Null and empty texts are 64 zero bytes. Columns of these names are replaced. An empty table gives an empty one.
+    """
 
+    @F.arrow_udf("struct<n_bytes: bigint, media: binary>")
+    def column(values: pa.Array) -> pa.Array:
+        texts = (v.as_py() for v in values)
+        rows = ({"n_bytes": len((t or "").encode("utf-8")), "media": to_wave(payload(t))} for t in texts)
+        return _struct(rows, {"n_bytes": pa.int64(), "media": pa.binary()})
 
-KINDS = {
-    "n_bytes": ("bigint", pa.int64()),
-    "payload_bytes": ("bigint", pa.int64()),
-    "payload_sha256": ("string", pa.string()),
-    "tail_crc32": ("bigint", pa.int64()),
-    "media_bytes": ("bigint", pa.int64()),
-    "media_sha256": ("string", pa.string()),
-    "feature": ("string", pa.string()),
-    "media": ("binary", pa.large_binary()),
-    "tensors": ("binary", pa.large_binary()),
-}
+    kept = [c for c in docs.columns if c.lower() not in ("text", "n_bytes", "media", "_r")]
+    rows = docs.select(*kept, column.asNondeterministic()(F.col("text")).alias("_r"))
+    return saved(rows.select(*kept, "_r.*"), "media")
 
 
-def features(text: Column, outputs: tuple[str, ...] = tuple(KINDS)) -> Column:
-    """Struct of the named results for a text column; null and empty texts are 64 zero bytes.
+def stored_tensors(media: DataFrame) -> DataFrame:
+    """What the media read back hold, written: payload and media digests, and tensors with time spans in place of media.
 
-    ``media`` is the wave file and ``tensors`` its Arrow stream; leave them out of
-    ``outputs`` where digests are enough. Equal texts give equal values. Long
-    texts are resampled and transformed in blocks.
+    ``tensors`` is an Arrow stream of one row per segment (start_ms, end_ms, a tensor of fixed shape).
+    Long payloads are resampled and transformed in blocks. Equal media give equal values.
     """
+    kinds = {
+        "payload_bytes": pa.int64(),
+        "payload_sha256": pa.string(),
+        "tail_crc32": pa.int64(),
+        "media_bytes": pa.int64(),
+        "media_sha256": pa.string(),
+        "tensors": pa.binary(),
+    }
+
+    def read(stored: bytes) -> dict:
+        back = from_wave(stored)
+        _, spans, tensors = analyse(back)
+        ms = np.rint(spans * (HOP * 1000 / (RATE * UP / DOWN))).astype(np.int64)
+        return {
+            "payload_bytes": len(back),
+            "payload_sha256": hashlib.sha256(back).hexdigest(),
+            "tail_crc32": zlib.crc32(back[-64:]),
+            "media_bytes": len(stored),
+            "media_sha256": hashlib.sha256(stored).hexdigest(),
+            "tensors": tensor_stream(tensors, ms),
+        }
+
+    sql = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+
+    @F.arrow_udf("struct<" + ", ".join(f"{k}: {sql[kind]}" for k, kind in kinds.items()) + ">")
+    def column(values: pa.Array) -> pa.Array:
+        return _struct((read(v.as_py()) for v in values), kinds)
 
-    @F.arrow_udf("struct<" + ", ".join(f"{k}: {KINDS[k][0]}" for k in outputs) + ">")
+    kept = [c for c in media.columns if c not in ("media", "_r", *kinds)]
+    rows = media.select(*kept, column.asNondeterministic()(F.col("media")).alias("_r"))
+    return saved(rows.select(*kept, "_r.*"), "tensors")
+
+
+def feature(tensors: Column) -> Column:
+    """The summary of each stream of tensors."""
+
+    @F.arrow_udf("string")
     def column(values: pa.Array) -> pa.Array:
-        out: dict[str, list] = {k: [] for k in outputs}
-        for value in values:
-            row = describe(value.as_py())
-            for k in outputs:
-                out[k].append(row[k])
-        types = {k: pa.binary() if KINDS[k][0] == "binary" else KINDS[k][1] for k in outputs}
-        return pa.StructArray.from_arrays([pa.array(out[k], types[k]) for k in outputs], names=list(outputs))
-
-    return column(text)
+        return pa.array((summary(*read_tensors(v.as_py())) for v in values), pa.string())
+
+    return column(tensors)

@@ -1,11 +1,11 @@
 """Chat formatting with a grammar round trip.
 
 A turn is ``<s>[INST] role [/INST]text</s>``; a conversation is its turns end to
-end. Rendered text is parsed again: turns end at ``</s>``, the header at the
-first ``[/INST]``. Where the parse does not give back the source, content that
-holds a control string is escaped and its header says so
-(``[INST+]``), and if that is not enough, all content is. Escaped text holds no
-``<`` or ``[``, so the third form always parses.
+end. A turn that holds a control string is escaped and its header says so
+(``[INST+]``), so control strings stand only where the template puts them. Rendered text is parsed
+again: turns end at ``</s>``, the header at the first ``[/INST]``. Where the parse does not give back
+the source, all turns are escaped. Escaped text holds no
+``<`` or ``[``, so that form always parses.
 """
 
 from __future__ import annotations
@@ -43,22 +43,22 @@ def _conflicts(text: Column) -> Column:
 
 
 def render(turns: Column, level: int) -> Column:
-    """Text of the turns (array of role, text); level 0 escapes nothing, 1 turns in conflict, 2 all."""
+    """Text of the turns (array of role, text); level 1 escapes turns that hold a control string, 2 all."""
 
     def one(turn: Column) -> Column:
         plain = F.concat(F.lit(OPEN), turn["role"], F.lit(MIDDLE), turn["text"], F.lit(CLOSE))
         safe = F.concat(
             F.lit(OPEN_ESCAPED), escape(turn["role"]), F.lit(MIDDLE), escape(turn["text"]), F.lit(CLOSE)
         )
-        if level == 0:
-            return plain
-        if level == 2:
-            return safe
-        return F.when(_conflicts(turn["role"]) | _conflicts(turn["text"]), safe).otherwise(plain)
+        return safe if level == 2 else F.when(_in_conflict(turn), safe).otherwise(plain)
 
     return F.array_join(F.transform(turns, one), "")
 
 
+def _in_conflict(turn: Column) -> Column:
+    return _conflicts(turn["role"]) | _conflicts(turn["text"])
+
+
 def parse(text: Column) -> Column:
     """Turns (array of role, text) of a rendered conversation; a piece that breaks the grammar gives a null turn."""
 
@@ -103,21 +103,55 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     )
     turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     table = gathered.select("conv_id", turns.alias("turns"))
-    for level in (0, 1, 2):
-        tried = render(F.col("turns"), level)
-        if level == 0:
-            table = table.withColumn("formatted", tried).withColumn("escape_level", F.lit(0))
-            continue
-        table = table.withColumn("_same", parse(F.col("formatted")).eqNullSafe(F.col("turns")))
-        table = table.withColumn("formatted", F.when(F.col("_same"), F.col("formatted")).otherwise(tried))
-        table = table.withColumn(
-            "escape_level", F.when(F.col("_same"), F.col("escape_level")).otherwise(F.lit(level))
-        ).drop("_same")
-    return table.select("conv_id", "formatted", "escape_level")
+    table = table.withColumn("formatted", render(F.col("turns"), 1))
+    same = parse(F.col("formatted")).eqNullSafe(F.col("turns"))
+    level = F.when(~same, 2).when(F.exists("turns", _in_conflict), 1).otherwise(0)
+    table = table.withColumn("escape_level", level)
+    again = F.when(F.col("escape_level") == 2, render(F.col("turns"), 2)).otherwise(F.col("formatted"))
+    return table.select("conv_id", again.alias("formatted"), "escape_level")
+
+
+def loss_spans(formatted: Column, role: str = "assistant") -> Column:
+    """Loss mask of a rendered conversation: (start, length, escaped) of each text of ``role``, in code points from 0."""
+    pieces = F.split(formatted, F.lit(CLOSE))
+    none = F.expr("CAST(array() AS array<int>)")
+    starts = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), none.alias("all")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p) + len(CLOSE)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")
+        ),
+    )["all"]
+    head = F.zip_with(
+        pieces,
+        starts,
+        lambda p, at: F.struct(
+            p.alias("piece"), at.alias("at"), (F.instr(p, MIDDLE) + (len(MIDDLE) - 1)).cast("int").alias("header")
+        ),
+    )
+    mine = F.filter(
+        head,
+        lambda h: F.startswith(h["piece"], F.lit(f"{OPEN}{role}{MIDDLE}"))
+        | F.startswith(h["piece"], F.lit(f"{OPEN_ESCAPED}{role}{MIDDLE}")),
+    )
+    return F.transform(
+        mine,
+        lambda h: F.struct(
+            (h["at"] + h["header"]).alias("start"),
+            (F.length(h["piece"]) - h["header"]).alias("length"),
+            F.startswith(h["piece"], F.lit(OPEN_ESCAPED)).alias("escaped"),
+        ),
+    )
 
 
 def read_back(formatted: DataFrame, role: str = "assistant") -> DataFrame:
-    """What the parser recovers: turns, and the text under the loss mask (texts of ``role``)."""
-    parsed = formatted.withColumn("turns", parse(F.col("formatted")))
-    kept = F.filter("turns", lambda t: t["role"] == role)
-    return parsed.withColumn("loss_text", F.array_join(F.transform(kept, lambda t: t["text"]), ""))
+    """What the parser recovers: turns, loss_spans (the mask's offsets) and loss_text (the text under it, unescaped)."""
+    parsed = formatted.withColumn("turns", parse(F.col("formatted"))).withColumn(
+        "loss_spans", loss_spans(F.col("formatted"), role)
+    )
+
+    def text(span: Column) -> Column:
+        said = F.substr("formatted", span["start"] + 1, span["length"])
+        return F.when(span["escaped"], unescape(said)).otherwise(said)
+
+    return parsed.withColumn("loss_text", F.array_join(F.transform("loss_spans", text), ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posequarry.llm import audio, chat, licences, lines, mixing, neighbours, periods, pieces, sharding, simhash, tokens, toxicity, whitening
-from posequarry.llm.common import WORD, table
+from posequarry.llm.common import WORD, scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,23 +50,20 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked AS (
   SELECT *,
-    contains(text, '</s>') OR contains(role, '</s>') OR contains(role, ' [/INST]') AS breaks,
     contains(role || text, '</s>') OR contains(role || text, '<s>')
       OR contains(role || text, '[INST') OR contains(role || text, '[/INST]') AS conflicts,
     length(role) + length(text) + 22 AS plain,
     length(role) + length(text) + 23
       + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) AS safe
   FROM turns
-), levels AS (
-  SELECT *, bool_or(breaks) OVER (PARTITION BY conv_id) AS escaped FROM marked
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(CASE WHEN escaped AND conflicts THEN safe ELSE plain END)::BIGINT AS formatted_chars,
-  max(CASE WHEN escaped THEN 1 ELSE 0 END)::INTEGER AS escape_level
-FROM levels GROUP BY conv_id
+  sum(CASE WHEN conflicts THEN safe ELSE plain END)::BIGINT AS formatted_chars,
+  max(CASE WHEN conflicts THEN 1 ELSE 0 END)::INTEGER AS escape_level
+FROM marked GROUP BY conv_id
 """
 
 
@@ -85,9 +82,12 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_audio(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as 8-bit audio: what was stored, read back and measured."""
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", audio.features(F.col("text"), names).alias("r")).select("doc_id", "r.*")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    with scratch(spark) as kept:
+        measured = audio.stored_tensors(audio.stored_media(docs))
+        digests = [c for c in measured.columns if c != "tensors"]
+        out = kept(measured.select(*digests, audio.feature(F.col("tensors")).alias("feature")), "audio-features")
+    return out
 
 
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:

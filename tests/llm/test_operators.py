@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import zlib
 
@@ -132,8 +133,17 @@ def test_chat_round_trip(spark, documents):
         turns = [t[1:] for t in sorted(want[r["conv_id"]])]
         assert [(t["role"], t["text"]) for t in r["turns"]] == turns
         assert r["loss_text"] == "".join(t for role, t in turns if role == "assistant")
+        said = [t for role, t in turns if role == "assistant"]
+        assert len(said) == len(r["loss_spans"])
+        for text, (start, length, escaped) in zip(said, r["loss_spans"]):
+            stands = r["formatted"][start : start + length]
+            assert stands == (text.replace("\\", "\\b").replace("<", "\\l").replace("[", "\\s") if escaped else text)
+        # Control strings stand where the template puts them, and nowhere else.
+        n = len(turns)
+        assert r["formatted"].count("</s>") == r["formatted"].count("<s>") == n
+        assert r["formatted"].count("[INST") == r["formatted"].count("[/INST]") == n
     level = {r["conv_id"]: r["escape_level"] for r in out}
-    assert level[1] == 1 and level[4] == 0 and level[7] == 0 and level[3] == 1
+    assert level[1] == 1 and level[4] == 1 and level[7] == 0 and level[3] == 1
     assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
@@ -197,15 +207,45 @@ def test_audio_round_trip(spark, documents, odd, empty):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(data))
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(data[-64:]) and r["media_bytes"] == len(data) + 44
-    full = odd.select("text", audio.features(F.col("text")).alias("r")).select("text", "r.*").collect()
-    assert len({r["feature"] for r in full if not r["text"]}) == 1
+        # The feature again, from the text alone.
+        assert r["feature"] == expected_feature(data)
+    media = audio.stored_media(odd.withColumn("n", F.lit(1)))
+    full = audio.stored_tensors(media).collect()
+    assert {c for c in odd.columns if c != "text"} | {"n"} < set(media.columns) and len(full) == media.count() == odd.count()
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    for r in media.collect():
+        assert audio.from_wave(bytes(r["media"])) == audio.payload(texts[r["doc_id"]])
     for r in full:
-        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
-        assert audio.from_wave(bytes(r["media"])) == audio.payload(r["text"])
         tensors, spans = audio.read_tensors(bytes(r["tensors"]))
         assert tensors.shape[1:] == (audio.BINS, audio.MELS) and len(tensors) == len(spans)
         assert (spans[:, 1] > spans[:, 0]).all()
-    assert empty.select(audio.features(F.col("text"))).count() == 0
+    assert audio.stored_tensors(audio.stored_media(empty)).count() == 0
+
+
+def expected_feature(data):
+    """Segments and means frame by frame, from resampled samples."""
+    y = audio.resample((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128)
+    mel = audio.log_mel(y, audio.RATE * audio.UP / audio.DOWN)
+    energy = mel.mean(axis=1)
+    high, low = energy.mean() + 0.5 * energy.std(), energy.mean() - 0.25 * energy.std()
+    spans, start = [], None
+    for k, e in enumerate(energy):
+        if start is None and e > high:
+            start = k
+        elif start is not None and e < low:
+            spans.append((start, k))
+            start = None
+    if start is not None:
+        spans.append((start, len(energy)))
+    ms = [(round(a * 128 / 12), round(b * 128 / 12)) for a, b in spans]
+    total = np.zeros(audio.MELS)
+    for a, b in spans:
+        n = b - a
+        for k in range(audio.BINS):
+            lo, hi = a + n * k // audio.BINS, a + -(-n * (k + 1) // audio.BINS)
+            total += np.asarray(mel[lo : max(hi, lo + 1)].mean(axis=0, dtype=np.float64), np.float32)
+    means = [round(float(v), 1) + 0.0 for v in total / (audio.BINS * len(spans))] if spans else []
+    return json.dumps({"segments": len(spans), "active_ms": sum(b - a for a, b in ms), "mel": means}, separators=(",", ":"))
 
 
 def test_resampling_equals_direct_convolution():
@@ -388,7 +428,9 @@ def test_interleaving(spark, documents, odd, empty):
     for d, t, s in documents:
         by.setdefault(s, []).append((hashlib.md5(f"42:{d}".encode()).hexdigest(), d, t))
     for s, mine in by.items():
-        ranks += [((i + 0.5) / len(mine), s, i, d, t) for i, (_, d, t) in enumerate(sorted(mine))]
+        named = "none" if s is None else f"source:{s}"
+        shift = int(hashlib.md5(f"42:{named}".encode()).hexdigest()[:12], 16) / 2**48
+        ranks += [((i + shift) / len(mine), s, i, d, t) for i, (_, d, t) in enumerate(sorted(mine))]
     each, longer = divmod(len(documents), 24)
     want, at = {}, 0
     ranks.sort()
@@ -412,6 +454,15 @@ def test_shards_have_the_mixture(spark):
     assert len(hot) == 24 and max(hot) - min(hot) <= 9  # at most one more or less for each other source
 
 
+def test_sources_of_one_row_are_spread(spark):
+    docs = spark.range(2400).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "large").otherwise(F.col("id").cast("string")).alias("source"), F.lit("x").alias("text")
+    )
+    rows = sharding.interleave(docs, 24, cell=64).collect()
+    single = np.bincount([r["shard"] for r in rows if r["source"] != "large"], minlength=24)
+    assert 25 <= single.min() and single.max() <= 80
+
+
 # --- simhash
 
 

@@ -151,9 +151,9 @@ CLUSTERED_LEVELS = """ UNION ALL SELECT 'clustered_2.0', s.selection, rows.* FRO
 def grid_sql(clustered: bool) -> str:
     return f"""rows AS (SELECT *, {HB} AS hb, raw_delta_fa_atr + raw_delta_fa_rep AS vdw,
     row_number() OVER (PARTITION BY pdb ORDER BY idelta_score, row_idx) AS rn FROM subset),
-levels AS (SELECT 'min' AS aggregation, NULL AS selection, * FROM rows WHERE rn = 1
-  UNION ALL SELECT 'mean10', NULL, * FROM rows WHERE rn <= 10
-  UNION ALL SELECT 'filtered_mean', NULL, * FROM rows{CLUSTERED_LEVELS if clustered else ''}),
+levels AS (SELECT 'min' AS aggregation, NULL::VARCHAR AS selection, * FROM rows WHERE rn = 1
+  UNION ALL SELECT 'mean10', NULL::VARCHAR, * FROM rows WHERE rn <= 10
+  UNION ALL SELECT 'filtered_mean', NULL::VARCHAR, * FROM rows{CLUSTERED_LEVELS if clustered else ''}),
 per AS (SELECT aggregation, selection, pdb, any_value(log_kd) AS log_kd, avg(idelta_score) AS s, avg(raw_delta_fa_atr) AS atr,
   avg(raw_delta_fa_rep) AS rep, avg(raw_delta_fa_sol) AS sol, avg(raw_delta_fa_elec) AS elec, avg(raw_delta_fa_pair) AS pair,
   avg(raw_delta_hbond_bb_sc) AS bb, avg(raw_delta_hbond_sc) AS sc, avg(hb) AS hb, avg(vdw) AS vdw

@@ -149,7 +149,10 @@ def lattice(path: str) -> Lattice:
     # Ranks are whole numbers; log probabilities are not.
     ranks = all(float(s).is_integer() for _, s in raw.values())
     scores = {p: (i, -math.log1p(-s) if ranks else s) for p, (i, s) in raw.items()}
-    return Lattice(scores, bytes_at, min((s for _, s in scores.values()), default=0.0) - 1.0)
+    made = Lattice(scores, bytes_at, min((s for _, s in scores.values()), default=0.0) - 1.0)
+    # Words can be searched one by one only where no piece reaches into the next.
+    made.crosses = any(SPACE in p.lstrip(SPACE) for p in raw)
+    return made
 
 
 class _Recent:
@@ -197,7 +200,7 @@ def encode(text: str | None, path: str, n: int = 3, kept_words: int = CACHED) ->
     if not text:
         return []
     model, known, searched = lattice(path), _known(path, 1, kept_words), _known(path, n, SEARCHED)
-    words = split_words(text)
+    words = [SPACE + text.replace(" ", SPACE)] if model.crosses else split_words(text)
     counts = Counter(words)
     first, total, losses = {}, [], []
     for word, k in counts.items():

@@ -419,6 +419,20 @@ def test_token_counts(spark, documents, odd, empty):
     assert empty.select(tokens.token_count(F.col("text"), path)).count() == 0
 
 
+def test_whole_text_lattice_where_pieces_cross(monkeypatch):
+    """A model with pieces across words is searched over the whole text; this one has none, so both ways agree."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    texts = ["two words", " a  b ", "é中 x", "one", "the the the end"]
+    by_word = [pieces.encode(t, path, 3) for t in texts]
+    model = pieces.lattice(path)
+    assert model.crosses is False
+    monkeypatch.setattr(model, "crosses", True)
+    for text, want in zip(texts, by_word):
+        got = pieces.encode(text, path, 3)
+        assert [list(ids) for _, ids in got] == [list(ids) for _, ids in want]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
 # --- sharding
 
 

@@ -153,3 +153,31 @@ def offsets(counts: DataFrame, group: list[str], index: str, n: str, block: int
         .select("a.*", (F.col("_near") + F.col("_past")).alias("before"))
         .drop("_near", "_wide")
     )
+
+
+def occurrence(rows: DataFrame, keys: list[str], row: str, least: int, name: str) -> DataFrame:
+    """Adds ``name``: the place of each row among those alike in ``keys`` where there are more than ``least``, else 0.
+
+    ``row`` is a stored ``monotonically_increasing_id``. Rows are numbered within the part that their
+    number names, and parts are put in order by their counts, so however many rows are alike no
+    task numbers more than a part's. Places are given to rows alike in any order.
+    """
+    from pyspark.sql import Window as W
+
+    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > least)
+    often = saved(often.select(*[F.col(c).alias(f"_often_{c}") for c in keys]), "often")
+    if often.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_often_{c}"))
+    alike = rows.join(often, same, "left_semi").select(*keys, row, F.shiftright(row, 33).alias("_part"))
+    parts = alike.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = offsets(parts, keys, "_part", "_n").select(
+        *[F.col(c).alias(f"_often_{c}") for c in keys], F.col("_part").alias("_of"), "before"
+    )
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(row)) - 1
+    placed = alike.withColumn("_in", inside).join(before, same & (F.col("_part") == F.col("_of")))
+    placed = placed.select(F.col(row).alias("_row"), (F.col("_in") + F.col("before")).cast("long").alias(name))
+    found = rows.join(placed, F.col(row) == F.col("_row"), "left").drop("_row")
+    return found.withColumn(name, F.coalesce(name, F.lit(0)))

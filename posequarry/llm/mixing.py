@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from posequarry.llm.common import WORD, let, saved
+from posequarry.llm.common import WORD, let, occurrence, saved
 
 FAN = 64
 
@@ -171,8 +171,11 @@ def mix(
         .withColumnRenamed("_s", "source")
     )
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    # Of many rows alike in both, each has a key of its own.
+    key = F.when(F.col("_nth") == 0, key).otherwise(F.xxhash64(F.lit(seed), "doc_id", "size", "_nth"))
     most = sources.filter("_p > 0").agg(F.max("_n")).first()[0] or 0
-    level = rows.filter("size > 0 AND _p > 0").select(
+    drawn = occurrence(rows.filter("size > 0 AND _p > 0"), ["doc_id", "size"], "row", fan, "_nth")
+    level = drawn.select(
         "source",
         F.pmod(F.shiftrightunsigned(key, 1), F.ceil(F.col("_n") / fan)).alias("cell"),
         F.struct(

@@ -93,6 +93,33 @@ def test_mix_meets_targets(spark, odd, empty, documents):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_of_one_id_repeated(spark, monkeypatch):
+    """Many rows alike in id and size share no cell, and the same number of copies comes out of any partitioning."""
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("source"), F.lit("one two three").alias("text"),
+    )
+    cells, whole = [], mixing.saved
+
+    def counted(df, name):
+        if name == "mix-level":
+            cells.append(df)
+        return whole(df, name)
+
+    monkeypatch.setattr(mixing, "saved", counted)
+    first = mixing.mix(rows.repartition(3), share=0.7)
+    check = [r for r in first.collect()]
+    assert len(check) == 5000
+    for source in "ab":
+        mine = [r for r in check if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1.5
+    sizes = cells[0].select(F.size("f.done").alias("n")).collect()
+    assert max(r["n"] for r in sizes) < 64 * 3
+    again = mixing.mix(rows.repartition(11), share=0.7)
+    per_id = lambda df: sorted(map(str, df.groupBy("source", "doc_id").agg(F.sum("copies")).collect()))
+    assert per_id(first) == per_id(again)
+
+
 def test_mix_keeps_probabilities_and_hot_sources(spark):
     docs = spark.range(1000).select(
         F.col("id").alias("doc_id"),

@@ -28,7 +28,8 @@ def within_radius(
     Space is cut into cells as wide as the radius.  Ligand atoms are repeated
     into their 27 neighbour cells, atoms stay in their own, and a semi join on
     the cell stops at the first hit: no pairs come out and nothing has to be
-    made distinct afterwards.  Cells that hold very many atoms are salted.
+    made distinct afterwards.  Cells that hold very many atoms are salted. Both sides are sorted: Spark takes the
+    copies for as few as the ligand atoms and would broadcast all of them.
     """
     shift = F.sequence(F.lit(-1), F.lit(1))
     points = ligand.select("pdb", *[F.col(a).alias(f"_l{a}") for a in "xyz"]).distinct()
@@ -49,7 +50,7 @@ def within_radius(
         F.col("x"), F.col("y"), F.col("z"), F.col("_lx"), F.col("_ly"), F.col("_lz")
     ) <= F.lit(radius * radius)
     hits = salted_join(
-        placed, near, ["pdb", "_cx", "_cy", "_cz"], "left_semi", close, rows_per_slice, ["pdb"]
+        placed, near, ["pdb", "_cx", "_cy", "_cz"], "left_semi", close, rows_per_slice, ["pdb"], "merge"
     )
     return hits.drop("_cx", "_cy", "_cz")
 

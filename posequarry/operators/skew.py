@@ -66,6 +66,7 @@ def salted_join(
     condition: Column | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
     screen: Sequence[str] | None = None,
+    strategy: str | None = None,
 ) -> DataFrame:
     """Equi-join in which hot keys of ``left`` are cut into slices.
 
@@ -74,12 +75,13 @@ def salted_join(
     every left row still meets every right row of its key exactly once.  Without
     hot keys (checked by a count, on the ``screen`` part of the keys if given)
     it is the plain join.  ``condition`` may use columns of both sides; right
-    columns other than the keys must then have names of their own.
+    columns other than the keys must then have names of their own. ``strategy`` is the join hint for a right
+    side whose size Spark misjudges.
     """
     keys = list(keys)
     limit = hot_limit(left, screen or keys, rows_per_slice)
     if limit is None:
-        return _join(left, right, keys, how, condition)
+        return _join(left, right, keys, how, condition, strategy)
     hot = hot_keys(left, keys, limit, screen)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     cut_left = (
@@ -92,12 +94,13 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
-    return _join(cut_left, spread_right, [*keys, "_salt"], how, condition).drop("_salt")
+    return _join(cut_left, spread_right, [*keys, "_salt"], how, condition, strategy).drop("_salt")
 
 
 def _join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column | None
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column | None, strategy: str | None = None
 ) -> DataFrame:
+    right = right.hint(strategy) if strategy else right
     if condition is None:
         return left.join(right, keys, how)
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -120,3 +120,25 @@ def test_crowded_group_takes_few_pairs(spark, monkeypatch):
     found = shingles.near_duplicates(docs, ids).collect()
     assert sorted(r["doc_id"] for r in found if r["first"]) == kept(rows)
     assert sum(compared) < 8 * n
+
+
+def test_links_of_fingerprints_come_first(spark, monkeypatch):
+    """The stage checks what op10's walk links, exactly: a link without similarity joins nothing."""
+    draw = random.Random(11)
+    first = [f"o{k}" for k in range(400)]
+    rows = [(k, edited(draw, first, k % 2)) for k in range(12)] + [(20, "one two"), (21, "three")]
+    checked, whole, walked = [], shingles.verified, []
+
+    def seen(pairs, *rest):
+        checked.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return whole(pairs, *rest)
+
+    def all_of_them(values, *rest, of=simhash.links):
+        walked.append(values.count())
+        least = values.agg({"fp": "min"}).first()[0]
+        return of(values, *rest).unionAll(values.selectExpr(f"{least}L as a", "fp as b").filter("a <> b"))
+
+    monkeypatch.setattr(shingles, "verified", seen)
+    monkeypatch.setattr(simhash, "links", all_of_them)
+    assert stage(spark, rows) == kept(rows) == [0, 20, 21]
+    assert walked and checked[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,25 @@ from posequarry.operators.splits import without_ids
 from posequarry.session import materialize
 from posequarry.sources.index import load_cleaned_index
 
+# A range is sorted in one task: of MOST_BYTES at most, and of LEAST_BYTES where that takes no more ranges than
+# FREE_RANGES, up to which a map task keeps no rows back (spark.shuffle.sort.bypassMergeThreshold).
+LEAST_BYTES, MOST_BYTES, FREE_RANGES = 64 << 20, 256 << 20, 200
+WIDTH_SAMPLE = 1_000
+TEXTS = ("string", "binary", "array", "map", "struct")
+
+
+def ranges(rows: DataFrame) -> int:
+    """Ranges to sort a table in, by its size, as the session's shuffle partitions do not grow with it.
+
+    Rows are counted; the width of their texts is that of a few of them.
+    """
+    texts = [F.octet_length(quoted(c).cast("string")) for c, kind in rows.dtypes if kind.startswith(TEXTS)]
+    width = sum((F.coalesce(n, F.lit(0)) for n in texts), F.lit(8 * (len(rows.columns) + 1)))
+    mean = rows.limit(WIDTH_SAMPLE).select(F.avg(width)).first()[0] or 0
+    size = rows.count() * mean
+    least = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES))
+    return max(min(least, FREE_RANGES), math.ceil(size / MOST_BYTES))
+
 
 def append_poses(rows: DataFrame, path: str) -> DataFrame:
     """Append pose rows to a store table partitioned by dataset."""
@@ -26,9 +47,8 @@ def write_clustered(rows: DataFrame, path: str) -> DataFrame:
 
     Ranges include the row number, so a very large complex spans several files.
     """
-    ordered = rows.repartitionByRange("dataset", "pdb", "row_idx").sortWithinPartitions(
-        "dataset", "pdb", "row_idx"
-    )
+    order = ["dataset", "pdb", "row_idx"]
+    ordered = rows.repartitionByRange(ranges(rows), *order).sortWithinPartitions(*order)
     ordered.write.mode("overwrite").partitionBy("dataset").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
@@ -61,7 +81,7 @@ def write_structures(lines: DataFrame, path: str, chain: str | None = None) -> s
     """
     line = F.col("line") if chain is None else rename_ligand_chain(F.col("line"), chain)
     ordered = lines.select("pdb", "line_no", line.alias("value"))
-    ordered = ordered.repartitionByRange("pdb", "line_no").sortWithinPartitions("pdb", "line_no")
+    ordered = ordered.repartitionByRange(ranges(ordered), "pdb", "line_no").sortWithinPartitions("pdb", "line_no")
     ordered.drop("line_no").write.mode("overwrite").partitionBy("pdb").text(path)
     return path
 

@@ -5,6 +5,7 @@ import io
 
 import numpy as np
 
+from posequarry import sinks
 from posequarry.operators import contacts, fitting
 from posequarry.plans import driver_tables
 
@@ -59,3 +60,21 @@ def test_schedule_in_several_parts(spark, monkeypatch):
     monkeypatch.setattr(fitting, "EPOCH_ROWS", 320)
     got = [r["weight"] for r in fitting.fit_weights(frame, "softplus", epochs=7, lr=0.05, validate=True, batch=16, task_rows=10).collect()]
     assert np.allclose(got, want, atol=1e-9)
+
+
+def test_stores_are_sorted_in_ranges_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However few shuffle partitions the session has, a task sorts no more than a range."""
+    monkeypatch.setattr(sinks, "MOST_BYTES", 2_000)
+    poses = spark.range(4_000).selectExpr("'main' dataset", "format_string('%04d', id % 7) pdb", "id row_idx", "double(id) score")
+    sinks.write_clustered(poses, str(tmp_path / "docking"))
+    files = sorted((tmp_path / "docking").rglob("*.parquet"))
+    assert len(files) >= 50
+    found = [r for f in files for r in spark.read.parquet(str(f)).select("pdb", "row_idx").collect()]
+    assert found == sorted(found) and len(set(found)) == 4_000
+
+
+def test_ranges_follow_the_size_of_a_table(spark):
+    assert sinks.ranges(spark.range(1_000).selectExpr("id", "string(null) text")) == 8
+    assert sinks.ranges(spark.range(100_000_000)) == 24
+    assert sinks.ranges(spark.range(10_000_000_000)) == 597
+    assert sinks.ranges(spark.range(0).selectExpr('id', 'string(id) text')) == 8

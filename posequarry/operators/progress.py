@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posequarry.fixed_values import LAST_DOCKING_LABEL, STAGE_TARGETS
 from posequarry.functions.text import human_size
+from posequarry.session import materialize
 
 Targets = Mapping[str, int]
 
@@ -27,8 +28,12 @@ def complete_ids(poses: DataFrame, target: int = 300, labels: Sequence[str] = (L
 def extract_complete(
     poses: DataFrame, target: int = 300, labels: Sequence[str] = (LAST_DOCKING_LABEL,)
 ) -> DataFrame:
-    """Pose rows of the complete runs only."""
-    return poses.join(complete_ids(poses, target, labels), "pdb", "left_semi")
+    """Pose rows of the complete runs only.
+
+    Their ids are written first, so that Spark knows their size and sends few ids to the poses rather than
+    shuffling every pose.
+    """
+    return poses.join(materialize(complete_ids(poses, target, labels)), "pdb", "left_semi")
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import numpy as np
 
 from posequarry import sinks
-from posequarry.operators import contacts, fitting
+from posequarry.operators import contacts, fitting, progress
 from posequarry.plans import driver_tables
 
 
@@ -78,3 +78,19 @@ def test_ranges_follow_the_size_of_a_table(spark):
     assert sinks.ranges(spark.range(100_000_000)) == 24
     assert sinks.ranges(spark.range(10_000_000_000)) == 597
     assert sinks.ranges(spark.range(0).selectExpr('id', 'string(id) text')) == 8
+
+
+def test_poses_of_complete_runs_are_not_shuffled(spark, tmp_path):
+    """The ids of complete runs are few, whatever the poses weigh."""
+    poses = spark.range(20_000).selectExpr(
+        "format_string('%04d', id % 400) pdb", "if(id < 12000, 'a', 'b') type", "id row_idx", "rand(1) score"
+    )
+    poses.write.parquet(str(tmp_path / "poses"))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        found = progress.extract_complete(spark.read.parquet(str(tmp_path / "poses")), 30, ["a"])
+        assert "BroadcastHashJoin" in (plan := explained(found)) and "Exchange hashpartitioning" not in plan
+        assert found.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)

@@ -398,15 +398,10 @@ def write_index(spark, folder):
 def write_structures(spark, folder):
     path = sinks.write_structures(t.structure_lines(spark, folder), scratch_path(spark, "structures"))
     lines = text_lines.read_lines(spark, path)
-    numbered = text_lines.number_lines(lines)
-    files = numbered.groupBy("path").agg(n_rows("n"))
     pdb = F.regexp_extract("path", "pdb=([^/]+)/", 1)
-    earlier = Window.partitionBy(pdb).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = text_lines.number_lines(lines, pdb)
     number = F.trim(F.substring("line", 7, 5)).try_cast("int")
-    return numbered.join(offsets, "path").select(
-        pdb.alias("pdb"), (F.col("before") + F.col("line_no")).alias("position"), number.alias("atom_no")
-    )
+    return numbered.select(pdb.alias("pdb"), F.col("line_no").alias("position"), number.alias("atom_no"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posequarry.functions.text import file_stem
@@ -30,28 +30,28 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, whole: Column | None = None) -> DataFrame:
     """(path, line_no, line) with zero-based line numbers per file.
 
-    Lines of a split are consecutive, so a line number is the lines of earlier
+    With ``whole``, a value of the path, all files of one value are numbered through, in the order of
+    their paths. Lines of a split are consecutive, so a line number is the lines of earlier
     splits plus the distance to the first line of its own.  Only split counts
-    are put in order.  The input is checkpointed, because both sides must see
-    the same splits.
+    are put in order, and only they are held in memory where the lines meet them. The input is
+    checkpointed, because both sides must see the same splits.
     """
     fixed = materialize(lines)
     splits = fixed.groupBy("path", "block_start").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
     )
-    earlier = Window.partitionBy("path").orderBy("block_start").rowsBetween(
+    order = ["path", "block_start"]
+    earlier = Window.partitionBy("path" if whole is None else whole).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = splits.select(
-        "path", "block_start", "first_seq", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
-    )
-    numbered = fixed.join(offsets, ["path", "block_start"])
-    return numbered.select(
-        "path", (F.col("before") + F.col("seq") - F.col("first_seq")).alias("line_no"), "line"
+        *order, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_seq")).alias("shift")
     )
+    numbered = fixed.join(offsets.hint("shuffle_hash"), order)
+    return numbered.select("path", (F.col("shift") + F.col("seq")).alias("line_no"), "line")
 
 
 def read_logs(

@@ -4,10 +4,12 @@ import contextlib
 import io
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from posequarry import sinks
 from posequarry.operators import contacts, fitting, progress
 from posequarry.plans import driver_tables
+from posequarry.sources import text_lines
 
 
 def explained(df):
@@ -94,3 +96,20 @@ def test_poses_of_complete_runs_are_not_shuffled(spark, tmp_path):
         assert found.count() == 20_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+def test_lines_are_numbered_without_sorting_them(spark, tmp_path):
+    """Only the counts of splits are put in order and held, though too many to broadcast."""
+    for pdb in ("1abc", "2def"):
+        for part in range(3):
+            (tmp_path / f"pdb={pdb}").mkdir(exist_ok=True)
+            (tmp_path / f"pdb={pdb}" / f"part-{part}.txt").write_text("".join(f"{part * 10 + i}\n" for i in range(10)))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pdb = F.regexp_extract("path", "pdb=([^/]+)/", 1)
+        found = text_lines.number_lines(text_lines.read_lines(spark, str(tmp_path)), pdb)
+        assert "SortMergeJoin" not in (plan := explained(found)) and "ShuffledHashJoin" in plan
+        got = found.select(pdb, "line_no", F.col("line").cast("int")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    assert sorted(map(tuple, got)) == [(pdb, i, i) for pdb in ("1abc", "2def") for i in range(30)]

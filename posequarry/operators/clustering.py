@@ -133,16 +133,23 @@ def _leaders_of_group(cutoff: float):
     return run
 
 
+def _parts(labels: pd.Series) -> list[np.ndarray]:
+    """Positions, in order, of the rows of each label."""
+    return list(labels.groupby(labels.to_numpy()).indices.values())
+
+
 def _uncovered(cutoff: float):
     def run(poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        points = _matrix(poses["xyz"])
+        points, to_pivots = _matrix(poses["xyz"]), _matrix(poses["d"])
+        places = [(np.asarray(xyz, dtype=float), np.asarray(d, dtype=float)) for xyz, d in zip(leaders["xyz"], leaders["d"])]
         # What a leader covers needs no other.
         open_to = np.full(len(poses), np.inf)
-        near = _Near(_matrix(poses["d"]))
-        for xyz, d in zip(leaders["xyz"], leaders["d"]):
-            at = near.within(np.asarray(d, dtype=float), cutoff, open_to)
-            covered = at[_rmsd_to(points[at], np.asarray(xyz, dtype=float)) < cutoff]
-            open_to[covered] = -np.inf
+        for part in _parts(poses["slice"]):
+            near, reach = _Near(to_pivots[part]), open_to[part]
+            for xyz, d in places:
+                at = near.within(d, cutoff, reach)
+                reach[at[_rmsd_to(points[part[at]], xyz) < cutoff]] = -np.inf
+            open_to[part] = reach
         return poses.loc[open_to > 0]
 
     return run
@@ -156,36 +163,44 @@ def _nearest_leader(cutoff: float):
 
 
 def _nearest(cutoff: float, poses: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-    """Nearest leader within the cutoff opened no later than the pose, with the leader's place."""
+    """Nearest leader of each block within the cutoff opened no later than the pose, with the leader's place."""
     if poses.empty or leaders.empty:
         return poses.iloc[:0].assign(cluster_id=0, rmsd=0.0, leader_score=0.0)[
             ["pdb", "row_idx", "cluster_id", "rmsd", "leader_score"]
         ]
-    poses = poses.assign(score=poses["score"].fillna(np.inf))
     leaders = _in_order(leaders.assign(score=leaders["score"].fillna(np.inf)))
-    points = _matrix(poses["xyz"])
-    score, row = poses["score"].to_numpy(), poses["row_idx"].to_numpy()
-    best = np.full(len(poses), np.inf)
-    pick = np.full(len(poses), -1)
-    near = _Near(_matrix(poses["d"]))
-    places = zip(leaders["score"], leaders["row_idx"], leaders["xyz"], leaders["d"], strict=True)
-    for k, (lead_score, lead_row, xyz, d) in enumerate(places):
-        later = near.within(np.asarray(d, dtype=float), cutoff, best)
-        later = later[(score[later] > lead_score) | ((score[later] == lead_score) & (row[later] >= lead_row))]
-        distance = _rmsd_to(points[later], np.asarray(xyz, dtype=float))
-        closer = distance < np.minimum(best[later], cutoff)
-        best[later[closer]] = distance[closer]
-        pick[later[closer]] = k
-    found = pick >= 0
-    return pd.DataFrame(
-        {
-            "pdb": poses["pdb"].to_numpy()[found],
-            "row_idx": row[found],
-            "cluster_id": leaders["row_idx"].to_numpy()[pick[found]],
-            "rmsd": best[found],
-            "leader_score": leaders["score"].to_numpy()[pick[found]],
-        }
-    )
+    points, to_pivots = _matrix(poses["xyz"]), _matrix(poses["d"])
+    score, row = poses["score"].fillna(np.inf).to_numpy(), poses["row_idx"].to_numpy()
+    slices = [(part, _Near(to_pivots[part]), score[part], row[part]) for part in _parts(poses["slice"])]
+    lead_score, lead_row = leaders["score"].to_numpy(), leaders["row_idx"].to_numpy()
+    places = [(np.asarray(xyz, dtype=float), np.asarray(d, dtype=float)) for xyz, d in zip(leaders["xyz"], leaders["d"])]
+    found = []
+    for block in _parts(leaders["block"]):
+        best, pick = np.full(len(poses), np.inf), np.full(len(poses), -1)
+        for part, near, s, r in slices:
+            least, of = best[part], pick[part]
+            for k in block:
+                xyz, d = places[k]
+                later = near.within(d, cutoff, least)
+                later = later[(s[later] > lead_score[k]) | ((s[later] == lead_score[k]) & (r[later] >= lead_row[k]))]
+                distance = _rmsd_to(points[part[later]], xyz)
+                closer = distance < np.minimum(least[later], cutoff)
+                least[later[closer]] = distance[closer]
+                of[later[closer]] = k
+            best[part], pick[part] = least, of
+        at = pick >= 0
+        found.append(
+            pd.DataFrame(
+                {
+                    "pdb": poses["pdb"].to_numpy()[at],
+                    "row_idx": row[at],
+                    "cluster_id": lead_row[pick[at]],
+                    "rmsd": best[at],
+                    "leader_score": lead_score[pick[at]],
+                }
+            )
+        )
+    return pd.concat(found, ignore_index=True)
 
 
 CELL = ["c0", "c1", "c2"]
@@ -255,25 +270,30 @@ def _cluster_large(
     the same order as the one-task form.  Every pose then looks up its nearest
     earlier leader among those of nearby cells, which are all it can be within
     the cutoff of. Crowded cells are cut into slices, and their leaders into blocks.
+    Small slices and blocks of a cell are compared one by one, but as many go to one call as make up a
+    slice and a block of the usual size: each call has its cost, and its copies of leaders or poses.
     """
+    per_call, blocks_per_call = max(1, SLICE_ROWS // slice_rows), max(1, LEADERS_PER_BLOCK // block_rows)
     pivots = materialize(_pivot_table(poses))
     to_pivots = F.transform("pivots", lambda v: rmsd(F.col("xyz"), v)).alias("d")
     known = materialize(poses.join(pivots, "pdb").select("pdb", "row_idx", "score", "xyz", to_pivots))
     placed = _placed(known, materialize(_cell_widths(known, cutoff, slice_rows)))
     home = ["pdb", *CELL]
     cells = materialize(
-        placed.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+        placed.groupBy(*home)
+        .agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+        .withColumn("calls", F.ceil(F.col("slices") / per_call).cast("int"))
     )
     rows = materialize(
-        placed.join(cells, home).withColumn(
-            "slice", F.pmod(F.xxhash64("row_idx"), F.col("slices")).cast("int")
-        )
+        placed.join(cells, home)
+        .withColumn("slice", F.pmod(F.xxhash64("row_idx"), F.col("slices")).cast("int"))
+        .withColumn("call", F.floor(F.col("slice") / per_call).cast("int"))
     )
     columns = ["pdb", "row_idx", "score", "xyz", "d"]
-    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    undecided, rounds = rows.drop("slices"), []
-    placed_pose = f"{PLACED}, slice int"
-    keys = [*home, "slice"]
+    every_call = F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("call")
+    undecided, rounds = rows.drop("slices", "calls"), []
+    placed_pose = f"{PLACED}, slice int, call int"
+    keys = [*home, "call"]
     while True:
         order = [F.col("score").asc_nulls_last(), F.col("row_idx").asc()]
         head = min(head_rows << len(rounds), group_rows)
@@ -283,11 +303,11 @@ def _cluster_large(
         )
         near = _to_neighbours(leaders).join(cells, home)
         rounds.append(near)
-        copies = near.select(*columns, *CELL, every_slice)
+        copies = near.select(*columns, *CELL, every_call)
         # A round's own leaders are within the cutoff of themselves, but for coordinates that are not numbers.
         undecided = materialize(
             undecided.join(leaders.select("pdb", "row_idx"), ["pdb", "row_idx"], "left_anti")
-            .select(*columns, *CELL, "slice")
+            .select(*columns, *CELL, "slice", "call")
             .groupBy(*keys)
             .cogroup(copies.groupBy(*keys))
             .applyInPandas(_uncovered(cutoff), placed_pose)
@@ -297,12 +317,12 @@ def _cluster_large(
     leaders = reduce(DataFrame.unionByName, rounds)
     blocks = leaders.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     block_of = F.pmod(F.xxhash64("row_idx"), F.col("blocks")).cast("int").alias("block")
-    copies = leaders.join(blocks, home).select(*columns, *CELL, every_slice, "blocks").select(
-        *columns, *CELL, "slice", block_of
-    )
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    spread = rows.join(blocks, home).select(*columns, *CELL, "slice", every_block)
-    keys.append("block")
+    call_of = F.floor(F.col("block") / blocks_per_call).cast("int").alias("block_call")
+    copies = leaders.join(blocks, home).select(*columns, *CELL, every_call, block_of).select("*", call_of)
+    last_call = F.floor((F.col("blocks") - 1) / blocks_per_call).cast("int")
+    every_block_call = F.explode(F.sequence(F.lit(0), last_call)).alias("block_call")
+    spread = rows.join(blocks, home).select(*columns, *CELL, "slice", "call", every_block_call)
+    keys.append("block_call")
     nearest = (
         spread.groupBy(*keys)
         .cogroup(copies.groupBy(*keys))

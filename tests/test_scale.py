@@ -2,12 +2,13 @@
 
 import contextlib
 import io
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from posequarry import sinks
-from posequarry.operators import contacts, fitting, progress
+from posequarry.operators import clustering, contacts, fitting, progress
 from posequarry.plans import driver_tables
 from posequarry.sources import text_lines
 
@@ -113,3 +114,24 @@ def test_lines_are_numbered_without_sorting_them(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
     assert sorted(map(tuple, got)) == [(pdb, i, i) for pdb in ("1abc", "2def") for i in range(30)]
+
+
+def test_small_slices_and_blocks_share_calls(spark, tmp_path, monkeypatch):
+    """A call handles as many slices and blocks of a cell as make up those of the usual size."""
+    draw = np.random.default_rng(6)
+    rows = [(pdb, i, float(draw.normal()), draw.normal(size=6).tolist()) for pdb in "ab" for i in range(300)]
+    poses = spark.createDataFrame(rows, "pdb string, row_idx long, score double, xyz array<double>")
+    (calls := tmp_path / "calls").mkdir()
+
+    def counted(cutoff, nearest=clustering._nearest):
+        def run(poses, leaders):
+            (calls / uuid.uuid4().hex).touch()
+            return nearest(cutoff, poses, leaders)
+
+        return run
+
+    monkeypatch.setattr(clustering, "_nearest_leader", counted)
+    got = clustering.cluster_poses(poses, 1.5, group_rows=40, head_rows=8, slice_rows=4, block_rows=2).collect()
+    cells = 2 * 4**3
+    assert 0 < len(list(calls.iterdir())) <= cells
+    assert sorted(got) == sorted(clustering.cluster_poses(poses, 1.5).collect())

@@ -401,6 +401,32 @@ def test_pieces_of_documents(spark, documents, odd, empty):
     assert empty.select(pieces.segment(F.col("text"), MODEL)).count() == 0
 
 
+def test_words_are_walked_together(monkeypatch):
+    """Short words take the forward pass in bulk, never one by one, and as one by one; neither blocks nor what is kept matter."""
+    rng = np.random.default_rng(5)
+    letters = list("abethin  .▁é中文ຟ\U0001f600\n\0ß")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 150))) for _ in range(150)]
+    texts += ["the " * 500, None, "", " ", "x" * 500 + " tail", "中" * 64, "the in the in"]
+    model = pieces.lattice(MODEL)
+    words = [w for t in texts for w in pieces.split_words(t or "") if 0 < len(w) <= pieces.LONGEST]
+    count, ids, score, loss = model.first_bests(words)
+    ends = np.cumsum(count)
+    got = [(tuple(ids[e - c : e].tolist()), s, x) for e, c, s, x in zip(ends, count, score.tolist(), loss.tolist())]
+    assert got == [model.first_best(w) for w in words]
+    single, alone = model.first_best, []
+    monkeypatch.setattr(model, "first_best", lambda word: alone.append(word) or single(word))
+    pieces._known.cache_clear()
+    want = [pieces.encode(t, MODEL, 3, 1000) for t in texts]
+    assert alone and min(map(len, alone)) > pieces.LONGEST
+    monkeypatch.setattr(pieces, "BLOCK", 300)
+    monkeypatch.setattr(pieces, "WALKED", 40)
+    for kept in (1000, 7):
+        pieces._known.cache_clear()
+        found = list(pieces.encode_all(texts, MODEL, 3, kept))
+        assert [[(s, list(i)) for s, i in x] for x in found] == [[(s, list(i)) for s, i in x] for x in want]
+    assert all(pieces.decode(x[0][1], MODEL) == t.replace(pieces.SPACE, " ") for t, x in zip(texts, want) if t)
+
+
 # --- licences
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,13 @@ def test_nonnegative_minimum_equals_all_supports():
 def test_weights_are_sorted_by_size(spark):
     weights = spark.createDataFrame([("c", 0, 0.1), ("c", 1, -0.5), ("c", 2, 0.3)], fitting.WEIGHTS)
     assert [r["position"] for r in fitting.sorted_weights(weights).collect()] == [1, 2, 0]
+
+
+def test_digests_of_many_keys():
+    """The vectorised digests are those of ``shuffle_digest``, also of long and empty keys."""
+    keys = [str(k * 7919) for k in range(300)] + ["", "é-key", "x" * 40]
+    for more in ([], ["y" * 90]):
+        listed = keys + more
+        found = fitting.shuffle_digests(42, [0, 7, 10, 99], pa.array([*listed, None]), at_once=64)
+        for epoch, places in zip([0, 7, 10, 99], found, strict=True):
+            assert places.tolist() == [*(fitting.shuffle_digest(42, epoch, k) for k in listed), -1]

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from posequarry.llm import common, shingles, simhash
@@ -142,3 +143,36 @@ def test_links_of_fingerprints_come_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", all_of_them)
     assert stage(spark, rows) == kept(rows) == [0, 20, 21]
     assert walked and checked[0]
+
+
+def test_order_counts_every_document(spark, monkeypatch):
+    """The order of shingles is taken from all documents of a table, however many they are."""
+    counted = []
+
+    class Stop(Exception):
+        pass
+
+    def seen(texts, *rest):
+        counted.append(texts.count())
+        raise Stop
+
+    monkeypatch.setattr(shingles, "bucket_ranks", seen)
+    docs, ids = common.located(spark.range(50_000).selectExpr("id doc_id", "concat('w', id) text"))
+    with pytest.raises(Stop):
+        shingles.near_duplicates(docs, ids)
+    assert counted == [50_000]
+
+
+def test_ranks_of_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PACKED", 60)
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(12)}" for _ in range(draw.randrange(12))) for _ in range(300)] + [None, "same line of five words"] * 50
+    want = np.zeros(shingles.BUCKETS, np.int64)
+    for text in texts:
+        np.add.at(want, (shingles.shingles((text or "").encode()) % np.uint64(shingles.BUCKETS)).astype(np.int64), 1)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    for often in (1, 8):
+        ranks = shingles.bucket_ranks(docs, often)
+        assert np.array_equal(ranks, np.where(want < often, 0, np.ceil(np.log2(want / often + 1))))
+    assert ranks.max() >= 3
+    assert not shingles.bucket_ranks(docs.limit(0)).any()

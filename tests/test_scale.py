@@ -135,3 +135,28 @@ def test_small_slices_and_blocks_share_calls(spark, tmp_path, monkeypatch):
     cells = 2 * 4**3
     assert 0 < len(list(calls.iterdir())) <= cells
     assert sorted(got) == sorted(clustering.cluster_poses(poses, 1.5).collect())
+
+
+def test_schedule_in_ranges_and_chunks(spark, monkeypatch):
+    """Rows are put in order by chunks and merged by ranges of places; repeated keys keep the order of y."""
+    monkeypatch.setattr(fitting, "RANGE_ROWS", 20)
+    monkeypatch.setattr(fitting, "CHUNK_ROWS", 16)
+    draw = np.random.default_rng(6)
+    rows = [(c, "val" if i % 4 == 0 else "train", f"{i % 70}", *map(float, draw.normal(size=3))) for c in "ab" for i in range(160)]
+    frame = spark.createDataFrame(rows, "config string, part string, pdb string, y double, x0 double, x1 double")
+    options = {"kind": "softplus", "epochs": 6, "lr": 0.05, "validate": True, "batch": 16}
+    fits = [fitting.fit_weights(frame, **options, task_rows=n).orderBy("config", "position").collect() for n in (10**6, 10)]
+    assert np.allclose(*[[r["weight"] for r in fit] for fit in fits], atol=1e-9)
+
+
+def test_schedule_without_keys(spark):
+    """Rows without a key come first in every epoch, in the order of y."""
+    draw = np.random.default_rng(7)
+    table = draw.normal(size=(50, 2))
+    frame = spark.createDataFrame([("a", "train", None, *map(float, r)) for r in table], "config string, part string, pdb string, y double, x0 double")
+    got = fitting.fit_weights(frame, "softplus", epochs=3, lr=0.05, batch=16, task_rows=10).first()["weight"]
+    model, table = fitting.Softplus(fitting.start_weights(1, 42), 0.05), table[np.argsort(table[:, 0])]
+    for s in [*range(0, 50, 16)] * 3:
+        x, y = table[s : s + 16, 1:], table[s : s + 16, 0]
+        model.step(np.sign(x @ model.weights - y) @ x / len(y))
+    assert abs(got - model.weights[0]) < 1e-9
